@@ -1,11 +1,60 @@
-"""Corpus pipeline: placeholder until its stages are in."""
+"""Corpus pipeline: language ID, near-duplicates, benchmark decontamination, source mixing and sharding."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from facetframe.llm._common import cut, small, table
+from facetframe.llm.decontaminate import clean
+from facetframe.llm.langid import spoken
+from facetframe.llm.minhash import near_duplicates
+from facetframe.llm.mixing import repeated
+from facetframe.llm.sharding import byte_balanced
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language."""
+    return spoken(docs)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each near-duplicate group."""
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id"))
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that overlap an item of the benchmark."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents as the weights of their sources ask; drops none."""
+    return repeated(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-balanced shards and slots: the manifest of the corpus."""
+    return byte_balanced(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_dedup", minhash_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
+
+#: Code lengths, MinHash candidates and differencing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as a table and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

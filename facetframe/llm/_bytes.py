@@ -10,6 +10,8 @@ BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_APART = np.zeros(256, bool)
+_APART[[*range(0x21), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +55,11 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def plain(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, ASCII punctuation and control bytes as blanks."""
+    return np.where(_APART[data], np.uint8(0x20), _LOWER[data])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes other than ASCII white space; runs end with their row."""
     inside = ~_SPACE[data]

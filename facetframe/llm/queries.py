@@ -5,15 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .decontaminate import overlaps
+from .langid import identify
 from .minhash import near_duplicates
+from .mixing import mixed
+from .sharding import byte_balanced
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_balanced(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_shard_documents": op7_shard_documents,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
