@@ -188,9 +188,30 @@ def _grid(found: DataFrame, p: NearDuplicates) -> DataFrame:
     return ask.select(columns).union(all_.select(columns))
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """``found`` with the buckets that share members made one, where that takes fewer comparisons than one by one.
+
+    Near copies meet in many buckets; there each pair would be held together as often. Buckets that only
+    some chance members connect stay apart.
+    """
+
+    def cost(keys: list[str]) -> DataFrame:
+        parts = found_in.groupBy(*keys, "comp").agg(F.count_distinct("rep").alias("part"))
+        return parts.groupBy(*keys).agg((F.sum("part") * (F.sum("part") - F.max("part"))).alias("cost"))
+
+    first = found.groupBy("bucket").agg(F.min("rep").alias("a"))
+    cluster = components(found.join(first, "bucket").select("a", F.col("rep").alias("b")).distinct())
+    found_in = cut(found.join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep"))
+    apart = cost(["cluster", "bucket"]).groupBy("cluster").agg(F.sum("cost").alias("apart"))
+    one = cost(["cluster"]).join(apart, "cluster").select("cluster", (F.col("cost") <= F.col("apart")).alias("one"))
+    key = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("bucket"))
+    return cut(found_in.join(one, "cluster").select(key.alias("bucket"), "rep", "comp").distinct())
+
+
 def _rest(found: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame:
     """Links (a, b) among all pairs of a bucket that are in unlike components."""
     block = ["bucket", "block", "part"]
+    found = _merged(found)
     near = _grid(found, p).join(sets.select("rep", "sketch"), "rep").groupBy(*block).applyInArrow(_pairs_in(p, whole=False), "bucket long, rep long")
     near = cut(near.distinct())
     left = found.join(near, ["bucket", "rep"], "left_semi")
