@@ -5,21 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .chat import formatted
 from .decontaminate import overlaps
 from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mixed
+from .quality import quality
+from .secrets import secrets
 from .sharding import byte_balanced
+from .tokens import token_counts
+from .toxicity import toxicity
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_balanced(table(spark, sf_dir, "documents"))
 
@@ -32,12 +53,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
+    "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
+    "op6_toxicity": op6_toxicity,
     "op7_shard_documents": op7_shard_documents,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
