@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's own default of 64 MB.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 
 
 def local_session(cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -29,8 +31,11 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives this package to the executors' Python workers, once for each application."""
+    """Gives this package to the executors' Python workers, once for each application, and bounds their batches."""
     context = spark.sparkContext
+    key, usual, bound = _BATCH
+    if spark.conf.get(key) == usual:
+        spark.conf.set(key, bound)
     if context.applicationId not in _shipped:
         folder = Path(tempfile.mkdtemp(prefix="facetframe-"))
         staged = folder / "staged"
