@@ -9,21 +9,29 @@ from ._common import cut, forget
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of ``edges``; the component is its smallest node.
+    """(node, component) of every node of ``edges`` that has another; the component is its smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then jumps to that label's own label, so
-    the rounds grow with the logarithm of a component's diameter on usual graphs. Nulls are ignored, repeated
-    edges and loops do no harm, and an empty table gives an empty table.
+    Each round points every node to its smallest neighbour or itself and contracts the edges to those, until none is left;
+    half of a component's nodes go at least, so the rounds grow with its logarithm and the edges shrink. Nulls and loops
+    are ignored, repeated edges do no harm, and an empty table gives an empty table.
     """
-    both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node is not null and other is not null").distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
-    while True:
-        told = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("told"))
-        met = labels.join(told, "node").select("node", "component", F.least("component", "told").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = cut(met.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("was")))
-        if new.where("component <> was").isEmpty():
-            forget(both, labels)
-            return new.select("node", "component")
-        forget(labels)
-        labels = new
+    low, high = F.least(a, b), F.greatest(a, b)
+    left = cut(edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct())
+    steps = []
+    while not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), "a").union(left.select("b", "a")).union(left.select("a", "a"))
+        up = cut(ends.groupBy("node").agg(F.min("a").alias("up")))
+        steps.append(up)
+        of = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
+        moved = left.join(of("a"), "a").join(of("b"), "b").where("up_a <> up_b")
+        shorter = cut(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        forget(left)
+        left = shorter
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = steps[0].select("node", F.col("up").alias("component"))
+    for step in steps[1:]:
+        labels = labels.join(step.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    labels = cut(labels)
+    forget(left, *steps)
+    return labels
