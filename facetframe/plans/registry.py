@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import frame_queries, label_queries, mesh_queries, plane_queries, table_queries
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (label_queries, frame_queries, plane_queries, mesh_queries, table_queries)
+
+QUERIES = {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql is not None}
