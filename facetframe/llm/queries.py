@@ -15,6 +15,7 @@ from .secrets import secrets
 from .sharding import byte_balanced
 from .tokens import token_counts
 from .toxicity import toxicity
+from .twins import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
