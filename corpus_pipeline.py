@@ -19,8 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each near-duplicate group."""
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id"))
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(near_duplicates(docs).where("not kept").selectExpr("doc_id as gone"))
+    gone = small(gone, gone.count())
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,14 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     finally:
         for k, v in usual.items():
             spark.conf.set(k, v)
+
+
+def folded(docs: DataFrame, *used: str) -> DataFrame:
+    """Columns ``used`` of ``docs`` and all others in one column ``rest``, so that names of other columns clash with nothing."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` from rows made by ``folded``."""
+    return rows.select(*[F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in docs.columns])

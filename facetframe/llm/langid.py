@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from ._bytes import blocks, utf8
-from ._common import crc_mod, small
+from ._common import crc_mod, folded, small, unfolded
 
 UNKNOWN = "und"
 
@@ -150,9 +151,10 @@ def _scored(model):
                 if not langs or not letters.any():
                     continue
                 context, symbol = _codes(part, own)
-                each = bits[lookup[context] * SYMBOLS + symbol]
+                entry = lookup[context] * SYMBOLS + symbol
+                step = max(1, (1 << 22) // len(langs))
                 for r in np.flatnonzero(letters):
-                    total = each[own[r] : own[r + 1]].sum(axis=0, dtype=np.float64)
+                    total = sum(bits[entry[k : min(k + step, own[r + 1])]].sum(axis=0, dtype=np.float64) for k in range(own[r], own[r + 1], step))
                     best[i + r] = k = int(total.argmin())
                     score[i + r] = 1 / np.exp2(np.maximum(total[k] - total, -1000)).sum()
             columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text"]
@@ -181,11 +183,12 @@ def learn(docs: DataFrame, p: LanguageModel):
     return spark.sparkContext.broadcast((langs, lookup, bits))
 
 
-def predict(docs: DataFrame, model, *, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language)."""
-    kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*[c for c in keep if c != "text"], F.col("text"))
-    fields = [f"`{c}` {t}" for c, t in kept.dtypes if c != "text"]
-    return kept.mapInArrow(_scored(model), ", ".join([*fields, "lang_pred string", "score double"]))
+def predict(docs: DataFrame, model, *, keep: list[str], text: bool = False) -> DataFrame:
+    """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language), and its text if asked."""
+    rows = docs.select(*keep, *([F.col("text").alias("same_text")] if text else []), "text")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(_scored(model), schema)
+    return found.withColumnRenamed("same_text", "text") if text else found
 
 
 def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
@@ -205,8 +208,7 @@ def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
 def spoken(docs: DataFrame, p: LanguageModel = LanguageModel(), least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose text has a language, with a posterior share of ``least`` or more; all columns as they are."""
     ship(docs.sparkSession)
-    tagged = docs.withColumns({"__text": F.col("text")})
-    columns = ["__text" if c == "text" else c for c in docs.columns]
-    found = predict(tagged, learn(docs, p), keep=columns)
+    rows = folded(docs, "text", "lang", "doc_id")
+    found = predict(rows, learn(docs, p), keep=["doc_id", "lang", "rest"], text=True)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return unfolded(kept, docs, "text", "lang", "doc_id")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, small
+from ._common import cut, folded, small, unfolded
 
 
 @dataclass(frozen=True)
@@ -88,5 +88,5 @@ def mixed(docs: DataFrame, p: Mixture = Mixture()) -> DataFrame:
 
 def repeated(docs: DataFrame, p: Mixture = Mixture()) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, each as often as it does; all columns as they are."""
-    rows, taken = plan(docs, p)
-    return rows.join(small(taken, taken.count()), ["mix_source", "mix_block"]).select(docs.columns)
+    rows, taken = plan(folded(docs, "doc_id", "source", "text"), p)
+    return unfolded(rows.join(small(taken, taken.count()), ["mix_source", "mix_block"]), docs, "doc_id", "source", "text")
