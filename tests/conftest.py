@@ -27,3 +27,8 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def pytest_configure(config):
+    here = Path(__file__).resolve().parent
+    sys.path[:0] = [str(here), str(here / "llm")]
