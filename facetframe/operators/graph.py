@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a table in the shared checkpoint folder, which goes when the application ends."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    at = f"{context.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    at = shared_path(df.sparkSession, "graph")
     df.write.parquet(at)
-    path = context._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a: str, b: str) -> DataFrame:

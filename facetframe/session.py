@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -44,3 +45,14 @@ def ship(spark: SparkSession) -> SparkSession:
         shutil.rmtree(staged)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder; what is written there goes when the application ends."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    at = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
