@@ -18,20 +18,19 @@ def written(df: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a: str, b: str) -> DataFrame:
     """Component (its smallest node) of every node, within each key (a scene or a frame).
 
-    Every round takes the least label of a node's neighbours and then jumps to that label's label. All groups go on
-    together, so the rounds are those of the widest component.
+    Every round points each node to its smallest neighbour or itself and contracts the pairs to those, until none is left.
+    All groups go on together, so the rounds are those of the widest component.
     """
-    both = pairs.select(*keys, F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(*keys, F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = written(both)
-    labels = written(nodes.select(*keys, F.col(node).alias("x")).distinct().withColumn("component", F.col("x")))
-    while True:
-        told = both.join(labels.withColumnRenamed("x", "y"), [*keys, "y"]).groupBy(*keys, "x").agg(F.min("component").alias("told"))
-        low = labels.join(told, [*keys, "x"], "left").select(*keys, "x", "component", F.least("component", F.coalesce("told", "component")).alias("low"))
-        far = labels.select(*keys, F.col("x").alias("low"), F.col("component").alias("far"))
-        new = written(low.join(far, [*keys, "low"], "left").select(*keys, "x", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("was")))
-        labels = new.drop("was")
-        if new.where("component <> was").isEmpty():
-            return labels.withColumnRenamed("x", node)
+    left = written(pairs.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct())
+    labels = nodes.select(*keys, node).distinct().withColumn("component", F.col(node))
+    while not left.isEmpty():
+        ends = left.select(*keys, F.col("x").alias("at"), "x").union(left.select(*keys, "y", "x")).union(left.select(*keys, "x", "x"))
+        up = written(ends.groupBy(*keys, "at").agg(F.min("x").alias("up")))
+        of = lambda end: up.select(*keys, F.col("at").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
+        moved = left.join(of("x"), [*keys, "x"]).join(of("y"), [*keys, "y"]).where("up_x <> up_y")
+        left = written(moved.select(*keys, F.least("up_x", "up_y").alias("x"), F.greatest("up_x", "up_y").alias("y")).distinct())
+        labels = labels.join(up.withColumnRenamed("at", "component"), [*keys, "component"], "left").select(*keys, node, F.coalesce("up", "component").alias("component"))
+    return labels
 
 
 def pixel_components(px: DataFrame, mask: str = "connected", eight: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
@@ -62,6 +63,49 @@ def huber_plane(p: np.ndarray, iterations: int = 8, k: float = 1.345, eps: float
     return n, d
 
 
+def label_regions(px: DataFrame, mask: str, eight: bool = True) -> DataFrame:
+    """Pixels with their connected region, numbered from 1 in each frame by its first pixel in row order; 0 outside the mask.
+
+    A frame is one group: runs of a row are joined to the runs they touch in the row above.
+    """
+    ship(px.sparkSession)
+    reach = 1 if eight else 0
+
+    def frame(rows: pa.Table) -> pa.Table:
+        v, u, on = rows.column("v").to_numpy(), rows.column("u").to_numpy(), rows.column(mask).to_numpy(zero_copy_only=False).astype(bool)
+        plane = np.zeros((v.max() - v.min() + 1, u.max() - u.min() + 3), np.int8)
+        plane[v - v.min(), u - u.min() + 1] = on
+        step = np.diff(plane, axis=1)
+        row, lo = np.nonzero(step == 1)
+        hi = np.nonzero(step == -1)[1]
+        root = list(range(len(row)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        first = np.searchsorted(row, np.arange(plane.shape[0] + 1))
+        for r in range(1, plane.shape[0]):
+            a, b = first[r - 1], first[r]
+            while a < first[r] and b < first[r + 1]:
+                if lo[a] < hi[b] + reach and lo[b] < hi[a] + reach:
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+                a, b = (a + 1, b) if hi[a] < hi[b] else (a, b + 1)
+        roots = np.array([find(k) for k in range(len(row))], int)
+        number = np.zeros(len(row) + 1, np.int32)
+        number[np.unique(roots)] = np.arange(1, len(np.unique(roots)) + 1)
+        out = np.zeros(plane.shape, np.int32)
+        for k in range(len(row)):
+            out[row[k], lo[k] + 1 : hi[k] + 1] = number[roots[k]]
+        return pa.table([rows.column(c) for c in ("scene_id", "frame_id", "v", "u")] + [pa.array(out[v - v.min(), u - u.min() + 1])], names=["scene_id", "frame_id", "v", "u", "region"])
+
+    kinds = dict(px.dtypes)
+    head = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", "frame_id", "v", "u"))
+    return px.select("scene_id", "frame_id", "v", "u", mask).groupBy("scene_id", "frame_id").applyInArrow(frame, f"{head}, region int")
+
+
 def robust_fits(points: DataFrame, keys: list[str], threshold: float = 0.01, iterations: int = 1000, support: int = 50, seed: int = 0) -> DataFrame:
     """RANSAC and least-squares refinement of each segment: counts, ratios and rms over the RANSAC inliers.
 

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from math import cos, radians, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PIXEL = ["scene_id", "frame_id", "v", "u"]
 FRAME = PIXEL[:2]
 
@@ -39,8 +43,8 @@ def similar(degrees: float) -> Column:
 AROUND = [(dv, du, 0.0, 0.0) for dv in range(-2, 3) for du in range(-2, 3) if dv or du]
 
 
-def connected(px: DataFrame, degrees: float = 5.0, relative: float = 0.025, least: int = 8, planarity: float = 0.3) -> DataFrame:
-    """Pixels and whether ``least`` of their 24 neighbours are planar, smooth and close in depth to them."""
+def connected_by_join(px: DataFrame, degrees: float = 5.0, relative: float = 0.025, least: int = 8, planarity: float = 0.3) -> DataFrame:
+    """``connected`` as offset joins: 24 rows for each pixel go through the shuffle, so it is for small rasters."""
     flat = normal_gradient(px).withColumns({"mask": F.col("planarity") > planarity, "smooth": similar(degrees)})
     near = _spread(flat, AROUND, ["z", "mask", "smooth"]).select(*PIXEL, F.col("z").alias("nz_"), (F.col("mask") & F.col("smooth")).alias("good"))
     hit = flat.where("mask").select(*PIXEL, "z").join(near.where("good"), PIXEL).where(F.abs(F.col("z") - F.col("nz_")) < relative * F.col("z"))
@@ -48,6 +52,51 @@ def connected(px: DataFrame, degrees: float = 5.0, relative: float = 0.025, leas
     return flat.join(counts, PIXEL, "left").select(*PIXEL, "gradient", F.coalesce("neighbours", F.lit(0)).alias("neighbours")).withColumn("connected", F.col("neighbours") >= least)
 
 
+def _raster(rows: pa.Table, columns: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row and column of each pixel from the frame's corner, and zero-filled planes of the columns with two pixels of margin."""
+    v, u = rows.column("v").to_numpy(), rows.column("u").to_numpy()
+    v, u = v - v.min() + 2, u - u.min() + 2
+    out = []
+    for c in columns:
+        plane = np.zeros((v.max() + 3, u.max() + 3))
+        plane[v, u] = rows.column(c).to_numpy()
+        out.append(plane)
+    return v, u, out
+
+
+def _moved_by(plane: np.ndarray, dv: int, du: int) -> np.ndarray:
+    """The plane seen at an offset, without its margin."""
+    h, w = plane.shape
+    return plane[2 + dv : h - 2 + dv, 2 + du : w - 2 + du]
+
+
+def connected(px: DataFrame, degrees: float = 5.0, relative: float = 0.025, least: int = 8, planarity: float = 0.3) -> DataFrame:
+    """Pixels with the gradient of their normals and whether ``least`` of their 24 neighbours are planar, smooth and close in depth.
+
+    Every pixel is shuffled once, to its frame; a frame is held as small dense planes and its stencils are shifted sums.
+    """
+    ship(px.sparkSession)
+    limit = sqrt(2 - 2 * cos(radians(degrees)))
+
+    def frame(rows: pa.Table) -> pa.Table:
+        v, u, (nx, ny, nz, z, mask) = _raster(rows, ["nx", "ny", "nz", "z", "planarity"])
+        square = 0.0
+        for n in (nx, ny, nz):
+            for weight in (2, 3):
+                square = square + sum(o[weight] * _moved_by(n, o[0], o[1]) for o in SOBEL) ** 2
+        gradient = np.sqrt(square)
+        on = mask > planarity
+        good = np.pad(gradient <= limit, 2) & on
+        centre = _moved_by(z, 0, 0)
+        count = sum((_moved_by(good, dv, du) & (np.abs(centre - _moved_by(z, dv, du)) < relative * centre)).astype(np.int32) for dv, du, *_ in AROUND) * _moved_by(on, 0, 0)
+        at = (v - 2, u - 2)
+        n = count[at]
+        return pa.table([rows.column(c) for c in PIXEL] + [pa.array(gradient[at]), pa.array(n.astype(np.int32)), pa.array(n >= least)], names=[*PIXEL, "gradient", "neighbours", "connected"])
+
+    kinds = dict(px.dtypes)
+    return px.select(*PIXEL, "nx", "ny", "nz", "z", "planarity").groupBy(*FRAME).applyInArrow(frame, ", ".join(f"{c} {kinds[c]}" for c in PIXEL) + ", gradient double, neighbours int, connected boolean")
+
+
 def _moved(column: str, axis: str) -> tuple[Column, Column]:
     other = "u" if axis == "v" else "v"
     w = Window.partitionBy(*FRAME, other).orderBy(axis)

@@ -143,7 +143,12 @@ _W2 = f"with px as (select * from {PX} p), {_W1}, f as (select px.*, gradient <=
 
 @query("w02_connected_pixels", f"{_W2} select f.scene_id, f.frame_id, f.v, f.u, coalesce(c.n, 0) as neighbours, coalesce(c.n, 0) >= 8 as connected from f left join c on f.scene_id = c.scene_id and f.frame_id = c.frame_id and f.v = c.v and f.u = c.u")
 def w02(spark, sf):
-    return stencil.connected(_frames(spark, sf)).drop("gradient")
+    return stencil.connected(_frames(spark, sf)).select("scene_id", "frame_id", "v", "u", F.col("neighbours").cast("bigint").alias("neighbours"), "connected")
+
+
+@query("w02_connected_by_join", f"{_W2} select f.scene_id, f.frame_id, f.v, f.u, coalesce(c.n, 0) as neighbours, coalesce(c.n, 0) >= 8 as connected from f left join c on f.scene_id = c.scene_id and f.frame_id = c.frame_id and f.v = c.v and f.u = c.u")
+def w02b(spark, sf):
+    return stencil.connected_by_join(_frames(spark, sf)).drop("gradient")
 
 
 _XYZ = f"(select scene_id, frame_id, v, u, {X} as x, {Y} as y, z from {PX} p)"
@@ -174,17 +179,22 @@ def g02(spark, sf):
     return graph.pixel_components(px, "on").where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels"))
 
 
+@query("g02_frame_regions", f"select scene_id, frame_id, v, u, label as region from {PX} p")
+def g02b(spark, sf):
+    return kernels.label_regions(_frames(spark, sf).withColumn("on", F.col("label") > 0), "on")
+
+
 @query("x01_planar_segments", f"{_W2} select scene_id, frame_id, case when u < 15 then 1 else 2 end as region, count(*) as pixels from c where n >= 8 group by all")
 def x01(spark, sf):
     """Both halves are one region each, so the twin names them by their side of the crease."""
-    found = graph.pixel_components(stencil.connected(_frames(spark, sf)), "connected")
+    found = kernels.label_regions(stencil.connected(_frames(spark, sf)), "connected")
     return found.where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels"))
 
 
 @query("p05_small_components", f"select scene_id, frame_id, 2 as region, count(*) as pixels from {PX} p where label = 2 and scene_id < 0 group by all")
 def p05(spark, sf):
     px = _frames(spark, sf).withColumn("on", F.col("label") > 0)
-    found = graph.pixel_components(px, "on", eight=False)
+    found = kernels.label_regions(px, "on", eight=False)
     return found.where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels")).where("pixels >= 400")
 
 
