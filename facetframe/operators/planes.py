@@ -38,7 +38,7 @@ def fit(points: DataFrame, keys: list[str], xyz: tuple[str, str, str] = ("x", "y
         m = m.withColumn(f"v{k}", F.struct(G.dot(c, c).alias("size"), F.lit(k).alias("k"), *[x.alias(n) for x, n in zip(c, "abc", strict=True)]))
     # exploding a filtered array of one keeps the condition here: as a filter it would be moved below all this, inlined
     m = m.withColumn("v", F.greatest("v0", "v1", "v2"))
-    m = m.select(*keys, "num_points", "mx", "my", "mz", "low", F.explode(F.filter(F.array("v"), lambda v: v["size"] > 1e-30)).alias("v"))
+    m = m.select(*keys, "num_points", "mx", "my", "mz", "low", F.explode(F.filter(F.array("v"), lambda v: v["size"] > 1e-22 * F.pow(F.col("q"), F.lit(4.0)))).alias("v"))
     n = [F.col(f"v.{c}") / F.sqrt("v.size") for c in "abc"]
     d = -(n[0] * F.col("mx") + n[1] * F.col("my") + n[2] * F.col("mz"))
     sign = F.when(d < 0, -1.0).otherwise(1.0)
