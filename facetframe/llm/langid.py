@@ -205,7 +205,7 @@ def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
     return predict(rows, learn(docs, p), keep=["doc_id", "held_out"])
 
 
-def spoken(docs: DataFrame, p: LanguageModel = LanguageModel(), least: float = 0.5) -> DataFrame:
+def spoken(docs: DataFrame, p: LanguageModel = LanguageModel(), least: float = 0.3) -> DataFrame:
     """Rows of ``docs`` whose text has a language, with a posterior share of ``least`` or more; all columns as they are."""
     ship(docs.sparkSession)
     rows = folded(docs, "text", "lang", "doc_id")
