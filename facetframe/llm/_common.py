@@ -71,6 +71,17 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those whose doc_id and text ``gone`` (doc_id, text_hash) has; all columns as they are.
+
+    Only keys of the rows to drop are moved: broadcast while few, else both sides shuffle.
+    """
+    keys = cut(gone.selectExpr("doc_id as gone_id", "text_hash as gone_hash").distinct())
+    keys = small(keys, keys.count())
+    same = docs["doc_id"].eqNullSafe(keys["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["gone_hash"])
+    return docs.join(keys, same, "left_anti")
+
+
 def folded(docs: DataFrame, *used: str) -> DataFrame:
     """Columns ``used`` of ``docs`` and all others in one column ``rest``, so that names of other columns clash with nothing."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in used]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from ._bytes import blocks, hashes, mix, plain, utf8, words
-from ._common import cut, folded, unfolded
+from ._common import cut, without
 
 
 @dataclass(frozen=True)
@@ -183,8 +183,8 @@ def _joined(docs: DataFrame, bench: DataFrame, keep: list[str], p: SpacedSeeds)
     return keyed.select("doc_key", *keep).join(by, "doc_key", "left").select(*keep, F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("most_equal", F.lit(0).cast("long")).alias("most_equal"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds(), keep: list[str] | None = None, text: bool = False) -> DataFrame:
-    """Columns ``keep`` (doc_id) of every row of ``docs`` (and its text if asked), with items (ids of the benchmark items that its text overlaps,
+def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds(), keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (doc_id) of every row of ``docs``, with items (ids of the benchmark items that its text overlaps,
     ascending), most_equal (most equal words of an overlap, 0 for none) and contaminated.
 
     ``benchmark`` has item_id and text; other columns are ignored on both sides. Null texts are empty. Texts and items
@@ -194,7 +194,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds
     spark = ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    rows = docs.select(*keep, *([F.col("text").alias("same_text")] if text else []), "text")
+    rows = docs.select(*keep, "text")
     size = bench.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     if size <= p.broadcast_bytes:
         got = bench.orderBy("item_id", "text").toArrow()
@@ -203,12 +203,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds
         schema = T.StructType([*rows.schema.fields[:-1], T.StructField("items", T.ArrayType(T.LongType())), T.StructField("most_equal", T.LongType())])
         found = rows.mapInArrow(_scanned(index, p), schema)
     else:
-        found = _joined(rows, bench, [*keep, *(["same_text"] if text else [])], p)
-    found = found.withColumnRenamed("same_text", "text") if text else found
+        found = _joined(rows, bench, keep, p)
     return found.withColumn("contaminated", F.col("most_equal") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds()) -> DataFrame:
     """Rows of ``docs`` that overlap no benchmark item; all columns as they are."""
-    found = overlaps(folded(docs, "text", "doc_id"), benchmark, p, keep=["doc_id", "rest"], text=True)
-    return unfolded(found.where("not contaminated"), docs, "text", "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return without(docs, overlaps(rows, benchmark, p, keep=["doc_id", "text_hash"]).where("contaminated"))

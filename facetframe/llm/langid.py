@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from ._bytes import blocks, utf8
-from ._common import crc_mod, folded, small, unfolded
+from ._common import crc_mod, small, without
 
 UNKNOWN = "und"
 
@@ -183,12 +183,11 @@ def learn(docs: DataFrame, p: LanguageModel):
     return spark.sparkContext.broadcast((langs, lookup, bits))
 
 
-def predict(docs: DataFrame, model, *, keep: list[str], text: bool = False) -> DataFrame:
-    """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language), and its text if asked."""
-    rows = docs.select(*keep, *([F.col("text").alias("same_text")] if text else []), "text")
+def predict(docs: DataFrame, model, *, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language)."""
+    rows = docs.select(*keep, "text")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = rows.mapInArrow(_scored(model), schema)
-    return found.withColumnRenamed("same_text", "text") if text else found
+    return rows.mapInArrow(_scored(model), schema)
 
 
 def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
@@ -208,7 +207,6 @@ def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
 def spoken(docs: DataFrame, p: LanguageModel = LanguageModel(), least: float = 0.3) -> DataFrame:
     """Rows of ``docs`` whose text has a language, with a posterior share of ``least`` or more; all columns as they are."""
     ship(docs.sparkSession)
-    rows = folded(docs, "text", "lang", "doc_id")
-    found = predict(rows, learn(docs, p), keep=["doc_id", "lang", "rest"], text=True)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return unfolded(kept, docs, "text", "lang", "doc_id")
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash"))
+    found = predict(rows, learn(rows, p), keep=["doc_id", "text_hash"])
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))
