@@ -220,3 +220,49 @@ def test_half_precision(spark):
 def test_scene_list(spark):
     t = spark.createDataFrame([("a, b",), ("# no",), ("",), ("c",)], "value string")
     assert sorted(r.scene for r in texts.scene_list(t).collect()) == ["a", "b", "c"]
+
+
+def test_parameters():
+    from facetframe import params
+
+    p = params.scaled(params.Extraction(), "metric", 0.01)
+    assert p.grow_distance == pytest.approx(1.5) and p.least_area == pytest.approx(1000) and p.grow_degrees == 8.0
+    assert params.scaled(params.Extraction(), "original", None) == params.Extraction()
+    assert params.cast(params.Evaluation, {"gate": "0.5", "thresholds": "0.1,0.2"}).thresholds == (0.1, 0.2)
+    with pytest.raises(KeyError):
+        params.cast(params.Evaluation, {"nope": "1"})
+
+
+def test_segment_merge_joins_one_plane(spark):
+    from facetframe.operators import growth
+
+    r = np.random.default_rng(8)
+    rows = [(1, 1 + int(x > 0), float(x), float(y), 1.0) for x, y in r.uniform(-1, 1, (200, 2))] + [(1, 3, float(x), float(y), 3.0 + float(x)) for x, y in r.uniform(-1, 1, (100, 2))]
+    t = spark.createDataFrame(rows, "f int, label int, x double, y double, z double")
+    labels, log = growth.merge_segments(t, ["f"], 10.0, 0.05)
+    assert {x.label: x.merged for x in labels.collect()} == {1: 1, 2: 1, 3: 3}
+    assert [(x.a, x.b, x.accepted) for x in log.where("round = 0").collect()] == [(1, 2, True)]
+
+
+def test_near_in_space_equals_brute_force(spark):
+    from facetframe.operators import growth
+
+    r = np.random.default_rng(9)
+    p = r.uniform(0, 4, (80, 3))
+    label = r.integers(0, 12, 80)
+    t = spark.createDataFrame([(1, int(k), *map(float, x)) for k, x in zip(label, p, strict=True)], "f int, label int, x double, y double, z double")
+    want = {(int(min(label[i], label[j])), int(max(label[i], label[j]))) for i in range(80) for j in range(i) if label[i] != label[j] and np.linalg.norm(p[i] - p[j]) <= 0.4}
+    assert {(x.a, x.b) for x in growth.near_in_space(t, ["f"], 0.4).collect()} == want
+
+
+def test_extraction_finds_the_flat_halves(spark):
+    from facetframe.operators import growth
+    from facetframe.params import Extraction
+
+    n = 9
+    v = spark.createDataFrame([(1, i * n + j, float(j), float(i), max(0.0, j - 4.0)) for i in range(n) for j in range(n)], "scene_id long, vid long, x double, y double, z double")
+    cells = [(i, j, t) for i in range(n - 1) for j in range(n - 1) for t in range(2)]
+    f = spark.createDataFrame([(1, k, *((i * n + j, i * n + j + 1, (i + 1) * n + j) if t == 0 else (i * n + j + 1, (i + 1) * n + j + 1, (i + 1) * n + j)), 0) for k, (i, j, t) in enumerate(cells)], "scene_id long, fid long, v0 long, v1 long, v2 long, label_int int")
+    got = growth.extract(mesh.shapes(f, v), mesh.adjacency(f), Extraction(least_faces=8, least_area=1.0, rounds=1))
+    sizes = sorted(x["count"] for x in got.groupBy("patch").count().collect())
+    assert len(sizes) == 2 and min(sizes) >= 56
