@@ -94,7 +94,7 @@ def resolve_names(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """
     number = F.col("token").rlike("^[0-9]+$")
     kind = F.when(number & (F.col("token").try_cast("long") == F.col("id")), 1).when(F.lower("token") == F.lower("name"), 2).when(F.contains(F.lower("name"), F.lower("token")), 3)
-    pairs = tokens.crossJoin(F.broadcast(labels)).withColumn("kind", kind).where("kind is not null")
+    pairs = tokens.crossJoin(labels).withColumn("kind", kind).where("kind is not null")
     best = pairs.withColumn("best", F.min("kind").over(Window.partitionBy("token"))).where("kind = best")
     return tokens.join(best.select("token", "id", "kind"), "token", "left")
 

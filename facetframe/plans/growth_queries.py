@@ -249,7 +249,7 @@ def s31(spark, sf):
     n = view(spark, sf, "nation")
     for rows in (n, n.where("n_nationkey > 10")):
         texts.append_runtimes(rows.groupBy(F.col("n_regionkey").alias("stage")).agg(F.count("*").alias("calls")), at)
-    return spark.read.option("header", True).schema("stage long, calls long").csv(at)
+    return spark.read.option("header", True).schema("stage int, calls long").csv(at)
 
 
 @query("s33_label_clip", "select l_orderkey, l_linenumber, cast(least(greatest(l_partkey * 10 - 50, 0), 65535) as bigint) as label from lineitem")

@@ -195,7 +195,7 @@ def f07(spark, sf):
     return rounded(view(spark, sf, "planes_fx").select("plane_id", e[0].alias("ex"), e[1].alias("ey")))
 
 
-@query("f08_project_to_plane", f"select idx, round(x - (z - 0.1) * 0.0, 6) + 0.0 as x, 0.1 as z, round(case when abs(z) > 1e-8 and abs(0.1 / z - 1) * sqrt(x*x + y*y + z*z) <= 0.3 then x * (0.1 / z) else x end, 6) + 0.0 as rx from {PTS} p")
+@query("f08_project_to_plane", f"select idx, round(x - (z - 0.1) * 0.0, 6) + 0.0 as x, 0.1::double as z, round(case when abs(z) > 1e-8 and abs(0.1 / z - 1) * sqrt(x*x + y*y + z*z) <= 0.3 then x * (0.1 / z) else x end, 6) + 0.0 as rx from {PTS} p")
 def f08(spark, sf):
     p, n, d = [F.col(c) for c in "xyz"], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], F.lit(-0.1)
     near, ray = G.onto_plane(p, n, d), G.onto_plane_by_ray(p, n, d)

@@ -83,7 +83,7 @@ def s22(spark, sf):
     return texts.segment_labels(seg, groups)
 
 
-@query("s27_extrinsics", "select lpad(cast(p_partkey as varchar), 5, '0') as frame_id, round(p_retailprice, 4) as tx, 1.0 as last from part where p_partkey % 2 = 0")
+@query("s27_extrinsics", "select lpad(cast(p_partkey as varchar), 5, '0') as frame_id, round(p_retailprice, 4) as tx, 1.0::double as last from part where p_partkey % 2 = 0")
 def s27(spark, sf):
     at = shared_path(spark, "extrinsic")
     p = view(spark, sf, "part")
@@ -93,7 +93,7 @@ def s27(spark, sf):
     return rounded(got.select("frame_id", F.get("pose", F.lit(3)).alias("tx"), F.get("pose", F.lit(15)).alias("last")), digits=4)
 
 
-@query("s28_pose_json", "select cast(n_nationkey as varchar) as frame_id, 40.0 as fx, 1.5 * n_nationkey as cx, cast(n_nationkey as double) as tz from nation")
+@query("s28_pose_json", "select cast(n_nationkey as varchar) as frame_id, 40.0::double as fx, 1.5::double * n_nationkey as cx, cast(n_nationkey as double) as tz from nation")
 def s28(spark, sf):
     at = shared_path(spark, "poses")
     n = F.col("n_nationkey")
