@@ -12,7 +12,7 @@ from ..params import Extraction, scaled
 from ..session import shared_path
 from ._common import registrar, rounded
 from .fixtures import sql, view
-from .frame_queries import CAMERA, X, Y
+from .frame_queries import _W2, CAMERA, X, Y
 from .mesh_queries import _RAYS, _SH, _camera_faces, _faces, _shapes
 from .plane_queries import _cloud, _fit
 from .plane_queries import KEYS as SEGMENT
@@ -267,3 +267,79 @@ def s30(spark, sf):
 def s37(spark, sf):
     size = sum((F.col(c) * F.col(c) for c in ("ny", "nz", "d")), F.col("nx") * F.col("nx"))
     return rounded(view(spark, sf, "planes_fx").select("plane_id", (F.col("nx") / size).alias("a"), (F.col("d") / size).alias("d")))
+
+
+@query("s02_scene_predictions", f"select scene_id, frame_id, v, u, label from {sql('px_grid')} p where scene_id = 5")
+def s02(spark, sf):
+    from ..sources import frames
+
+    at = shared_path(spark, "predictions")
+    frames.save(frames.packed(view(spark, sf, "px_grid"), ["label"]), at, "label")
+    one = frames.read(spark, at, [5]).withColumn("scene_id", F.col("scene_id").cast("bigint"))
+    return frames.exploded(one, ["label"])
+
+
+@query("s04_indoor_scan", "select o_orderkey as frame_id, c_custkey as scene_id, c_acctbal as pose, greatest(o_custkey - 50, 0) as label from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' and o_orderkey in (select l_orderkey from lineitem)")
+def s04(spark, sf):
+    frames_, poses = view(spark, sf, "orders"), view(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    complete = view(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    rows = frames_.join(poses, frames_["o_custkey"] == poses["c_custkey"]).join(complete, "o_orderkey", "left_semi")
+    return rows.select(F.col("o_orderkey").alias("frame_id"), F.col("c_custkey").alias("scene_id"), F.col("c_acctbal").alias("pose"), F.greatest(F.col("o_custkey") - 50, F.lit(0)).alias("label"))
+
+
+@query("s11_adapter_step", f"with f as (select distinct scene_id, frame_id from {sql('px_grid')} p), n as (select *, row_number() over (partition by scene_id order by frame_id) - 1 as pos from f) select scene_id, frame_id, 24::int as h, 32::int as w, 768::bigint as pixels from n where pos % 2 = 0")
+def s11(spark, sf):
+    from ..sources import adapters, frames
+
+    at = shared_path(spark, "adapter")
+    px = view(spark, sf, "px_grid").withColumnRenamed("z", "depth")
+    frames.save(frames.packed(px, ["depth", "label"]), at)
+    got = adapters.read(spark, "table", at, 2)
+    return got.select(F.col("scene_id").cast("bigint").alias("scene_id"), "frame_id", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.size("depth").cast("bigint").alias("pixels"))
+
+
+@query("s16_replaced_table", "select n_nationkey, n_name from nation where n_regionkey = 2")
+def s16(spark, sf):
+    at = shared_path(spark, "replaced")
+    n = view(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for rows in (n, n.where("n_regionkey = 2")):
+        rows.drop("n_regionkey").write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+@query("s20_plane_palette", f"select plane_id, label, (plane_id * 37 % 256)::int as r, (plane_id * 91 % 256)::int as g, (plane_id * 151 % 256)::int as b from {sql('planes_fx')} p")
+def s20(spark, sf):
+    at = shared_path(spark, "palette")
+    colour = F.array(*[((F.col("plane_id") * k) % 256).cast("int") for k in (37, 91, 151)])
+    view(spark, sf, "planes_fx").select("plane_id", "label", colour.alias("color_rgb")).write.json(at)
+    got = spark.read.schema("plane_id long, label string, color_rgb array<int>").json(at)
+    return got.select("plane_id", "label", *[F.get("color_rgb", F.lit(k)).alias(c) for k, c in enumerate("rgb")])
+
+
+@query("g08_tiered_seeds", f"with {_SH} select scene_id, label_int, case when area < 0.55 then 'small' when area < 0.6 then 'normal' when area < 0.7 then 'big' else 'huge' end as tier, count(*) as faces from sh group by all")
+def g08(spark, sf):
+    shapes = _shapes(spark, sf)
+    return shapes.withColumn("tier", mesh.tiers("area", 0.55, 0.6, 0.7)).groupBy("scene_id", "label_int", "tier").agg(F.count("*").alias("faces"))
+
+
+@query("g12_cross_split_merge")
+def g12(spark, sf):
+    """Labels split for size and joined again where their parts are one plane."""
+    parts = growth.split_by_median(_shapes(spark, sf).withColumn("part", F.lit(1)), ["scene_id", "label_int"], most=20)
+    merged = growth.merged(parts.withColumn("patch", F.col("part")), 10.0, 0.1)
+    return merged.groupBy("scene_id", "label_int", "patch").agg(F.count("*").alias("faces"))
+
+
+@query(
+    "d06_benchmark",
+    _W2 + ", px2 as (select px.scene_id, px.frame_id, px.label as gt, case when c.n >= 8 then case when px.u < 15 then 1 else 2 end else 0 end as pred from px left join c using (scene_id, frame_id, v, u)), "
+    + "con as (select scene_id, frame_id, gt, pred, count(*) as n from px2 group by all), mar as (select *, sum(n) over (partition by scene_id, frame_id, gt) as r, sum(n) over (partition by scene_id, frame_id, pred) as cc from con), "
+    + "best as (select scene_id, frame_id, gt, max(r) as area, max(n::double / (r + cc - n)) as iou from mar group by all), sc as (select scene_id, frame_id, sum(area * iou) / sum(area) as sc from best group by all), "
+    + "bp as (select scene_id, frame_id, count(*) filter ((gt > 0) = (pred > 0))::double / count(*) as acc from px2 group by all) select scene_id, count(*) as num_frames, round(avg(sc), 6) as sc, round(avg(acc), 6) as bp_accuracy from sc join bp using (scene_id, frame_id) group by scene_id",
+)
+def d06(spark, sf):
+    from . import benchmark
+
+    px = view(spark, sf, "px_grid")
+    scenes, _ = benchmark.results(benchmark.evaluated(benchmark.segmented(px), px))
+    return rounded(scenes.select("scene_id", "num_frames", "sc", "bp_accuracy"))
