@@ -266,3 +266,30 @@ def test_extraction_finds_the_flat_halves(spark):
     got = growth.extract(mesh.shapes(f, v), mesh.adjacency(f), Extraction(least_faces=8, least_area=1.0, rounds=1))
     sizes = sorted(x["count"] for x in got.groupBy("patch").count().collect())
     assert len(sizes) == 2 and min(sizes) >= 56
+
+
+def test_adapters(spark, tmp_path):
+    from facetframe.sources import adapters, arrays
+
+    seg = np.full((4, 6), 20)
+    seg[:, :3] = 0
+    for frame in range(5):
+        (tmp_path / f"3_{frame}_d2.npz").write_bytes(arrays.encode(np.full((4, 6), frame + 1.0), seg, np.eye(3)))
+    (tmp_path / "3_9_d2.npz").write_bytes(b"")
+    got = {r.frame_id: r for r in adapters.read(spark, "archives", str(tmp_path), 2).collect()}
+    assert sorted(got) == [0, 2, 4] and got[2].depth == [3.0] * 24 and got[2].label == [1, 1, 1, 0, 0, 0] * 4
+    assert [r.scene_id for r in adapters.scenes(spark, "archives", str(tmp_path)).collect()] == [3]
+
+
+def test_stream_is_exactly_once(spark, tmp_path):
+    from facetframe.streaming import ingest
+
+    px = spark.createDataFrame([(1, f, f % 3, 1) for f in range(12)], SEG)
+    px.repartition(3).write.parquet(str(tmp_path / "in"))
+    run = lambda: ingest.run_available(ingest.contingency_stream(spark, str(tmp_path / "in"), SEG, 1), str(tmp_path / "out"), str(tmp_path / "state"))
+    run()
+    px.where("frame_id < 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    run()
+    got = {r.frame_id: r.n for r in ingest.newest(spark, str(tmp_path / "out"), ["scene_id", "frame_id", "gt", "pred"], "n").collect()}
+    assert got == {f: 2 if f < 4 else 1 for f in range(12)}
