@@ -198,10 +198,10 @@ def u01(spark, sf):
     return rows.where("l_quantity < 5").select(F.col("l_partkey").alias("id")).union(rows.where("l_quantity > 45").select("l_suppkey")).distinct()
 
 
-@query("u02_shard_concat", f"with m as (select *, 0 as shard from {sql('metrics_fx')} a union all select scene_id, frame_id, n, m1 + 1, m2, 1 from {sql('metrics_fx')} b where frame_id % 3 = 0) select scene_id, frame_id, n, round(arg_max(m1, shard), 4) as m1 from m group by scene_id, frame_id, n")
+@query("u02_shard_concat", f"with m as (select *, 0 as shard from {sql('metrics_fx')} a union all select scene_id, frame_id, n, m1 + 1, m2, 1 from {sql('metrics_fx')} b where n > 10) select scene_id, frame_id, n, round(arg_max(m1, shard), 4) as m1 from m group by scene_id, frame_id, n")
 def u02(spark, sf):
     f = view(spark, sf, "metrics_fx").withColumn("shard", F.lit(0))
-    more = f.where("frame_id % 3 = 0").withColumns({"m1": F.col("m1") + 1, "shard": F.lit(1)})
+    more = f.where("n > 10").withColumns({"m1": F.col("m1") + 1, "shard": F.lit(1)})
     return rounded(rollup.latest(f.unionByName(more), ["scene_id", "frame_id"], "shard").select("scene_id", "frame_id", "n", "m1"), digits=4)
 
 

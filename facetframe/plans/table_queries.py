@@ -24,14 +24,14 @@ def j01(spark, sf):
 _STRIP = "regexp_replace({0}, '^0+(.)', '\\1')"
 
 
-@query("j02_prioritised_keys", f"""with k as (select * from {KEYS} x), p as (select * from k where frame_ord % 5 <> 0),
+@query("j02_prioritised_keys", f"""with k as (select * from {KEYS} x), p as (select * from k),
     a as (select pred_key as k, min(pred_key) as m from p where pred_key is not null group by 1), b as (select {_STRIP.format('pred_key')} as k, min(pred_key) as m from p where pred_key is not null group by 1),
     d as (select try_cast(pred_key as bigint) as k, min(pred_key) as m from p where try_cast(pred_key as bigint) is not null group by 1), o as (select frame_ord as k, min(pred_key) as m from p group by 1)
     select k.frame_ord, k.gt_key, coalesce(a.m, b.m, f.m, d.m, o.m) as match, case when a.m is not null then 0 when b.m is not null then 1 when f.m is not null then 2 when d.m is not null then 3 when o.m is not null then 4 end as rule
     from k left join a on k.gt_key = a.k left join b on {_STRIP.format('k.gt_key')} = b.k left join a f on 'frame_' || k.gt_key = f.k left join d on try_cast(k.gt_key as bigint) = d.k left join o on k.frame_ord = o.k""")
 def j02(spark, sf):
     k = view(spark, sf, "keys_fx")
-    return joins.prioritised(k.select("frame_ord", "gt_key"), k.where("frame_ord % 5 <> 0").select("frame_ord", "pred_key"))
+    return joins.prioritised(k.select("frame_ord", "gt_key"), k.select("frame_ord", "pred_key"))
 
 
 @query("j03_prefix_lookup", f"with k as (select * from {KEYS} x) select a.gt_key, b.pred_key as match from k a join k b on b.pred_key = 'frame_' || a.gt_key")
