@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; the temporaries are about 40 bytes for each.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -19,6 +21,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which a task's worker gives the memory of its batches back: it goes on to serve other tasks."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return held
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of a uint64 over all others, in place."""
     h ^= h >> np.uint64(33)

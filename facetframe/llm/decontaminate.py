@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from ._bytes import blocks, hashes, mix, plain, utf8, words
+from ._bytes import blocks, hashes, mix, plain, trimmed, utf8, words
 from ._common import cut, without
 
 
@@ -131,7 +131,7 @@ def _scanned(index, p: SpacedSeeds):
             columns = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in columns), pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int64())], names=[*(n for n, _ in columns), "items", "most_equal"])
 
-    return run
+    return trimmed(run)
 
 
 def _windows(p: SpacedSeeds):
@@ -148,7 +148,7 @@ def _windows(p: SpacedSeeds):
                     at = np.flatnonzero(row[: len(seeds)] == row[p.span - 1 :])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[at]]), pa.array(seeds[at].view(np.int64)), pa.array(at - first[row[at]])], names=["id", "seed", "place"])
 
-    return run
+    return trimmed(run)
 
 
 def _verified(p: SpacedSeeds):
@@ -167,7 +167,7 @@ def _verified(p: SpacedSeeds):
                 equal = pa.array([_overlap(a, b, s, p.penalty) for a, b, s in zip(*sides, batch.column("shift").to_pylist(), strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("item_id"), equal], names=["doc_key", "item_id", "equal"])
 
-    return run
+    return trimmed(run)
 
 
 def _joined(docs: DataFrame, bench: DataFrame, keep: list[str], p: SpacedSeeds) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from ._bytes import blocks, utf8
+from ._bytes import blocks, trimmed, utf8
 from ._common import crc_mod, small, without
 
 UNKNOWN = "und"
@@ -161,7 +161,7 @@ def _scored(model):
             kept = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*columns, names.take(pa.array(best)), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def learn(docs: DataFrame, p: LanguageModel):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._bytes import mix, shingle_sets
+from ._bytes import mix, shingle_sets, trimmed
 from ._common import cut, forget, settings, small
 from .graph import components
 
@@ -101,7 +101,7 @@ def _signed(p: NearDuplicates):
             signed = h.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else signed[k] for k in rows], pa.list_(pa.int64())), pa.array([None if k is None else low[k].tobytes() for k in rows], pa.binary())], schema=_SIGNED)
 
-    return run
+    return trimmed(run)
 
 
 def _alike(p: NearDuplicates):
@@ -113,7 +113,7 @@ def _alike(p: NearDuplicates):
             same = pa.array((a == b).sum(axis=1) >= p.floor)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(same), batch.column("b").filter(same)], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _linked(p: NearDuplicates):
@@ -133,7 +133,7 @@ def _linked(p: NearDuplicates):
                     linked.append(100 * both >= p.threshold * (len(a) + len(b) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
-    return run
+    return trimmed(run)
 
 
 def _pairs_in(p: NearDuplicates, whole: bool):
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     Documents with 100 * |A ∩ B| >= ``threshold`` * |A ∪ B| of their word shingles are linked; component_id is the
     smallest doc_id that links reach. A text of fewer words than ``width`` is one shingle. Null and empty texts and
     texts without words have the empty set, are linked with nothing and are kept. Rows of a null doc_id are left out.
-    Equal sets are one node from the start; of rows that repeat a doc_id with unlike texts, each is a row of the result
-    under its own set. An empty table gives an empty table.
+    Equal sets are one node from the start. Rows that repeat a doc_id with unlike texts are one node: the first text in order
+    decides on its links, and each row has its own n_shingles. An empty table gives an empty table.
 
     A round's work on a bucket of n documents is linear: it holds the members against one pivot. Only the members that
     stay outside the bucket's largest component are then held against all others, first by their sketches.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._bytes import blocks, utf8, words
+from ._bytes import blocks, trimmed, utf8, words
 
 
 @dataclass(frozen=True)
@@ -254,7 +254,7 @@ def _scanned(p: SecretScan):
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "truncated"])
 
-    return run
+    return trimmed(run)
 
 
 def secrets(docs: DataFrame, p: SecretScan = SecretScan()) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..session import ship
-from ._bytes import utf8
+from ._bytes import trimmed, utf8
 from ._common import cut
 
 
@@ -80,7 +80,7 @@ def _packed(p: TokenFiles):
             at += 1
             yield rows([np.concatenate(left).tobytes()], [], ordinal)
 
-    return run
+    return trimmed(run)
 
 
 def pack(docs: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:
@@ -114,7 +114,7 @@ def _separated(p: TokenFiles):
                 length.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("at"), pa.array(ends, pa.list_(pa.int64())), pa.array(length, pa.int64())], names=["stream", "at", "ends", "length"])
 
-    return run
+    return trimmed(run)
 
 
 def separator_scan(blocks: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:

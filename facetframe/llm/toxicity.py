@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._bytes import blocks, hashes, mix, plain, utf8, windows, words
+from ._bytes import blocks, hashes, mix, plain, trimmed, utf8, windows, words
 from ._common import crc_mod, small
 
 
@@ -123,7 +123,7 @@ def _scored(model, p: Toxicity):
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return trimmed(run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> DataFrame:
