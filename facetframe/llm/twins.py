@@ -39,4 +39,12 @@ QUALITY = f"""with d as (select row_number() over () as id, doc_id, coalesce('='
     select doc_id, n_words, coalesce(m.chars, 0) as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat as n_repeat_words, (n_words < 10 or 100 * n_repeat > 20 * n_words) as base_failed,
     not (n_words < 10 or 100 * n_repeat > 20 * n_words) and coalesce(tot.chars, 0) - coalesce(rem.chars, 0) >= 0.3 * coalesce(tot.chars, 0) as kept, coalesce(rem.chars, 0) as n_chars_removed from m left join rem using (id) left join tot using (id)"""
 
-ORACLE_SQL = {"op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY}
+NEAR = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) as ws from documents),
+    g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda k: concat_ws(' ', ws[k], ws[k + 1], ws[k + 2], ws[k + 3], ws[k + 4]))) end as gs from d),
+    s as (select doc_id, len(gs)::bigint as n, unnest(gs) as x from g),
+    e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    both_ways as (select a, b from e union all select b, a from e),
+    r as (select doc_id as node, doc_id as seen from documents union select r.node, w.b from r join both_ways w on r.seen = w.a)
+    select g.doc_id, len(g.gs)::bigint as n_shingles, c.component_id, g.doc_id = c.component_id as kept from g join (select node, min(seen) as component_id from r group by node) c on c.node = g.doc_id"""
+
+ORACLE_SQL = {"op1_minhash_near_dedup": NEAR, "op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY}
