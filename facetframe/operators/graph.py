@@ -18,19 +18,24 @@ def written(df: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a: str, b: str) -> DataFrame:
     """Component (its smallest node) of every node, within each key (a scene or a frame).
 
-    Every round points each node to its smallest neighbour or itself and contracts the pairs to those, until none is left.
-    All groups go on together, so the rounds are those of the widest component.
+    Every round points each node to the first of itself and its neighbours and contracts the pairs to those, until none is left:
+    first by number, which ends stars, then by a hash of the round, which shortens any graph by a share. All groups go
+    on together.
     """
     left = written(pairs.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct())
     labels = nodes.select(*keys, node).distinct().withColumn("component", F.col(node))
+    rounds = 0
     while not left.isEmpty():
-        ends = left.select(*keys, F.col("x").alias("at"), "x").union(left.select(*keys, "y", "x")).union(left.select(*keys, "x", "x"))
-        up = written(ends.groupBy(*keys, "at").agg(F.min("x").alias("up")))
+        ends = left.select(*keys, F.explode(F.array(*[F.struct(F.col(p).alias("at"), F.col(q).alias("other")) for p in "xy" for q in "xy"])).alias("e")).select(*keys, "e.*")
+        order = F.xxhash64("other", F.lit(rounds)) if rounds else F.col("other")
+        up = written(ends.groupBy(*keys, "at").agg(F.min_by("other", order).alias("up")))
+        rounds += 1
         of = lambda end: up.select(*keys, F.col("at").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
         moved = left.join(of("x"), [*keys, "x"]).join(of("y"), [*keys, "y"]).where("up_x <> up_y")
         left = written(moved.select(*keys, F.least("up_x", "up_y").alias("x"), F.greatest("up_x", "up_y").alias("y")).distinct())
         labels = labels.join(up.withColumnRenamed("at", "component"), [*keys, "component"], "left").select(*keys, node, F.coalesce("up", "component").alias("component"))
-    return labels
+    least = labels.groupBy(*keys, "component").agg(F.min(node).alias("least"))
+    return labels.join(least, [*keys, "component"]).select(*keys, node, F.col("least").alias("component"))
 
 
 def pixel_components(px: DataFrame, mask: str = "connected", eight: bool = True) -> DataFrame:
