@@ -13,8 +13,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
-_URL = re.compile(r"[^\x20\x09-\x0D]*%[0-9A-Fa-f]{2}[^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\x20\x09-\x0D]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\x20\x09-\x0D]*")
 _ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = "A-Za-z0-9+/_-"
@@ -107,68 +107,68 @@ def peel(token: bytes, largest: int) -> tuple[str, bool, bool] | None:
     return (text, plain is not raw, False) if text and all(c.isprintable() or c.isspace() for c in text) else None
 
 
-Layer = tuple[str, list[int], list[int]]
+#: A text and, for each of its characters, where it starts and ends in the original text.
+Layer = tuple[str, np.ndarray, np.ndarray]
+#: The characters that a run of codes stands for, and where each one's codes start and end in the run.
+Decoded = tuple[str, list[int], list[int]]
 
 
-def _replaced(text: str, start: list[int], end: list[int], lo: int, hi: int, runs: re.Pattern, decode) -> Layer | None:
-    """The stretch lo..hi with every run that ``decode`` can read in its place."""
-    out, first, last, at = [], [], [], lo
+def _stretches(text: str, runs: re.Pattern) -> list[tuple[int, int]]:
+    """Words of ``text`` that hold a run, and all of it where it has more: a key and its value may be words of their own."""
+    found = [w.span() for w in _WORD.finditer(text) if runs.search(text, *w.span())]
+    return found if not found or found == [(0, len(text))] else [*found, (0, len(text))]
+
+
+def _replaced(layer: Layer, lo: int, hi: int, runs: re.Pattern, decode: Callable[[str], Decoded | None]) -> Layer | None:
+    """The stretch lo..hi with every run that ``decode`` can read in its place; None if there is none."""
+    text, start, end = layer
+    chars: list[str] = []
+    first: list[np.ndarray] = []
+    last: list[np.ndarray] = []
+    at = lo
     for m in runs.finditer(text, lo, hi):
-        got = decode(m[0])
-        if got is None:
-            continue
-        for k in range(at, m.start()):
-            out.append(text[k])
-            first.append(start[k])
-            last.append(end[k])
-        for char, i, j in got:
-            out.append(char)
-            first.append(start[m.start() + i])
-            last.append(end[m.start() + j - 1])
-        at = m.end()
-    if not first and at == lo:
+        if got := decode(m[0]):
+            k = m.start()
+            chars += [text[at:k], got[0]]
+            first += [start[at:k], start[k + np.array(got[1])]]
+            last += [end[at:k], end[k + np.array(got[2]) - 1]]
+            at = m.end()
+    if at == lo:
         return None
-    for k in range(at, hi):
-        out.append(text[k])
-        first.append(start[k])
-        last.append(end[k])
-    return "".join(out), first, last
+    return "".join([*chars, text[at:hi]]), np.concatenate([*first, start[at:hi]]), np.concatenate([*last, end[at:hi]])
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
+def _percent(run: str) -> Decoded | None:
     try:
         chars = bytes.fromhex(run.replace("%", "")).decode("utf-8")
     except UnicodeDecodeError:
         return None
-    out, at = [], 0
-    for c in chars:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
+    ends = [*accumulate(3 * len(c.encode()) for c in chars)]
+    return chars, [0, *ends[:-1]], ends
 
 
-def _unescaped(run: str) -> list[tuple[str, int, int]] | None:
-    out: list[tuple[str, int, int]] = []
+def _unescaped(run: str) -> Decoded | None:
+    codes: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
     for m in _ONE.finditer(run):
         code = int(m[1] or m[2], 16)
-        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
-            high, at, _ = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), at, m.end()))
+        if codes and 0xDC00 <= code < 0xE000 and 0xD800 <= codes[-1] < 0xDC00:
+            codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
+            last[-1] = m.end()
         else:
-            out.append((chr(code), m.start(), m.end()))
-    return None if any(0xD800 <= ord(c) < 0xE000 for c, _, _ in out) else out
+            codes.append(code)
+            first.append(m.start())
+            last.append(m.end())
+    return None if any(0xD800 <= c < 0xE000 for c in codes) else ("".join(map(chr, codes)), first, last)
 
 
-def _inner(text: str, start: list[int], end: list[int], p: SecretScan) -> Iterator[tuple[Layer | None, bool]]:
+def _inner(layer: Layer, p: SecretScan) -> Iterator[tuple[Layer | None, bool]]:
     """Layers that one layer wraps, and whether one was cut off."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            if got := _replaced(text, start, end, m.start(), m.end(), _PERCENT, _percent):
-                yield got, False
-    if "\\" in text:
-        for m in _ESCAPED.finditer(text):
-            if got := _replaced(text, start, end, m.start(), m.end(), _ESCAPES, _unescaped):
+    text, start, end = layer
+    for mark, runs, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPES, _unescaped)):
+        for lo, hi in _stretches(text, runs) if mark in text else []:
+            if got := _replaced(layer, lo, hi, runs, decode):
                 yield got, False
     for m in re.finditer(rf"[{_BASE64}]{{{p.run},}}={{0,2}}", text):
         if got := peel(m[0].encode(), p.largest):
@@ -177,15 +177,12 @@ def _inner(text: str, start: list[int], end: list[int], p: SecretScan) -> Iterat
             if cut:
                 yield None, True
             elif packed:
-                yield (inner, [start[lo]] * len(inner), [end[hi - 1]] * len(inner)), False
+                yield (inner, np.broadcast_to(start[lo], len(inner)), np.broadcast_to(end[hi - 1], len(inner))), False
             else:
-                at, first, last = 0, [], []
-                for c in inner:
-                    n = len(c.encode())
-                    first.append(start[min(hi - 1, lo + at * 8 // 6)])
-                    at += n
-                    last.append(end[min(hi, lo + -(-at * 8 // 6)) - 1])
-                yield (inner, first, last), False
+                point = np.frombuffer(inner.encode("utf-32-le"), np.uint32)
+                size = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
+                upto = np.cumsum(size)
+                yield (inner, start[np.minimum(hi - 1, lo + (upto - size) * 8 // 6)], end[np.minimum(hi, lo - -upto * 8 // 6) - 1]), False
 
 
 def scan(text: str, p: SecretScan = SecretScan()) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
@@ -195,17 +192,16 @@ def scan(text: str, p: SecretScan = SecretScan()) -> tuple[list[tuple[int, int,
     """
     base = base_spans(text)
     found, seen, cut = set(base), {(text, 0, len(text))}, False
-    work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
+    work: list[Layer] = [(text, np.arange(len(text)), np.arange(1, len(text) + 1))]
     layers = 0
     while work:
-        layer, start, end = work.pop()
-        for inner, stopped in _inner(layer, start, end, p):
+        for inner, stopped in _inner(work.pop(), p):
             cut |= stopped
-            if inner is None or not inner[0] or (mark := (inner[0], inner[1][0], inner[2][-1])) in seen:
+            if inner is None or not inner[0] or (mark := (inner[0], int(inner[1][0]), int(inner[2][-1]))) in seen:
                 continue
             seen.add(mark)
             layers += 1
-            found.update((inner[1][a], kind, inner[2][b - 1]) for a, kind, b in base_spans(inner[0]))
+            found.update((int(inner[1][a]), kind, int(inner[2][b - 1])) for a, kind, b in base_spans(inner[0]))
             work.append(inner)
     return base, sorted(found), layers, cut
 

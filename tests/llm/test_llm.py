@@ -116,6 +116,10 @@ def test_secrets_layers():
     assert secrets.scan("x " + quoted)[1][0][1] == 0
     a, _, b = secrets.scan(r"x token=abcdef99 y")[1][0]
     assert r"x token=abcdef99 y"[a:b] == r"token=abcdef99"
+    for split in ('say secret%3A hunter2x now', r'say {"secret\u0022: \u0022hunter2x\u0022} now'):  # a key and its value in words of their own
+        (a, kind, b), *_ = secrets.scan(split)[1]
+        assert kind == 0 and split[a : a + 6] == "secret" and split[:b].endswith("hunter2x")
+    assert secrets.scan("%zz" + "é" * 300_000)[1] == []  # a long word costs no more than its length
     assert secrets.scan("%25" * 50)[2] >= 1  # ends although each layer makes another
     assert secrets.scan(base64.b64encode(gzip.compress(b"a" * 5000)).decode(), secrets.SecretScan(largest=1000))[3]
 
