@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import small
+
+#: Schemas up to which the tools' table is broadcast; more of them join by a shuffle.
+TOOLS_BROADCAST = 10_000
+
 #: name, type of each argument (as schema_of_variant says it) and the arguments that must be there.
 TOOLS = [
     ("search", {"query": "STRING", "limit": "BIGINT"}, ["query"]),
@@ -36,7 +41,7 @@ def tool_calls(turns: DataFrame, tools: DataFrame) -> DataFrame:
     each = each.withColumn("given", F.expr("if(schema_of_variant(given) = 'STRING', coalesce(try_parse_json(cast(given as string)), given), given)"))
     each = each.withColumn("fields", F.expr("try_variant_get(given, '$', 'map<string,variant>')"))
     known = tools.groupBy("name").agg(F.first("types").alias("types"), F.first("required").alias("required"))
-    judged = each.join(F.broadcast(known), "name", "left")
+    judged = each.join(small(known, known.count(), TOOLS_BROADCAST), "name", "left")
     fits = """types is not null and fields is not null and size(array_except(required, map_keys(fields))) = 0
         and size(array_except(map_keys(fields), map_keys(types))) = 0
         and forall(map_entries(fields), e -> schema_of_variant(e.value) = types[e.key])"""
