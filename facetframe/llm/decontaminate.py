@@ -3,6 +3,10 @@
 A seed is a fixed mask over a window of words: the hash takes the words at its ones, so words at its zeros may have been
 replaced. Windows of documents and benchmark items that meet under a seed are aligned, and the aligned words are compared
 around the hit.
+
+The seeds miss no overlap. In a best stretch every prefix has more gain than loss, so with a penalty of 2 the first
+mismatch is its fourth word at the earliest and the second its seventh. The masks are all ways to put two zeros so
+into the first eight words: one of them fits the start of every stretch of 12 equal words or more.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ from ._common import cut, without
 
 @dataclass(frozen=True)
 class SpacedSeeds:
-    """``masks``: of equal span. ``least``: equal words that an overlap needs; ``penalty``: what a replaced word costs in
-    equal words while an overlap is extended, so about a third of the words may differ.
-    ``broadcast_bytes``: benchmark text up to which its seeds are broadcast (about 40 bytes a word); beyond it the
-    windows are joined by a shuffle.
+    """``masks``: of equal span. ``least``: equal words that an overlap needs, or all words of a shorter item;
+    ``penalty``: what a replaced word costs in equal words while an overlap is extended, so about a third of the words may
+    differ (the masks are complete for 2 and more). ``broadcast_bytes``: benchmark text up to which its seeds are
+    broadcast (16 bytes a word and mask); beyond it the windows are joined by a shuffle.
     """
 
-    masks: tuple[str, ...] = ("111111110000", "110110101011", "101011011011", "111010010111")
+    masks: tuple[str, ...] = ("11101101", "11110101", "11111001", "11101110", "11110110", "11111010", "11111100")
     least: int = 12
     penalty: int = 2
     broadcast_bytes: int = 16_000_000
@@ -46,22 +50,32 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes(part, starts, ends), row
 
 
-def _seeded(h: np.ndarray, p: SpacedSeeds) -> list[np.ndarray]:
+def _seeded(h: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     """For each mask the hash of every window of ``h``."""
-    n = len(h) - p.span + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64) for _ in p.masks]
-    each = [h[k : k + n] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3)) % (1 << 64) | 1) for k in range(p.span)]
+    span = max(map(len, masks), default=0)
+    each = [h[k:] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3)) % (1 << 64) | 1) for k in range(min(span, len(h)))]
+    whole: dict[int, np.ndarray] = {}  # sums over all words of a window, by its span
     out = []
-    for m, mask in enumerate(p.masks):
-        total = np.full(n, (m + 1) * 0x51ED270B, np.uint64)
+    for mask in masks:
+        n = len(h) - len(mask) + 1
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        if len(mask) not in whole:
+            whole[len(mask)] = np.add.reduce([x[:n] for x in each[: len(mask)]])
+        total = whole[len(mask)] + np.uint64(int(mask, 2) * 0x51ED270B)
         for k, bit in enumerate(mask):
-            if bit == "1":
-                total += each[k]
+            if bit == "0":
+                total -= each[k][:n]
         out.append(mix(total))
     return out
 
 
+def _whole(length: int) -> str:
+    """The mask of an item that is shorter than the span: all its words."""
+    return "1" * length
+
+
 def _overlap(a: np.ndarray, b: np.ndarray, shift: int, penalty: int) -> int:
     """Most equal words in a stretch of ``a`` against ``b`` moved by ``shift`` (position in a minus position in b)."""
     lo, hi = max(0, shift), min(len(a), len(b) + shift)
@@ -73,6 +87,10 @@ def _overlap(a: np.ndarray, b: np.ndarray, shift: int, penalty: int) -> int:
     return int((gain[start:end] > 0).sum())
 
 
+#: In place of the shift of an item that is found whole.
+_ANYWHERE = np.iinfo(np.int64).min
+
+
 class _Index:
     """Seed hashes of the benchmark, sorted, with the items and positions they come from."""
 
@@ -81,16 +99,17 @@ class _Index:
         h, row = _tokens(data, offsets)
         at = np.searchsorted(row, np.arange(len(ids) + 1))
         self.ids, self.items = ids, [h[at[k] : at[k + 1]] for k in range(len(ids))]
+        self.short = sorted({len(x) for x in self.items if 0 < len(x) < p.span})
         keys, item, place = [], [], []
         for k, own in enumerate(self.items):
-            for seeds in _seeded(own, p):
+            for seeds in _seeded(own, p.masks if len(own) >= p.span else (_whole(len(own)),)) if len(own) else []:
                 keys.append(seeds)
-                item.append(np.full(len(seeds), k))
-                place.append(np.arange(len(seeds)))
-        keys, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (item, np.int64), (place, np.int64)))
+                item.append(np.full(len(seeds), k, np.int32))
+                place.append(np.arange(len(seeds), dtype=np.int32))
+        keys, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (item, np.int32), (place, np.int32)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
-        self.bits = 20
+        self.bits = max(20, len(keys).bit_length() + 2)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
@@ -110,15 +129,18 @@ def _found(batch: pa.RecordBatch, index: _Index, p: SpacedSeeds) -> tuple[list[l
         base = offsets[i]
         h, row = _tokens(data[base : offsets[j]], offsets[i : j + 1] - base)
         first = np.searchsorted(row, np.arange(j - i + 1))
-        met = []
-        for seeds in _seeded(h, p):
+        met, masks = [], (*p.masks, *map(_whole, index.short))
+        for mask, seeds in zip(masks, _seeded(h, masks), strict=True):
             at, entry = index.hits(seeds)
-            inside = row[at] == row[at + p.span - 1]
+            inside = row[at] == row[at + len(mask) - 1]
             at, entry = at[inside], entry[inside]
-            met.append(np.stack([row[at], index.item[entry], at - first[row[at]] - index.place[entry]], axis=1))
+            # where a short item lies does not matter, so it is looked at once a row
+            shift = at - first[row[at]] - index.place[entry] if len(mask) == p.span else np.full(len(at), _ANYWHERE)
+            met.append(np.stack([row[at], index.item[entry], shift], axis=1))
         for r, item, shift in np.unique(np.concatenate(met), axis=0) if met else []:
-            equal = _overlap(h[first[r] : first[r + 1]], index.items[item], int(shift), p.penalty)
-            if equal >= p.least:
+            other = index.items[item]
+            equal = len(other) if shift == _ANYWHERE else _overlap(h[first[r] : first[r + 1]], other, int(shift), p.penalty)
+            if equal >= min(p.least, len(other)):
                 own = items[i + r]
                 own[index.ids[item]] = max(equal, own.get(index.ids[item], 0))
     return [sorted(x) for x in items], [max(x.values(), default=0) for x in items]
@@ -134,8 +156,11 @@ def _scanned(index, p: SpacedSeeds):
     return trimmed(run)
 
 
-def _windows(p: SpacedSeeds):
-    """(id, seed hash, position) of every window of a table (id, text)."""
+def _windows(p: SpacedSeeds, short: list[int] | None = None):
+    """(id, seed hash, position, span) of every window of a table (id, text).
+
+    Of documents also the windows of ``short`` words; without ``short`` the rows are items, and those below the span are one window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,15 +169,20 @@ def _windows(p: SpacedSeeds):
             for i, j in blocks(offsets):
                 h, row = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 first = np.searchsorted(row, np.arange(j - i + 1))
-                for seeds in _seeded(h, p):
-                    at = np.flatnonzero(row[: len(seeds)] == row[p.span - 1 :])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[at]]), pa.array(seeds[at].view(np.int64)), pa.array(at - first[row[at]])], names=["id", "seed", "place"])
+                words_in = np.diff(first)
+                lengths = short if short is not None else sorted({int(n) for n in words_in if 0 < n < p.span})
+                masks = (*p.masks, *map(_whole, lengths))
+                for mask, seeds in zip(masks, _seeded(h, masks), strict=True):
+                    at = np.flatnonzero(row[: len(seeds)] == row[len(mask) - 1 :]) if len(seeds) else np.zeros(0, np.int64)
+                    if short is None and len(mask) < p.span:
+                        at = at[words_in[row[at]] == len(mask)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[at]]), pa.array(seeds[at].view(np.int64)), pa.array(at - first[row[at]]), pa.array(np.full(len(at), len(mask)))], names=["id", "seed", "place", "span"])
 
     return trimmed(run)
 
 
 def _verified(p: SpacedSeeds):
-    """Aligned pairs (doc_key, item_id, shift, text, item_text) to (doc_key, item_id, equal) that overlap."""
+    """Aligned pairs (doc_key, item_id, shift, text, item_text) to (doc_key, item_id, equal, needed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,7 +195,8 @@ def _verified(p: SpacedSeeds):
                     at = np.searchsorted(row, np.arange(batch.num_rows + 1))
                     sides.append([h[at[k] : at[k + 1]] for k in range(batch.num_rows)])
                 equal = pa.array([_overlap(a, b, s, p.penalty) for a, b, s in zip(*sides, batch.column("shift").to_pylist(), strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("item_id"), equal], names=["doc_key", "item_id", "equal"])
+                needed = pa.array([min(p.least, len(b)) for b in sides[1]], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("item_id"), equal, needed], names=["doc_key", "item_id", "equal", "needed"])
 
     return trimmed(run)
 
@@ -173,12 +204,17 @@ def _verified(p: SpacedSeeds):
 def _joined(docs: DataFrame, bench: DataFrame, keep: list[str], p: SpacedSeeds) -> DataFrame:
     """The same by joins, for a benchmark beyond any bound."""
     keyed = cut(docs.withColumn("doc_key", F.monotonically_increasing_id()))
-    windows = "id long, seed long, place long"
-    left = keyed.select("doc_key", "text").mapInArrow(_windows(p), windows)
-    right = bench.mapInArrow(_windows(p), windows).select(F.col("id").alias("item_id"), "seed", F.col("place").alias("item_place"))
-    hits = left.join(right, "seed").select(F.col("id").alias("doc_key"), "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    pairs = hits.join(keyed.select("doc_key", "text"), "doc_key").join(bench.select("item_id", F.col("text").alias("item_text")), "item_id")
-    found = pairs.select("doc_key", "item_id", "shift", "text", "item_text").mapInArrow(_verified(p), "doc_key long, item_id long, equal long").where(F.col("equal") >= p.least)
+    windows = "id long, seed long, place long, span long"
+    keys = cut(bench.withColumn("item_key", F.monotonically_increasing_id()))
+    right = cut(keys.select("item_key", "text").mapInArrow(_windows(p), windows))
+    short = sorted(r["span"] for r in right.where(F.col("span") < p.span).select("span").distinct().collect())
+    left = keyed.select("doc_key", "text").mapInArrow(_windows(p, short), windows)
+    hits = left.join(right.select(F.col("id").alias("item_key"), "seed", F.col("place").alias("item_place"), "span"), ["seed", "span"])
+    # where a short item lies does not matter, so it is one hit a document
+    hits = cut(hits.select(F.col("id").alias("doc_key"), "item_key", F.when(F.col("span") == p.span, F.col("place") - F.col("item_place")).alias("shift"), "span").distinct())
+    pairs = hits.where("shift is not null").join(keyed.select("doc_key", "text"), "doc_key").join(keys.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
+    found = pairs.select("doc_key", "item_id", "shift", "text", "item_text").mapInArrow(_verified(p), "doc_key long, item_id long, equal long, needed long").where("equal >= needed")
+    found = found.select("doc_key", "item_id", "equal").union(hits.where("shift is null").join(keys, "item_key").select("doc_key", "item_id", "span"))
     by = found.groupBy("doc_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("equal").alias("most_equal"))
     return keyed.select("doc_key", *keep).join(by, "doc_key", "left").select(*keep, F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("most_equal", F.lit(0).cast("long")).alias("most_equal"))
 
@@ -187,9 +223,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds
     """Columns ``keep`` (doc_id) of every row of ``docs``, with items (ids of the benchmark items that its text overlaps,
     ascending), most_equal (most equal words of an overlap, 0 for none) and contaminated.
 
-    ``benchmark`` has item_id and text; other columns are ignored on both sides. Null texts are empty. Texts and items
-    with fewer words than a mask's span overlap nothing, as do all if either table is empty. Repeated rows and items each
-    count for themselves; rows of a null item_id are left out.
+    ``benchmark`` has item_id and text; other columns are ignored on both sides. Null texts are empty. An item of
+    fewer than ``least`` words is overlapped where all its words follow each other; texts and items without words overlap
+    nothing, as do all if either table is empty. Repeated rows and items each count for themselves; rows of a null
+    item_id are left out.
     """
     spark = ship(docs.sparkSession)
     keep = keep or ["doc_id"]

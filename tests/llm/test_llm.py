@@ -220,6 +220,40 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert got <= want and len(want - got) <= 0.05 * len(want) + 1
 
 
+def test_seeds_hit_every_overlap():
+    """Equal / replaced patterns that the verifier accepts: all of up to 17 words, and sparse and random longer ones."""
+    import numpy as np
+
+    p, r = decontaminate.SpacedSeeds(), random.Random(5)
+    patterns = [[bool(k >> j & 1) for j in range(n)] for n in range(12, 18) for k in range(1 << n) if k & 7 == 7 and k.bit_count() >= 12]
+    patterns += [[j % 4 != 3 for j in range(50)], [j == 0 or j % 3 != 0 for j in range(51)]]
+    patterns += [[r.random() >= share for _ in range(n)] for n in (15, 24, 38, 60) for share in (0.1, 0.2, 0.25, 0.3) for _ in range(500)]
+    accepted = 0
+    for pattern in patterns:
+        own = np.arange(1, len(pattern) + 1, dtype=np.uint64)
+        other = np.where(pattern, own, own + np.uint64(1000))
+        if decontaminate._overlap(own, other, 0, p.penalty) >= p.least:
+            accepted += 1
+            assert any((x == y).any() for x, y in zip(decontaminate._seeded(own, p.masks), decontaminate._seeded(other, p.masks), strict=True)), pattern
+    assert accepted > 3000
+
+
+def test_decontamination_is_whole(spark, docs):
+    """Sparse overlaps, items shorter than a seed and, on given texts, exactly the overlaps of brute force."""
+    item = prose(99, 60).split()
+    every_fourth = " ".join(w if k % 4 != 3 else f"new{k}" for k, w in enumerate(item[:50]))
+    rows = [(1, every_fourth), (2, "we say one two three, FOUR and go"), (3, "one two three and four"), (4, "lone " + prose(7, 40)), (5, "lon e"), (6, "a b c d e f g h i j"), (7, "a b c d e f g h i x"), (8, None)]
+    bench = [(10, " ".join(item)), (11, "one two three four"), (12, "lone"), (13, "a b c d e f g h i j"), (13, "four"), (14, "...")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for p in (decontaminate.SpacedSeeds(), replace(decontaminate.SpacedSeeds(), broadcast_bytes=0)):
+        got = {r.doc_id: (r["items"], r.most_equal) for r in decontaminate.overlaps(d, b, p).collect()}
+        assert got == {1: ([10], 36), 2: ([11, 13], 4), 3: ([13], 1), 4: ([12], 1), 5: ([], 0), 6: ([13], 10), 7: ([], 0), 8: ([], 0)}
+    given = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    texts, items = docs.where("n_chars < 6000"), given.collect()
+    want = {r.doc_id: sorted({b.item_id for b in items if brute.overlaps(r.text, b.text)}) for r in texts.collect()}
+    assert {r.doc_id: r["items"] for r in decontaminate.overlaps(texts, given).collect()} == want
+
+
 def test_language_id(spark, docs, awkward):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")
     held = got.where("held_out").collect()
