@@ -240,6 +240,9 @@ def grow_regions(faces: DataFrame, near: DataFrame, degrees: float = 8.0, distan
 def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, relative: float = 0.02, least: int = 50, rounds: int = 20) -> DataFrame:
     """Greedy merge of a frame's touching segments, largest pair first, while normals and mean depths agree.
 
+    A round judges all touching pairs by its start and merges those whose ends no merge of the round has taken up, so
+    a segment may take up several. Of pairs of one size the later labels go first.
+
     Only segment sums and pairs that touch reach the kernel, one small group for each frame. Returns the new label of each.
     """
     from pyspark.sql import functions as F
@@ -257,22 +260,30 @@ def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, r
         touch = {(int(r.a), int(b)) for r in part.itertuples() if r.near is not None for b in r.near}
         root = {a: a for a in rows}
         for _ in range(rounds):
-            done = True
-            for a, b in sorted(touch, key=lambda p: (-min(rows[p[0]][0], rows[p[1]][0]), p)):
+            agree = []
+            for a, b in touch:
                 x, y = rows[a], rows[b]
                 if min(x[0], y[0]) < least:
                     continue
                 m, n = x[1:4] / max(np.linalg.norm(x[1:4]), 1e-12), y[1:4] / max(np.linalg.norm(y[1:4]), 1e-12)
                 za, zb = x[4] / x[0], y[4] / y[0]
                 if m @ n >= cos and abs(za - zb) <= relative * max(za, zb):
-                    rows[a] = x + y
-                    root = {k: a if v == b else v for k, v in root.items()}
-                    touch = {tuple(sorted((a if i == b else i, a if j == b else j))) for i, j in touch if {i, j} != {a, b}}
-                    touch = {(i, j) for i, j in touch if i != j}
-                    done = False
-                    break
-            if done:
+                    agree.append((x[0] + y[0], a, b))
+            gone: dict[int, int] = {}
+            for _, a, b in sorted(agree, reverse=True):
+                if a not in gone and b not in gone:
+                    rows[a] = rows[a] + rows[b]
+                    gone[b] = a
+            if not gone:
                 break
+
+            def end(k: int, gone: dict[int, int] = gone) -> int:
+                while k in gone:
+                    k = gone[k]
+                return k
+
+            root = {k: end(v) for k, v in root.items()}
+            touch = {tuple(sorted((end(i), end(j)))) for i, j in touch if end(i) != end(j)}
         return pd.DataFrame({"scene_id": key[0], "frame_id": key[1], "label": list(root), "merged": list(root.values())})
 
     return sums.join(pairs, [*frame, "a"], "left").groupBy(*frame).applyInPandas(one, "scene_id long, frame_id long, label int, merged int")

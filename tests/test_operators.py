@@ -244,6 +244,16 @@ def test_segment_merge_joins_one_plane(spark):
     assert [(x.a, x.b, x.accepted) for x in log.where("round = 0").collect()] == [(1, 2, True)]
 
 
+def test_frame_merge_takes_all_pairs_of_a_round(spark):
+    """A wall in 60 fragments needs 59 merges; one behind it with another depth stays apart."""
+    rows = [(1, 1, v, u, 1 + u // 2, 0.0, 0.0, 1.0, 2.0) for v in range(30) for u in range(120)]
+    rows += [(1, 1, 31 + v, u, 61, 0.0, 0.0, 1.0, 9.0) for v in range(10) for u in range(120)]
+    rows += [(1, 1, 43, u, 62, 0.0, 0.0, 1.0, 9.0) for u in range(10)]
+    px = spark.createDataFrame(rows, "scene_id long, frame_id long, v int, u int, label int, nx double, ny double, nz double, z double")
+    got = {r.label: r.merged for r in kernels.merge_segments(px).collect()}
+    assert got == {**{k: 1 for k in range(1, 61)}, 61: 61, 62: 62}
+
+
 def test_near_in_space_equals_brute_force(spark):
     from facetframe.operators import growth
 
