@@ -28,12 +28,14 @@ from ._bytes import blocks, trimmed, utf8, words
 
 @dataclass(frozen=True)
 class SecretScan:
-    """``run``: characters from which a base64 run is tried. ``largest``: bytes to which a compressed layer may grow;
-    a larger one is not read on and the row says so in ``truncated``.
+    """``run``: characters from which a base64 run is tried. ``largest``: bytes of a compressed layer that are held at
+    once; a larger one is read to its end in pieces that overlap by ``overlap`` bytes, and the row says so in ``truncated``,
+    as a match across pieces may be reported as its parts.
     """
 
     run: int = 16
     largest: int = 1 << 26
+    overlap: int = 1 << 12
 
 
 # The kinds in their order, their patterns and least lengths.
@@ -60,51 +62,86 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def unwrap(raw: bytes, largest: int) -> tuple[bytes | None, bool]:
-    """Bytes below all compression of ``raw`` (None if it cannot be read) and whether ``largest`` stopped it."""
-    seen = set()
-    while True:
-        mark = hashlib.sha256(raw).digest()
-        if mark in seen:
-            return raw, False
-        seen.add(mark)
+#: One character of UTF-8, or one byte that is of none.
+_CHARACTER = re.compile(rb"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}|[\x80-\xFF]")
+_READABLE = re.compile(rb"(?:[\x09-\x0D\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+")
+_PACKED = re.compile(rb"\x1F\x8B\x08|BZh[1-9]|\xFD7zXZ\x00|\x78[\x01\x5E\x9C\xDA]")
+#: Bytes of the shortest match of a kind (token=123456), and so of a stretch that is looked at amid others.
+LEAST = 12
+
+
+def _readable(raw: bytes) -> list[tuple[int, str]]:
+    """Position and text of the stretches of ``raw`` that are text: all of it, or those of ``LEAST`` bytes or more."""
+    return [(m.start(), m[0].decode("utf-8")) for m in _READABLE.finditer(raw) if len(m[0]) >= min(LEAST, len(raw))]
+
+
+def _opener(raw):
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=1 << 28) if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _pieces(raw, p: SecretScan) -> Iterator[tuple[bytes, bool]]:
+    """What ``raw`` holds below one compression, all members one after the other, and whether more than one piece.
+
+    A stream that is broken off or damaged gives what can be read of it.
+    """
+    held, fresh, many, overlap = bytearray(), False, False, min(p.overlap, p.largest // 2)
+    while (d := _opener(raw)) is not None:
+        feed, raw = raw, b""
         try:
-            if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-                d = zlib.decompressobj(47)
-                out = d.decompress(raw, largest)
-                if not d.eof:
-                    return None, bool(d.unconsumed_tail)
-            elif raw[:3] == b"BZh":
-                out = (b := bz2.BZ2Decompressor()).decompress(raw, largest)
-                if not b.eof:
-                    return None, not b.needs_input
-            elif raw[:6] == b"\xfd7zXZ\x00":
-                out = (x := lzma.LZMADecompressor(memlimit=1 << 28)).decompress(raw, largest)
-                if not x.eof:
-                    return None, not x.needs_input
-            else:
-                return raw, False
+            while not d.eof:
+                out = d.decompress(feed, max(1, p.largest - len(held)))
+                feed = getattr(d, "unconsumed_tail", b"")
+                held += out
+                fresh |= bool(out)
+                if len(held) >= p.largest and not d.eof:
+                    many = True
+                    yield bytes(held), True
+                    held, fresh = held[len(held) - overlap :], False
+                elif not out and not feed:
+                    break
+            raw = d.unused_data if d.eof else b""
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            return (raw, False) if len(seen) > 1 else (None, False)
-        raw = out
+            pass
+    if fresh:
+        yield bytes(held), many
+
+
+def unwrap(raw, p: SecretScan, seen: set[bytes]) -> Iterator[tuple[str, bool]]:
+    """Texts below all compression of ``raw``, which begins with a compressed stream, and whether one was read in pieces."""
+    work = [raw]
+    while work:
+        for piece, many in _pieces(work.pop(), p):
+            if (mark := hashlib.sha256(piece).digest()) in seen:
+                continue
+            seen.add(mark)
+            if _opener(piece) is not None:
+                work.append(piece)
+            for _, text in _readable(piece):
+                yield text, many
 
 
-def peel(token: bytes, largest: int) -> tuple[str, bool, bool] | None:
-    """Text of a base64 token, whether it was compressed, and whether it was cut off; None if it is no text."""
+def peel(token: bytes, p: SecretScan) -> Iterator[tuple[int, str, bool, bool]]:
+    """Texts in a base64 token that may have other characters in front and behind: where the text's first byte is in eighths
+    of a byte over 6 (bits) of the token, the text, whether it was compressed, and whether it was read in pieces.
+    """
     body = token.rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
-        plain, cut = unwrap(raw, largest)
-        if cut:
-            return "", True, True
-        if plain is None:
-            return None
-        text = plain.decode("utf-8")
-    except (binascii.Error, UnicodeDecodeError):
-        return None
-    return (text, plain is not raw, False) if text and all(c.isprintable() or c.isspace() for c in text) else None
+    seen: set[bytes] = set()
+    for skip in range(4):
+        part = body[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if len(part) < 2:
+            break
+        raw = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        for at, text in _readable(raw):
+            if not skip or len(text.encode()) >= LEAST:
+                yield 6 * skip + 8 * at, text, False, False
+        for m in _PACKED.finditer(raw):
+            for text, many in unwrap(memoryview(raw)[m.start() :], p, seen):
+                yield 6 * skip + 8 * m.start(), text, True, many
 
 
 #: A text and, for each of its characters, where it starts and ends in the original text.
@@ -138,13 +175,11 @@ def _replaced(layer: Layer, lo: int, hi: int, runs: re.Pattern, decode: Callable
     return "".join([*chars, text[at:hi]]), np.concatenate([*first, start[at:hi]]), np.concatenate([*last, end[at:hi]])
 
 
-def _percent(run: str) -> Decoded | None:
-    try:
-        chars = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    ends = [*accumulate(3 * len(c.encode()) for c in chars)]
-    return chars, [0, *ends[:-1]], ends
+def _percent(run: str) -> Decoded:
+    """Bytes that are of no character stand for one each."""
+    found = _CHARACTER.findall(bytes.fromhex(run.replace("%", "")))
+    ends = [*accumulate(3 * len(c) for c in found)]
+    return "".join(c.decode("utf-8", "replace") for c in found), [0, *ends[:-1]], ends
 
 
 def _unescaped(run: str) -> Decoded | None:
@@ -163,46 +198,56 @@ def _unescaped(run: str) -> Decoded | None:
     return None if any(0xD800 <= c < 0xE000 for c in codes) else ("".join(map(chr, codes)), first, last)
 
 
-def _inner(layer: Layer, p: SecretScan) -> Iterator[tuple[Layer | None, bool]]:
-    """Layers that one layer wraps, and whether one was cut off."""
+def _inner(layer: Layer, p: SecretScan) -> Iterator[tuple[Layer, bool]]:
+    """Layers that one layer wraps, and whether it was read in pieces. Base64 is read within a line and over lines."""
     text, start, end = layer
     for mark, runs, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPES, _unescaped)):
         for lo, hi in _stretches(text, runs) if mark in text else []:
             if got := _replaced(layer, lo, hi, runs, decode):
                 yield got, False
-    for m in re.finditer(rf"[{_BASE64}]{{{p.run},}}={{0,2}}", text):
-        if got := peel(m[0].encode(), p.largest):
-            inner, packed, cut = got
-            lo, hi = m.start(), m.end()
-            if cut:
-                yield None, True
-            elif packed:
-                yield (inner, np.broadcast_to(start[lo], len(inner)), np.broadcast_to(end[hi - 1], len(inner))), False
-            else:
-                point = np.frombuffer(inner.encode("utf-32-le"), np.uint32)
-                size = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
-                upto = np.cumsum(size)
-                yield (inner, start[np.minimum(hi - 1, lo + (upto - size) * 8 // 6)], end[np.minimum(hi, lo - -upto * 8 // 6) - 1]), False
+    for pattern in (rf"[{_BASE64}]{{{p.run},}}={{0,2}}", rf"[{_BASE64}]+(?:\r?\n[{_BASE64}]+)+={{0,2}}"):
+        for m in re.finditer(pattern, text):
+            place = np.flatnonzero(~np.isin(np.frombuffer(m[0].encode(), np.uint8), (10, 13))) + m.start()
+            if len(place) < p.run:
+                continue
+            for bit, inner, packed, many in peel(re.sub(r"[\r\n]", "", m[0]).encode(), p):
+                if packed:
+                    yield (inner, np.broadcast_to(start[place[bit // 6]], len(inner)), np.broadcast_to(end[place[-1]], len(inner))), many
+                else:
+                    point = np.frombuffer(inner.encode("utf-32-le"), np.uint32)
+                    size = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
+                    upto = np.cumsum(size)
+                    last = len(place) - 1
+                    yield (inner, start[place[np.minimum(last, (bit + 8 * (upto - size)) // 6)]], end[place[np.minimum(last, -(-(bit + 8 * upto) // 6) - 1)]]), False
+
+
+def _known(text: str) -> str | bytes:
+    """What a layer is known by: its text, or a digest of a long one, which need not stay in memory."""
+    return text if len(text) < 4096 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def scan(text: str, p: SecretScan = SecretScan()) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
-    """Base spans, all spans, layers below the text and whether a layer was cut off.
+    """Base spans, all spans, layers below the text and whether a layer was read in pieces.
 
     The worklist ends: a layer whose text and origin have been seen is not entered again.
     """
     base = base_spans(text)
-    found, seen, cut = set(base), {(text, 0, len(text))}, False
-    work: list[Layer] = [(text, np.arange(len(text)), np.arange(1, len(text) + 1))]
+    found, seen, cut = set(base), {(_known(text), 0, len(text))}, False
+    work = [_inner((text, np.arange(len(text)), np.arange(1, len(text) + 1)), p)]  # a path of layers: siblings are made when it is their turn
     layers = 0
     while work:
-        for inner, stopped in _inner(work.pop(), p):
-            cut |= stopped
-            if inner is None or not inner[0] or (mark := (inner[0], int(inner[1][0]), int(inner[2][-1]))) in seen:
-                continue
-            seen.add(mark)
-            layers += 1
-            found.update((int(inner[1][a]), kind, int(inner[2][b - 1])) for a, kind, b in base_spans(inner[0]))
-            work.append(inner)
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
+            continue
+        inner, stopped = got
+        cut |= stopped
+        if not inner[0] or (mark := (_known(inner[0]), int(inner[1][0]), int(inner[2][-1]))) in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        found.update((int(inner[1][a]), kind, int(inner[2][b - 1])) for a, kind, b in base_spans(inner[0]))
+        work.append(_inner(inner, p))
     return base, sorted(found), layers, cut
 
 
@@ -211,20 +256,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 _CLASS = np.ones(256, bool)  # outside base64
-_CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = False
+_CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"]] = False
 _MARKS = np.zeros(256, bool)
 _MARKS[[*b":=%\\"]] = True
 
 
 def _wanted(data: np.ndarray, offsets: np.ndarray, p: SecretScan) -> np.ndarray:
-    """Rows that may hold a span or a layer: all others have none."""
+    """Rows that may hold a span or a layer: all others have none. Base64 goes on over line ends."""
     marks = np.concatenate([[0], np.cumsum(_MARKS[data])])
     rows = marks[offsets[1:]] > marks[offsets[:-1]]
-    starts, ends, row = words(np.where(_CLASS[data], np.uint8(0x20), data), offsets)
-    for k in np.flatnonzero(ends - starts >= p.run):
-        if not rows[row[k]]:
-            token = data[starts[k] : ends[k]].tobytes()
-            rows[row[k]] = b"AKIA" in token or _LONG_HEX.search(token.decode()) is not None or peel(token, p.largest) is not None
+    starts, ends, row = words(np.where(_CLASS[data], np.uint8(0x20), np.uint8(0x41)), offsets)
+    rows[row[ends - starts >= p.run]] = True
     return rows
 
 

@@ -124,6 +124,30 @@ def test_secrets_layers():
     assert secrets.scan(base64.b64encode(gzip.compress(b"a" * 5000)).decode(), secrets.SecretScan(largest=1000))[3]
 
 
+def test_secrets_reach_whole_layers(spark):
+    """Base64 with other characters around it or over lines, all members, damaged codes and layers beyond a piece."""
+    secret, noise = "my token=abcdef99 ok", " ".join(random.Random(4).choices(WORDS, k=90))
+    code = lambda raw: base64.b64encode(raw).decode()
+    plain = code(secret.encode())
+    packed = code(gzip.compress((noise + secret + noise).encode()))
+    wrapped = base64.encodebytes(gzip.compress((noise + secret).encode())).decode()
+    across = base64.encodebytes(b"x" * 50 + secret.encode()).decode()
+    assert "\n" in wrapped[:-1] and "\n" in across[:-1]
+    members = code(gzip.compress(b"first") + gzip.compress(secret.encode()))
+    for text in (f"see h/p/{plain} now", f"key_{plain}", f"x-{plain}", f"abcde{plain}", f"{plain}/tail", f"see h/p/{packed}", f"k_{packed}", wrapped, across, members, "q%FFtoken%3Dabcdef99"):
+        spans = secrets.scan(f"ü {text} !")[1]
+        assert any(kind == 0 for _, kind, _ in spans), text
+    a, _, b = next(x for x in secrets.scan(f"ü key_{plain} !")[1] if x[1] == 0)
+    assert f"ü key_{plain} !"[a:b] in plain and b - a < len(plain)
+    for at in (0, 1500, 4980):  # in the first, a middle and the last piece, and over the border of two
+        large = b"." * at + secret.encode() + b"." * (5000 - at)
+        _, spans, _, cut = secrets.scan(code(gzip.compress(large)), secrets.SecretScan(largest=1000, overlap=64))
+        assert cut and any(kind == 0 for _, kind, _ in spans)
+    assert any(k == 0 for _, k, _ in secrets.scan(code(gzip.compress(b"." * 990 + secret.encode() + b"." * 900)), secrets.SecretScan(largest=1000, overlap=64))[1])
+    row = secrets.secrets(spark.createDataFrame([(1, wrapped), (2, "no\nlong words in here")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert "assign:" in row[0].spans and row[1].n_layers == 0
+
+
 def test_chat_links_and_validates(spark):
     call = {"content": None, "tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": 2}}, {"id": "b", "name": "search", "arguments": {"limit": "x"}}, {"id": "c", "name": "nope", "arguments": {}}]}
     rows = [(1, 0, "user", "hé \"q\""), (1, 1, "tool", json.dumps({"tool_call_id": "b", "content": {"z": 1, "a": 2}})), (1, 2, "assistant", json.dumps(call)), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": "r"})), (1, 4, "tool", json.dumps({"tool_call_id": "q", "content": 1})), (1, 5, "assistant", None), (1, 6, "assistant", "{broken")]
