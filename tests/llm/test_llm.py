@@ -10,6 +10,7 @@ import zlib
 from dataclasses import replace
 
 import brute
+import duckdb
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -336,6 +337,22 @@ def test_quality_depletion(spark):
     assert not any(got[k] for k in range(20)) and all(got[k] for k in range(20, 30)) and got[90] and all(got[100 + k] for k in range(40))
 
 
+def test_quality_twin_removes_lines(spark, tmp_path):
+    """The SQL twin where lines are removed: on both sides of 100 texts and, on a host of 10,200 texts, of 1 %."""
+    import oracle
+
+    line = {k: prose(900 + k, 12) for k in range(4)}
+    rows = [(k, "\n".join([prose(k, 10), *([line[0]] if k < 100 else []), *([line[1]] if k < 101 else [])]), "small") for k in range(130)]
+    rows += [(1000 + k, "\n".join([f"only {k} " * 6, *([line[2]] if k < 102 else []), *([line[3]] if k < 103 else [])]), "large") for k in range(10_200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = quality.quality(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.differences(got, c, twins.QUALITY) == ""
+    removed = {r.doc_id for r in got.where("n_chars_removed > 0").collect()}
+    assert removed == {*range(101), *range(1000, 1103)}
+
+
 @pytest.mark.parametrize("name", sorted(twins.ORACLE_SQL))
 def test_twins(spark, name):
     import oracle
