@@ -47,12 +47,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder; what is written there goes when the application ends."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of ``spark.checkpoint.dir``. Without the setting, a local session gets one of its own.
+
+    A cluster's executors share no local folder, so there the setting must be given.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    at = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the application ends."""
+    context = spark.sparkContext
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = context._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return at
