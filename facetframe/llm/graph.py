@@ -2,39 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+from ._bytes import trimmed
 from ._common import cut, forget
 
+#: Edges that a task thins out at once.
+HELD = 1 << 20
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the same components: every node but the least of its component, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (apart := root[u] != root[v]).any():
+        u, v = root[u[apart]], root[v[apart]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[below]], nodes[below]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges to as many as it has nodes at most."""
+
+    def held() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))], names=["a", "b"])
+
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            parts.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        if sum(len(x) for x, _ in parts) >= HELD:
+            yield held()
+            parts = []
+    if parts:
+        yield held()
+
+
+def composed(maps: list[DataFrame]) -> DataFrame:
+    """One map (node, component) for ``maps`` that are taken one after the other; a node without an entry stays as it is.
+
+    It is made from the last to the first, so each join has the rows of one map and of those after it.
+    """
+    out = maps[-1]
+    for first in reversed(maps[:-1]):
+        then = out.select(F.col("node").alias("component"), F.col("component").alias("then"))
+        moved = first.join(then, "component", "left").select("node", F.coalesce("then", "component").alias("component"))
+        out = moved.union(out.join(first.select("node"), "node", "left_anti").select("node", "component"))
+    return out
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``edges`` that has another; the component is its smallest node.
 
-    Each round points every node to the first of itself and its neighbours, and contracts the edges to those, until none is
-    left. The first round takes the smallest node, which ends the stars that pivots make; the others take a hash of their own,
-    so a share of the nodes goes in each on any graph, long paths too. Nulls and loops are ignored, repeated edges do no
-    harm, and an empty table gives an empty table.
+    Each task first thins its edges to stars. Each round then points every node to the first of itself and its neighbours, and
+    contracts the edges to those, until none is left. The first round takes the smallest node, which ends stars; the others
+    take a hash of their own, so a share of the nodes goes in each on any graph, long paths too. Nulls and loops
+    are ignored, repeated edges do no harm, and an empty table gives an empty table.
     """
+    ship(edges.sparkSession)
     low, high = F.least(a, b), F.greatest(a, b)
-    left = cut(edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct())
+    apart = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct()
+    left = cut(apart.mapInArrow(trimmed(_thinned), "a long, b long").distinct())
     steps = []
     while not left.isEmpty():
         ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
         order = F.xxhash64("other", F.lit(len(steps))) if steps else F.col("other")
-        up = cut(ends.groupBy("node").agg(F.min_by("other", order).alias("up")))
+        up = cut(ends.groupBy("node").agg(F.min_by("other", order).alias("component")))
         steps.append(up)
-        of = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
+        of = lambda end: up.select(F.col("node").alias(end), F.col("component").alias(f"up_{end}"))  # noqa: B023, E731
         moved = left.join(of("a"), "a").join(of("b"), "b").where("up_a <> up_b")
         shorter = cut(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
         forget(left)
         left = shorter
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = steps[0].select("node", F.col("up").alias("component"))
-    for step in steps[1:]:
-        labels = labels.join(step.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    labels = labels.join(labels.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
+    labels = composed(steps)
+    if len(steps) > 1:  # the first round alone ends at the smallest node
+        labels = labels.join(labels.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
     labels = cut(labels)
     forget(left, *steps)
     return labels

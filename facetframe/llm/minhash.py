@@ -13,13 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ._bytes import mix, shingle_sets, trimmed
 from ._common import cut, forget, settings, small
-from .graph import components
+from .graph import components, composed
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class NearDuplicates:
     32 bands of 4 rows miss a pair of similarity 0.75 once in 190,000 (0.684^32); ``floor`` of 128 equal coordinates
     before the exact check is five standard deviations below the 96 expected there. Both only choose candidates.
     Rounds of one pivot for each bucket go on, ``rounds`` at most, while they link ``yield_`` of what they check; then
-    blocks of ``asking`` members are held against blocks of ``asked`` for all pairs of a bucket still unconnected.
+    blocks of ``asking`` members are held against blocks of ``asked`` for all pairs of a bucket still unconnected. Where whole
+    texts are held, a block has ``held`` shingles on either side, about.
     """
 
     width: int = 5
@@ -42,6 +43,7 @@ class NearDuplicates:
     yield_: float = 0.05
     asking: int = 64
     asked: int = 512
+    held: int = 1_000_000
     seed: int = 20
 
     @property
@@ -73,7 +75,7 @@ def signature(shingles: np.ndarray, p: NearDuplicates) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 def _signed(p: NearDuplicates):
@@ -82,7 +84,7 @@ def _signed(p: NearDuplicates):
         odd = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             n, keys, signatures = [], [], []
-            for _, s in shingle_sets(batch.column(1), p.width):
+            for _, s in shingle_sets(batch.column("text"), p.width):
                 n.append(len(s))
                 if len(s):
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -99,7 +101,8 @@ def _signed(p: NearDuplicates):
             rows = [None if x is None else next(at) for x in signatures]
             low = matrix.astype(np.uint8)
             signed = h.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else signed[k] for k in rows], pa.list_(pa.int64())), pa.array([None if k is None else low[k].tobytes() for k in rows], pa.binary())], schema=_SIGNED)
+            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else signed[k] for k in rows], pa.list_(pa.int64())), pa.array([None if k is None else low[k].tobytes() for k in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"])
 
     return trimmed(run)
 
@@ -111,13 +114,13 @@ def _alike(p: NearDuplicates):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, p.size) for k in ("sketch_a", "sketch_b"))
             same = pa.array((a == b).sum(axis=1) >= p.floor)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(same), batch.column("b").filter(same)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(same) for k in ("a", "b", "comp_a", "comp_b")], names=["a", "b", "comp_a", "comp_b"])
 
     return trimmed(run)
 
 
 def _linked(p: NearDuplicates):
-    """Exact check on the whole shingle sets: a, b and whether they are linked."""
+    """Exact check on the whole shingle sets: the pairs and whether they are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,7 +134,7 @@ def _linked(p: NearDuplicates):
                     a = left.get(k, a)
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     linked.append(100 * both >= p.threshold * (len(a) + len(b) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "comp_a", "comp_b")), pa.array(linked)], names=["a", "b", "comp_a", "comp_b", "linked"])
 
     return trimmed(run)
 
@@ -139,16 +142,15 @@ def _linked(p: NearDuplicates):
 def _pairs_in(p: NearDuplicates, whole: bool):
     """In one block of a bucket, holds the asking rows against all rows of other components.
 
-    On sketches (``whole`` false) it returns the rows that agree with any; on texts the linked pairs.
+    On sketches (``whole`` false) it returns the rows that agree with any; on texts the components of linked pairs.
     """
 
     def run(block: pa.Table) -> pa.Table:
         asks = np.array(block.column("asks").to_pylist(), bool)
         comp = block.column("comp").to_numpy()
-        rep = block.column("rep").to_numpy()
         q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
         if whole:
+            pairs: set[tuple[int, int]] = set()
             sets = [s for _, s in shingle_sets(block.column("text").combine_chunks() if block.num_rows else block.column("text"), p.width)]
             known = np.unique(np.concatenate([sets[k] for k in q])) if len(q) else np.zeros(0, np.uint64)
             holds = np.zeros((len(known) + 1, len(q)), np.uint8)
@@ -160,31 +162,33 @@ def _pairs_in(p: NearDuplicates, whole: bool):
                 at = at[known[np.minimum(at, len(known) - 1)] == sets[x]]
                 both = holds[at].sum(axis=0, dtype=np.int64)
                 for k in np.flatnonzero((100 * both >= p.threshold * (sizes + len(sets[x]) - both)) & (comp[q] != comp[x])):
-                    a.append(min(rep[q[k]], rep[x]))
-                    b.append(max(rep[q[k]], rep[x]))
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    pairs.add((int(min(comp[q[k]], comp[x])), int(max(comp[q[k]], comp[x]))))
+            return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
         sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, p.size)
         met = np.zeros(block.num_rows, bool)
         for x in q:
             hit = d[((sketch[d] == sketch[x]).sum(axis=1) >= p.floor) & (comp[d] != comp[x])]
             met[hit] = True
             met[x] |= len(hit) > 0
-        return pa.table({"bucket": block.column("bucket").filter(pa.array(met)), "rep": pa.array(rep[met], pa.int64())})
+        return pa.table({"bucket": block.column("bucket").filter(pa.array(met)), "node": block.column("node").filter(pa.array(met))})
 
     return run
 
 
 def _grid(found: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Rows of the blocks that together hold all pairs of unlike components of each bucket (bucket, rep, comp).
+    """Rows of the blocks that together hold all pairs of unlike components of each bucket (bucket, node, comp, weight).
 
-    Of such a pair one at least is outside the bucket's largest component: those ask, all are asked.
+    Of such a pair one at least is outside the bucket's largest component: those ask, all are asked. The rows are
+    dealt to blocks by a hash, so that a block has so many rows, and so much weight, on either side.
     """
-    parts = found.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
-    main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("rest")).where("rest > 0")
-    rows = found.join(main, "bucket").withColumns({"asking": F.ceil(F.col("rest") / p.asking), "asked": F.ceil(F.col("n") / p.asked)})
-    ask = rows.where("comp <> main").withColumns({"block": F.expr("pmod(xxhash64(rep, 1), asking)"), "part": F.explode(F.expr("sequence(0L, asked - 1)")), "asks": F.lit(True)})
-    all_ = rows.withColumns({"part": F.expr("pmod(xxhash64(rep, 2), asked)"), "block": F.explode(F.expr("sequence(0L, asking - 1)")), "asks": F.lit(False)})
-    columns = ["bucket", "block", "part", "rep", "comp", "asks"]
+    parts = found.groupBy("bucket", "comp").agg(F.count("*").alias("part"), F.sum("weight").alias("load"))
+    main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("rest"), F.sum("load").alias("load")).where("rest > 0")
+    main = main.select("bucket", "main", F.ceil(F.greatest(F.col("rest") / p.asking, F.col("load") / p.held)).alias("asking"), F.ceil(F.greatest(F.col("n") / p.asked, F.col("load") / p.held)).alias("asked"))
+    main = cut(main)
+    rows = found.join(small(main, main.count()), "bucket").drop("weight")
+    ask = rows.where("comp <> main").withColumns({"block": F.expr("pmod(xxhash64(node, 1), asking)"), "part": F.explode(F.expr("sequence(0L, asked - 1)")), "asks": F.lit(True)})
+    all_ = rows.withColumns({"part": F.expr("pmod(xxhash64(node, 2), asked)"), "block": F.explode(F.expr("sequence(0L, asking - 1)")), "asks": F.lit(False)})
+    columns = ["bucket", "block", "part", "node", "comp", "asks"]
     return ask.select(columns).union(all_.select(columns))
 
 
@@ -196,43 +200,133 @@ def _merged(found: DataFrame) -> DataFrame:
     """
 
     def cost(keys: list[str]) -> DataFrame:
-        parts = found_in.groupBy(*keys, "comp").agg(F.count_distinct("rep").alias("part"))
+        parts = found_in.groupBy(*keys, "comp").agg(F.count_distinct("node").alias("part"))
         return parts.groupBy(*keys).agg((F.sum("part") * (F.sum("part") - F.max("part"))).alias("cost"))
 
-    first = found.groupBy("bucket").agg(F.min("rep").alias("a"))
-    cluster = components(found.join(first, "bucket").select("a", F.col("rep").alias("b")).distinct())
-    found_in = cut(found.join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep"))
+    first = cut(found.groupBy("bucket").agg(F.min("node").alias("a")))
+    cluster = components(found.join(small(first, first.count()), "bucket").select("a", F.col("node").alias("b")))
+    found_in = cut(found.join(small(cluster, cluster.count()).select("node", F.col("component").alias("cluster")), "node"))
     apart = cost(["cluster", "bucket"]).groupBy("cluster").agg(F.sum("cost").alias("apart"))
-    one = cost(["cluster"]).join(apart, "cluster").select("cluster", (F.col("cost") <= F.col("apart")).alias("one"))
+    one = cut(cost(["cluster"]).join(apart, "cluster").select("cluster", (F.col("cost") <= F.col("apart")).alias("one")))
     key = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("bucket"))
-    return cut(found_in.join(one, "cluster").select(key.alias("bucket"), "rep", "comp").distinct())
+    return cut(found_in.join(small(one, one.count()), "cluster").select(key.alias("bucket"), "node", "comp").distinct())
+
+
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, text) of the ``nodes``, ``most`` of them at most, from the first row of each set."""
+    wanted = sets.select("node", F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")).join(small(nodes, most), "node", "left_semi")
+    same = docs["doc_id"].eqNullSafe(F.col("its_id")) & (F.xxhash64(docs["text"]) == F.col("its_hash"))
+    return docs.join(small(wanted, most), same).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def _rest(found: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Links (a, b) among all pairs of a bucket that are in unlike components."""
+    """Links (a, b) between unlike components, from all pairs of a bucket that are in such."""
     block = ["bucket", "block", "part"]
     found = _merged(found)
-    near = _grid(found, p).join(sets.select("rep", "sketch"), "rep").groupBy(*block).applyInArrow(_pairs_in(p, whole=False), "bucket long, rep long")
+    near = _grid(found.withColumn("weight", F.lit(0)), p).join(sets.select("node", "sketch"), "node").groupBy(*block).applyInArrow(_pairs_in(p, whole=False), "bucket long, node long")
     near = cut(near.distinct())
-    left = found.join(near, ["bucket", "rep"], "left_semi")
-    ids = cut(near.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.join(small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    held = _grid(left, p).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    ids = cut(near.select("node").distinct())
+    n = ids.count()
+    left = cut(found.join(small(near, near.count()), ["bucket", "node"], "left_semi").join(sets.select("node", F.col("n_shingles").alias("weight")).join(small(ids, n), "node", "left_semi"), "node"))
+    held = _grid(left, p).join(_texts(docs, sets, ids, n), "node")
     return cut(held.groupBy(*block).applyInArrow(_pairs_in(p, whole=True), "a long, b long").distinct())
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """(a, b, linked) of the distinct ``pairs``; pairs that their sketches rule out are dropped."""
+    """(a, b, comp_a, comp_b, linked) of the distinct ``pairs``; pairs that their sketches rule out are dropped."""
     spark = docs.sparkSession
-    sketches = sets.select("rep", "sketch", "n_shingles")
-    of = lambda x: sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    columns = "a long, b long, comp_a long, comp_b long"
+    sketches = sets.select("node", "sketch", "n_shingles")
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {p.threshold} * greatest(n_a, n_b)")
-    near = cut(sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(p), "a long, b long"))
-    ids = cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
-    texts = docs.join(small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    near = cut(sized.select("a", "b", "comp_a", "comp_b", "sketch_a", "sketch_b").mapInArrow(_alike(p), columns))
+    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts(docs, sets, ids, 2 * near.count())
+    both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # rows hold two whole texts
-        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(p), "a long, b long, linked boolean"))
+        return cut(both.select("a", "b", "comp_a", "comp_b", "text_a", "text_b").mapInArrow(_linked(p), f"{columns}, linked boolean"))
+
+
+def _crowded(sets: DataFrame) -> DataFrame:
+    """(bucket, node) of all buckets of two or more."""
+    rows = sets.select("node", F.explode("bands").alias("bucket"))
+    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    return cut(rows.join(small(shared, shared.count()), "bucket").select("bucket", "node"))
+
+
+def _asked_pairs(asks: DataFrame, pivot: DataFrame) -> DataFrame:
+    """Distinct pairs of the rows ``asks`` (bucket, node, comp) and their bucket's ``pivot`` (bucket, pivot, its)."""
+    ends = asks.join(small(pivot, pivot.count()), "bucket").where("node <> pivot and comp <> its").select(F.struct("node", "comp").alias("x"), F.struct(F.col("pivot").alias("node"), F.col("its").alias("comp")).alias("y"))
+    return ends.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g")).selectExpr("l.node as a", "g.node as b", "l.comp as comp_a", "g.comp as comp_b").distinct()
+
+
+def _labels(sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame | None:
+    """(node, component) of the sets that links connect."""
+    buckets = _crowded(sets)
+    first = cut(buckets.groupBy("bucket").agg(F.min("node").alias("pivot")).withColumn("its", F.col("pivot")))
+    new = _checked(_asked_pairs(buckets.withColumn("comp", F.col("node")), first), sets, docs, p)
+    maps, tested = [components(new.where("linked"), "comp_a", "comp_b")], new.select("a", "b")
+    told = cut(buckets.join(small(maps[0], maps[0].count()), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
+    forget(buckets)
+    # the pair of a bucket of two has been checked, and one component has nothing left to connect
+    parts = told.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
+    main = cut(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), F.max("part").alias("most")).where("n > 2 and most < n").select("bucket", "main"))
+    open_ = cut(told.join(small(main, main.count()), "bucket"))
+    forget(told)
+    asks = open_.where("comp <> main")
+    for k in range(1, p.rounds):
+        checked, linked = new.agg(F.count("*"), F.count_if("linked")).first()
+        if linked <= p.yield_ * checked:
+            break
+        # the members outside a bucket's largest component are held against one that is in it
+        pivot = cut(open_.where("comp = main").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("pivot"), F.first("main").alias("its")).select("bucket", "pivot"))
+        pivot = cut(asks.groupBy("bucket").agg(F.first("main").alias("its")).join(pivot, "bucket"))
+        new = _checked(_asked_pairs(asks, pivot).join(tested, ["a", "b"], "left_anti"), sets, docs, p)
+        tested = tested.union(new.select("a", "b"))
+        step = components(new.where("linked"), "comp_a", "comp_b")
+        if step.isEmpty():
+            continue
+        maps.append(step)
+        n = step.count()
+        for end in ("comp", "main"):
+            asks = asks.join(small(step.select(F.col("node").alias(end), "component"), n), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        asks = cut(asks.where("comp <> main"))
+    if not asks.isEmpty():
+        left = cut(asks.select("bucket").distinct())
+        still = open_.join(small(left, left.count()), "bucket", "left_semi")
+        if len(maps) > 1:
+            later = cut(composed(maps[1:]))
+            still = still.join(small(later.select(F.col("node").alias("comp"), "component"), later.count()), "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
+        more = _rest(cut(still.select("bucket", "node", "comp")), sets, docs, p)
+        if not more.isEmpty():
+            maps.append(components(more))
+    return composed(maps)
+
+
+def grouped(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group and component_id of every row of ``docs`` (doc_id, text).
+
+    ``group`` is null for rows that nothing is grouped with: those of no words and no doc_id. Rows of one doc_id are
+    one document, whatever their texts are: they are in one group.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signed(p), _SIGNED)
+    signed = cut(rows)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    own = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch"), order).alias("own")
+    sets = cut(signed.where("set_key is not null").groupBy("set_key").agg(own).select(F.monotonically_increasing_id().alias("node"), "set_key", "own.*"))
+    labels = cut(_labels(sets, docs, p))
+    node_of = sets.select("node", "set_key", F.col("doc_id").alias("least")).join(small(labels, labels.count()), "node", "left").select("set_key", F.coalesce("component", "node").alias("group"))
+    told = cut(signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(node_of, "set_key", "left").drop("set_key"))
+    # rows of one doc_id with unlike sets unite the groups of those
+    split = told.where("doc_id is not null and group is not null").groupBy("doc_id").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    again = cut(told.where("group is not null").join(split, "doc_id").select(F.col("low").alias("a"), F.col("group").alias("b")).distinct())
+    if not again.isEmpty():
+        united = components(again)
+        told = told.join(small(united, united.count()), told["group"] == united["node"], "left").withColumn("group", F.coalesce("component", "group")).drop("node", "component")
+    least = cut(told.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    return told.join(small(least, least.count()), "group", "left").select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -240,46 +334,33 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
 
     Documents with 100 * |A ∩ B| >= ``threshold`` * |A ∪ B| of their word shingles are linked; component_id is the
     smallest doc_id that links reach. A text of fewer words than ``width`` is one shingle. Null and empty texts and
-    texts without words have the empty set, are linked with nothing and are kept. Rows of a null doc_id are left out.
-    Equal sets are one node from the start. Rows that repeat a doc_id with unlike texts are one node: the first text in order
-    decides on its links, and each row has its own n_shingles. An empty table gives an empty table.
+    texts without words have the empty set, are linked with nothing and are kept. Equal sets are one node from the start.
+    Rows that repeat a doc_id are one document: their links, and n_shingles, are those of each text. A row
+    of a null doc_id is a document of its own; component_id is null if no link reaches a doc_id, and it is kept then.
+    An empty table gives an empty table.
 
     A round's work on a bucket of n documents is linear: it holds the members against one pivot. Only the members that
     stay outside the bucket's largest component are then held against all others, first by their sketches.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = cut(docs.mapInArrow(_signed(p), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
-    members = signed.where("set_key is not null")
-    sets = cut(members.join(members.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set_key").where("doc_id = rep").groupBy("rep", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    rows = sets.select("rep", F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = cut(rows.join(crowded, "bucket").select("bucket", "rep", F.col("rep").alias("comp")))
-    tested, links, labels = None, None, None
-    for k in range(p.rounds):
-        order = F.col("rep") if not k else F.xxhash64("rep", F.lit(k))
-        pivot = buckets.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("comp").alias("its")), order).alias("at")).select("bucket", "at.*")
-        pairs = buckets.join(pivot, "bucket").where("rep <> pivot and comp <> its").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = _checked(pairs, sets, docs, p)
-        checked, linked = new.agg(F.count("*"), F.count_if("linked")).first()
-        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
-        links = new.where("linked").select("a", "b") if links is None else links.union(new.where("linked").select("a", "b"))
-        if linked or not k:
-            labels = components(links)
-            told = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-            # the pair of a bucket of two has been checked, and one component has nothing left to connect
-            still = told.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("n > 2 and low <> high")
-            later = cut(told.join(still.select("bucket"), "bucket", "left_semi"))
-            forget(buckets)
-            buckets = later
-        if linked <= p.yield_ * checked:
-            break
-    if not buckets.isEmpty():
-        more = _rest(buckets, sets, docs, p)
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    group = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(group, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("group", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return grouped(docs, p).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, that of the smallest doc_id, first by its text; all columns as they are.
+
+    Repeated rows and rows of one doc_id are one document. Rows without words and without doc_id all stay.
+    """
+    rows = cut(grouped(docs, p))
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    chosen = rows.where("group is not null").groupBy("group").agg(F.min(key).alias("key"), F.count("*").alias("rows")).where("rows > 1").select("group", "key")
+    chosen = cut(chosen)
+    told = rows.join(small(chosen, chosen.count()), "group").withColumn("stays", F.col("key") == key)
+    told = told.union(rows.where("group is null and doc_id is not null").withColumns({"key": key, "stays": F.lit(True)}).select(told.columns))
+    keys = cut(told.groupBy(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"))
+    keys = small(keys, keys.count())
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["its_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["its_hash"])
+    once = docs.join(keys, same, "left_anti")
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    twice = packed.join(keys.where("stays"), packed["doc_id"].cast("long").eqNullSafe(keys["its_id"]) & F.xxhash64(packed["text"]).eqNullSafe(keys["its_hash"]))
+    one = twice.withColumn("nth", F.row_number().over(Window.partitionBy("its_id", "its_hash").orderBy(F.xxhash64("row")))).where("nth = 1")
+    return once.union(one.select("row.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
