@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..params import Extraction
 from . import graph, kernels, mesh, planes
+from .joins import bridged_pairs
 
 PATCH = ["scene_id", "label_int", "patch"]
 
@@ -111,11 +112,19 @@ def cross_distance(points: DataFrame, fits: DataFrame, pairs: DataFrame, keys: l
     return each.groupBy(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.max("far").alias("far"))
 
 
-def segment_pairs(fits: DataFrame, keys: list[str], degrees: float, offset: float, signed: bool = True) -> DataFrame:
-    """Pairs (a < b) of a frame's segments whose planes agree in angle and offset; ``signed`` lets opposite normals agree."""
-    side = lambda k: fits.select(*keys, F.col("label").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "abcd"])
-    dots = G.dot([F.col(f"p{c}") for c in "abc"], [F.col(f"q{c}") for c in "abc"])
-    met = side("p").join(side("q"), keys).where("p < q").withColumn("dots", dots)
+def segment_pairs(fits: DataFrame, keys: list[str], degrees: float, offset: float, signed: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """Pairs (a < b) of a frame's segments whose planes agree in angle and offset; ``signed`` lets opposite normals agree.
+
+    Only pairs in ``among`` (keys, a, b) are looked at, if it is given; else planes meet in cells of the offset.
+    """
+    plane = lambda k: fits.select(*keys, F.col("label").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "abcd"])
+    if among is not None:
+        met = among.select(*keys, F.col("a").alias("p"), F.col("b").alias("q")).join(plane("p"), [*keys, "p"]).join(plane("q"), [*keys, "q"])
+    else:  # offsets, of either sign, are at most one cell apart
+        left = plane("p").withColumn("_cell", F.floor(F.abs("pd") / offset))
+        right = plane("q").withColumn("_cell", F.explode(F.array(*[F.floor(F.abs("qd") / offset) + k for k in (-1, 0, 1)])))
+        met = left.join(right, [*keys, "_cell"]).where("p < q")
+    met = met.withColumn("dots", G.dot([F.col(f"p{c}") for c in "abc"], [F.col(f"q{c}") for c in "abc"]))
     gap: Column = planes.signed_offset(F.col("dots"), F.col("pd"), F.col("qd")) if signed else F.abs(F.col("pd") - F.col("qd"))
     return met.where((F.abs("dots") >= cos(radians(degrees))) & (gap <= offset)).select(*keys, F.col("p").alias("a"), F.col("q").alias("b"), gap.alias("gap"))
 
@@ -126,26 +135,38 @@ def top_labels(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     return sizes.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "label"))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def merge_segments(points: DataFrame, keys: list[str], degrees: float = 10.0, offset: float = 0.05, share: float = 0.2, k: int = 20, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Iterated merge of a frame's largest segments: planes, coplanar pairs by angle, offset and cross distance, components, refit.
+def merge_segments(points: DataFrame, keys: list[str], degrees: float = 5.0, offset: float = 0.05, share: float = 0.2, k: int = 20, rounds: int = 20, raster: DataFrame | None = None, gap: int = 20, near: float = 0.2, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Iterated merge of a frame's ``k`` largest segments: planes, adjacent pairs that are coplanar by angle, offset and cross distance, components, refit.
 
-    Returns label to merged label and the log of the pairs of each round. Ends when a round merges nothing.
+    Segments are adjacent if they touch once background within ``gap`` pixels is taken up (``raster``: keys, v, u, label) or have points
+    within ``near`` of each other. A component takes the label of its largest member. Segments of fewer than ``least``
+    points have no plane. Returns label to merged label and the log of the pairs of each round. Ends when a round merges nothing.
     """
-    points = graph.written(points)
-    labels = graph.written(points.select(*keys, "label").distinct().withColumn("merged", F.col("label")))
+    chosen = top_labels(points, keys, k).where(F.col("n") >= max(least, 3)).select(*keys, "label")
+    every = points.select(*keys, "label").distinct()
+    points = graph.written(points.join(chosen, [*keys, "label"], "left_semi"))
+    labels = graph.written(every.withColumn("merged", F.col("label")))
     log = None
     for r in range(rounds):
         now = points.join(labels, [*keys, "label"]).select(*keys, F.col("merged").alias("label"), "x", "y", "z")
-        chosen = now.join(top_labels(now, keys, k).select(*keys, "label"), [*keys, "label"], "left_semi")
-        fits = graph.written(planes.fit(chosen, [*keys, "label"]))
-        pairs = segment_pairs(fits, keys, degrees, offset)
-        near = graph.written(cross_distance(chosen, fits, pairs, keys, share).withColumns({"round": F.lit(r), "accepted": F.col("far") <= 2 * offset}))
-        log = near if log is None else log.union(near)
-        good = near.where("accepted")
+        sizes = now.groupBy(*keys, F.col("label").alias("at")).agg(F.count("*").alias("n"))
+        touching = near_in_space(now, keys, near)
+        if raster is not None:
+            seen = raster.select(*keys, "v", "u", "label").join(labels, [*keys, "label"], "left").select(*keys, "v", "u", F.coalesce("merged", "label").alias("label"))
+            known = sizes.select(*keys, "at")
+            bridged = bridged_pairs(seen, "label", gap, keys).join(known.withColumnRenamed("at", "a"), [*keys, "a"], "left_semi").join(known.withColumnRenamed("at", "b"), [*keys, "b"], "left_semi")
+            touching = touching.union(bridged.select(*touching.columns)).distinct()
+        fits = graph.written(planes.fit(now, [*keys, "label"]))
+        pairs = segment_pairs(fits, keys, degrees, offset, among=touching)
+        near_by = graph.written(cross_distance(now, fits, pairs, keys, share).withColumns({"round": F.lit(r), "accepted": F.col("far") <= 2 * offset}))
+        log = near_by if log is None else log.union(near_by)
+        good = near_by.where("accepted")
         if good.isEmpty():
             break
-        found = graph.components(labels.select(*keys, F.col("merged").alias("at")).distinct(), good, keys, "at", "a", "b")
-        labels = graph.written(labels.join(found.withColumnRenamed("at", "merged"), [*keys, "merged"]).select(*keys, "label", F.col("component").alias("merged")))
+        found = graph.components(labels.select(*keys, F.col("merged").alias("at")).distinct(), good, keys, "at", "a", "b").join(sizes, [*keys, "at"])
+        largest = found.groupBy(*keys, "component").agg(F.max_by("at", F.struct("n", -F.col("at"))).alias("largest"))
+        found = found.join(largest, [*keys, "component"]).select(*keys, F.col("at").alias("merged"), "largest")
+        labels = graph.written(labels.join(found, [*keys, "merged"], "left").select(*keys, "label", F.coalesce("largest", "merged").alias("merged")))
     return labels, log
 
 

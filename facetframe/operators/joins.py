@@ -53,9 +53,9 @@ def status(scenes: DataFrame, started: DataFrame, done: DataFrame, key: str) ->
 
 
 def same_lists(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
-    """Whether two tables list the same keys for each group, by counts and order-free digests instead of gathered lists."""
-    digest = lambda t, n: t.groupBy(group).agg(F.count("*").alias(f"n_{n}"), F.sum(F.crc32(F.col(key).cast("string").cast("binary"))).alias(f"h_{n}"))
-    return digest(a, "a").join(digest(b, "b"), group, "full").select(group, (F.col("n_a").eqNullSafe(F.col("n_b")) & F.col("h_a").eqNullSafe(F.col("h_b"))).alias("same"))
+    """Whether two tables list the same keys, each as often, for each group; from counts by key instead of gathered lists."""
+    both = a.select(group, key, F.lit(1).alias("_n")).union(b.select(group, key, F.lit(-1)))
+    return both.groupBy(group, key).agg(F.sum("_n").alias("_n")).groupBy(group).agg(F.bool_and(F.col("_n") == 0).alias("same"))
 
 
 def shard_range(rows: DataFrame, scenes: DataFrame, key: str, start: int, stop: int) -> DataFrame:
@@ -99,3 +99,19 @@ def near_pairs(px: DataFrame, label: str, radius: int, keys: list[str]) -> DataF
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius])
     one = edge.select(*keys, F.col(label).alias("a"), "v", "u", F.explode(offsets).alias("o")).select(*keys, "a", (F.col("v") + F.col("o.a")).alias("v"), (F.col("u") + F.col("o.b")).alias("u"))
     return one.join(edge.select(*keys, "v", "u", F.col(label).alias("b")), [*keys, "v", "u"]).where("a < b").select(*keys, "a", "b").distinct()
+
+
+def bridged_pairs(px: DataFrame, label: str, gap: int, keys: list[str]) -> DataFrame:
+    """Pairs of labels that touch once background pixels within ``gap`` of a label have taken up the nearest one.
+
+    Of labels equally far the one first in row order is taken.
+    """
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-gap, gap + 1) for b in range(-gap, gap + 1) if a * a + b * b <= gap * gap])
+    own = px.where(F.col(label) > 0).select(*keys, "v", "u", F.col(label).alias("_l"))
+    reach = own.select(*keys, F.col("v").alias("_v"), F.col("u").alias("_u"), "_l", F.explode(offsets).alias("o")).select(*keys, (F.col("_v") - F.col("o.a")).alias("v"), (F.col("_u") - F.col("o.b")).alias("u"), "_l", F.struct((F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("d"), "_v", "_u").alias("_far"))
+    free = px.where(F.col(label) <= 0).select(*keys, "v", "u")
+    wide = own.union(free.join(reach, [*keys, "v", "u"]).groupBy(*keys, "v", "u").agg(F.min_by("_l", "_far").alias("_l")))
+    steps = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")))
+    moved = wide.select(*keys, F.col("_l").alias("_m"), F.explode(steps).alias("o"), "v", "u").select(*keys, (F.col("v") + F.col("o.a")).alias("v"), (F.col("u") + F.col("o.b")).alias("u"), "_m")
+    met = wide.join(moved, [*keys, "v", "u"]).where("_l <> _m")
+    return met.select(*keys, F.least("_l", "_m").alias("a"), F.greatest("_l", "_m").alias("b")).distinct()

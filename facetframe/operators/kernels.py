@@ -63,10 +63,10 @@ def huber_plane(p: np.ndarray, iterations: int = 8, k: float = 1.345, eps: float
     return n, d
 
 
-def label_regions(px: DataFrame, mask: str, eight: bool = True) -> DataFrame:
+def label_regions(px: DataFrame, mask: str, eight: bool = True, by: tuple[str, ...] = ("scene_id", "frame_id")) -> DataFrame:
     """Pixels with their connected region, numbered from 1 in each frame by its first pixel in row order; 0 outside the mask.
 
-    A frame is one group: runs of a row are joined to the runs they touch in the row above.
+    A frame (or what ``by`` makes one) is one group: runs of a row are joined to the runs they touch in the row above.
     """
     ship(px.sparkSession)
     reach = 1 if eight else 0
@@ -99,11 +99,21 @@ def label_regions(px: DataFrame, mask: str, eight: bool = True) -> DataFrame:
         out = np.zeros(plane.shape, np.int32)
         for k in range(len(row)):
             out[row[k], lo[k] + 1 : hi[k] + 1] = number[roots[k]]
-        return pa.table([rows.column(c) for c in ("scene_id", "frame_id", "v", "u")] + [pa.array(out[v - v.min(), u - u.min() + 1])], names=["scene_id", "frame_id", "v", "u", "region"])
+        return pa.table([rows.column(c) for c in head] + [pa.array(out[v - v.min(), u - u.min() + 1])], names=[*head, "region"])
 
-    kinds = dict(px.dtypes)
-    head = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", "frame_id", "v", "u"))
-    return px.select("scene_id", "frame_id", "v", "u", mask).groupBy("scene_id", "frame_id").applyInArrow(frame, f"{head}, region int")
+    kinds, head = dict(px.dtypes), [*by, "v", "u"]
+    return px.select(*head, mask).groupBy(*by).applyInArrow(frame, ", ".join(f"{c} {kinds[c]}" for c in head) + ", region int")
+
+
+def drop_small(px: DataFrame, label: str, least: int, keys: tuple[str, ...] = ("scene_id", "frame_id")) -> DataFrame:
+    """Labelled pixels (keys, v, u, label) but those in a 4-connected component of their label below ``least`` pixels."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    by = (*keys, label)
+    found = label_regions(px.where(F.col(label) > 0).withColumn("_on", F.lit(True)), "_on", eight=False, by=by)
+    size = F.count("*").over(Window.partitionBy(*by, "region"))
+    return found.withColumn("_size", size).where(F.col("_size") >= least).select(*keys, "v", "u", label)
 
 
 def robust_fits(points: DataFrame, keys: list[str], threshold: float = 0.01, iterations: int = 1000, support: int = 50, seed: int = 0) -> DataFrame:
@@ -193,41 +203,86 @@ def sequential_planes(points: DataFrame, keys: list[str], threshold: float = 0.0
     return points.groupBy(*keys).applyInPandas(one, f"{head}, idx long, plane int, a double, b double, c double, d double")
 
 
+def face_planes(faces: DataFrame, keys: list[str], distance: float, degrees: float, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """Best plane through three distinct vertices of a group's faces, as it was drawn, and the faces that agree with it.
+
+    ``faces``: keys, fid, normals, centroids and corners with their vertices. A face agrees if its centroid is near the plane
+    and its normal is within ``degrees`` of the plane's, of either sign. There is no refinement. Of planes that as many
+    faces agree with the first drawn is taken.
+    """
+    ship(faces.sparkSession)
+    cos = np.cos(np.radians(degrees))
+    head = ", ".join(f"{c} {t}" for c, t in faces.select(*keys).dtypes)
+    columns = [*keys, "fid", "a", "b", "c", "d"]
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("fid")
+        ids, first = np.unique(part[["v0", "v1", "v2"]].to_numpy().reshape(-1), return_index=True)
+        p = np.stack([part[[f"{a}{k}" for a in "xyz"]].to_numpy(float) for k in range(3)], axis=1).reshape(-1, 3)[first]
+        if len(ids) < 3:
+            return pd.DataFrame(columns=columns)
+        rng = seeded(seed, *key)
+        pick = np.stack([rng.choice(len(ids), 3, replace=False) for _ in range(iterations)])
+        a, b, c = p[pick[:, 0]], p[pick[:, 1]], p[pick[:, 2]]
+        n = np.cross(b - a, c - a)
+        size = np.linalg.norm(n, axis=1)
+        n, a = n[size > 1e-12] / size[size > 1e-12, None], a[size > 1e-12]
+        middle, normal = part[["cx", "cy", "cz"]].to_numpy(float), part[["nx", "ny", "nz"]].to_numpy(float)
+        best, most = None, 0
+        for i in range(0, len(n), 64):
+            d = -(n[i : i + 64] * a[i : i + 64]).sum(axis=1)
+            agree = (np.abs(middle @ n[i : i + 64].T + d) <= distance) & (np.abs(normal @ n[i : i + 64].T) >= cos)
+            counts = agree.sum(axis=0)
+            if counts.max() > most:
+                k = int(counts.argmax())
+                best, most = (agree[:, k], n[i + k], d[k]), int(counts[k])
+        if best is None:
+            return pd.DataFrame(columns=columns)
+        took, n, d = best
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "fid": part["fid"].to_numpy()[took], "a": n[0], "b": n[1], "c": n[2], "d": d})[columns]
+
+    return faces.groupBy(*keys).applyInPandas(one, f"{head}, fid long, a double, b double, c double, d double")
+
+
 def grow_regions(faces: DataFrame, near: DataFrame, degrees: float = 8.0, distance: float = 0.015, dihedral: float = 55.0, refit: int = 15, least: int = 1) -> DataFrame:
     """Label-strict region growing on faces with corners, normals, centroids and areas.
 
     Seeds by area (ties: smaller fid); depth-first over neighbours of the same label under a dihedral gate, a gate on the angle to
-    the plane and a distance gate of two of the three corners; the plane is refitted after every ``refit`` faces.
-    A scene's label is one group, since the result depends on the order of visits. Returns scene_id, fid, label_int, region.
+    the plane and a distance gate of two of the three corners; the plane is refitted to the distinct vertices after every
+    ``refit`` faces that are taken from the stack. A region of fewer than ``least`` faces is none. A scene's label is one group, since the result depends on the order of visits. Returns scene_id, fid, label_int, region.
     """
     ship(faces.sparkSession)
     cos_p, cos_d = np.cos(np.radians(degrees)), np.cos(np.radians(dihedral))
     links = near.groupBy("scene_id", "f1").agg({"f2": "collect_list"}).withColumnRenamed("collect_list(f2)", "next").withColumnRenamed("f1", "fid")
-    rows = faces.join(links, ["scene_id", "fid"], "left").select("scene_id", "label_int", "fid", "area", "nx", "ny", "nz", *[f"{a}{k}" for a in "xyz" for k in range(3)], "next")
+    rows = faces.join(links, ["scene_id", "fid"], "left").select("scene_id", "label_int", "fid", "area", "nx", "ny", "nz", "v0", "v1", "v2", *[f"{a}{k}" for a in "xyz" for k in range(3)], "next")
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["area", "fid"], ascending=[False, True]).reset_index(drop=True)
         at = {f: k for k, f in enumerate(part["fid"])}
         corner = np.stack([part[[f"{a}{k}" for a in "xyz"]].to_numpy(float) for k in range(3)], axis=1)
         normal = part[["nx", "ny", "nz"]].to_numpy(float)
+        vertex = part[["v0", "v1", "v2"]].to_numpy()
         region, number = np.full(len(part), -1), 0
         for seed in range(len(part)):
-            if region[seed] >= 0:
+            if region[seed] != -1:
                 continue
             n, d = pca_plane(corner[seed])
-            took, stack = [seed], [seed]
+            took, stack, since = [], [seed], 0
             region[seed] = number
             while stack:
                 u = stack.pop()
+                took.append(u)
+                since += 1
+                if since >= refit:
+                    first = np.unique(vertex[took].reshape(-1), return_index=True)[1]
+                    n, d = huber_plane(corner[took].reshape(-1, 3)[first], 4)
+                    since = 0
                 for f in sorted(part["next"][u] if part["next"][u] is not None else []):
                     v = at.get(f)
-                    if v is None or region[v] >= 0 or abs(normal[u] @ normal[v]) < cos_d or abs(normal[v] @ n) < cos_p or (np.abs(corner[v] @ n + d) <= distance).sum() < 2:
+                    if v is None or region[v] != -1 or abs(normal[u] @ normal[v]) < cos_d or abs(normal[v] @ n) < cos_p or (np.abs(corner[v] @ n + d) <= distance).sum() < 2:
                         continue
                     region[v] = number
-                    took.append(v)
                     stack.append(v)
-                    if len(took) % refit == 0:
-                        n, d = huber_plane(corner[took].reshape(-1, 3), 4)
             if len(took) < least:
                 region[took] = -2
             else:
@@ -237,8 +292,8 @@ def grow_regions(faces: DataFrame, near: DataFrame, degrees: float = 8.0, distan
     return rows.groupBy("scene_id", "label_int").applyInPandas(one, "scene_id long, label_int int, fid long, region int")
 
 
-def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, relative: float = 0.02, least: int = 50, rounds: int = 20) -> DataFrame:
-    """Greedy merge of a frame's touching segments, largest pair first, while normals and mean depths agree.
+def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, offset: float = 0.02, least: int = 50, gap: int = 5, rounds: int = 20) -> DataFrame:
+    """Greedy merge of a frame's segments within ``gap`` pixels, largest pair first, while normals, of either sign, and mean depths agree.
 
     A round judges all touching pairs by its start and merges those whose ends no merge of the round has taken up, so
     a segment may take up several. Of pairs of one size the later labels go first.
@@ -252,7 +307,7 @@ def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, r
     ship(px.sparkSession)
     frame = ["scene_id", "frame_id"]
     sums = px.where(F.col(label) > 0).groupBy(*frame, F.col(label).alias("a")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in ("nx", "ny", "nz", "z")])
-    pairs = near_pairs(px, label, 2, frame).groupBy(*frame, "a").agg(F.collect_list("b").alias("near"))
+    pairs = near_pairs(px, label, gap, frame).groupBy(*frame, "a").agg(F.collect_list("b").alias("near"))
     cos = np.cos(np.radians(degrees))
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -265,9 +320,11 @@ def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, r
                 x, y = rows[a], rows[b]
                 if min(x[0], y[0]) < least:
                     continue
-                m, n = x[1:4] / max(np.linalg.norm(x[1:4]), 1e-12), y[1:4] / max(np.linalg.norm(y[1:4]), 1e-12)
-                za, zb = x[4] / x[0], y[4] / y[0]
-                if m @ n >= cos and abs(za - zb) <= relative * max(za, zb):
+                sizes = np.linalg.norm(x[1:4]) / x[0], np.linalg.norm(y[1:4]) / y[0]
+                if min(sizes) < 1e-6:
+                    continue
+                dot = (x[1:4] @ y[1:4]) / (sizes[0] * sizes[1] * x[0] * y[0])
+                if abs(dot) >= cos and abs(x[4] / x[0] - y[4] / y[0]) <= offset:
                     agree.append((x[0] + y[0], a, b))
             gone: dict[int, int] = {}
             for _, a, b in sorted(agree, reverse=True):

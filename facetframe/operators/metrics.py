@@ -78,9 +78,12 @@ def gated(points: DataFrame, planes: DataFrame, thresholds: list[float], gates:
     cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(g)).alias("gate"), F.col(f"in{k}").alias("inliers")) for k, t in enumerate(thresholds) for g in gates])
     long = per.select(*on, "n", F.explode(cells).alias("c")).select(*on, "n", "c.*")
     sums = long.groupBy(*keys, "threshold", "gate").agg(F.sum(F.when(F.col("inliers") >= F.col("gate") * F.col("n"), F.col("inliers")).otherwise(0)).alias("kept"), F.sum("n").alias("fitted"))
+    # every group and cell has a row: without a fitted segment both are 0
     every = points.groupBy(*keys).agg(F.count("*").alias(total)) if keys else points.agg(F.count("*").alias(total))
-    both = sums.join(every, keys) if keys else sums.crossJoin(F.broadcast(every))
-    ratio = lambda d: F.when(F.col(d) > 0, F.col("kept") / F.col(d)).otherwise(0.0)
+    grid = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(g)).alias("gate")) for t in thresholds for g in gates])
+    every = every.select(*keys, total, F.explode(grid).alias("c")).select(*keys, total, "c.*")
+    both = every.join(sums, [*keys, "threshold", "gate"], "left")
+    ratio = lambda d: F.when(F.col(d) > 0, F.coalesce("kept", F.lit(0)) / F.col(d)).otherwise(0.0)
     return both.select(*keys, "threshold", "gate", ratio("fitted").alias("precision"), ratio(total).alias("recall"))
 
 

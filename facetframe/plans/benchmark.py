@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import kernels, metrics, rollup, stencil
-from ..params import Segmentation
+from ..functions import geometry as G
+from ..operators import kernels, metrics, planes, rollup, stencil
+from ..params import Evaluation, Segmentation
 
 METRICS = ["sc", "rand_index", "voi", "bp_accuracy", "bp_precision", "bp_recall", "bp_f1", "bp_iou"]
+FRAME = ["scene_id", "frame_id"]
 
 
 def segmented(signals: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
@@ -16,14 +21,46 @@ def segmented(signals: DataFrame, p: Segmentation = Segmentation()) -> DataFrame
     return kernels.label_regions(on, "connected")
 
 
-def evaluated(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Metrics of every frame that both have (pred: region; gt: label), from one join by pixel."""
-    pixel = ["scene_id", "frame_id", "v", "u"]
-    both = pred.select(*pixel, pred["region"].alias("pred")).join(gt.select(*pixel, gt["label"].alias("gt")), pixel)
-    return metrics.frame_metrics(both)
+def ransac_fits(points: DataFrame, p: Evaluation, threshold: float) -> DataFrame:
+    """Planes of the segments by RANSAC at the threshold that they are judged by."""
+    return kernels.robust_fits(points, [*FRAME, "label"], threshold, p.iterations, p.support, p.seed)
+
+
+def least_squares_fits(points: DataFrame, p: Evaluation, threshold: float) -> DataFrame:
+    """Planes of the segments over all their points: one aggregation, whatever the threshold."""
+    return planes.fit(points, [*FRAME, "label"])
+
+
+def plane_metrics(both: DataFrame, camera: G.Pinhole, p: Evaluation = Evaluation(), fits: Callable = ransac_fits) -> DataFrame:
+    """Gated precision and recall of each frame, a column for each threshold, from pixels with z and their predicted segment."""
+    xyz = [c.alias(n) for c, n in zip(G.backproject(camera), "xyz", strict=True)]
+    points = both.where(G.valid_depth("z")).select(*FRAME, F.col("pred").alias("label"), *xyz)
+    own = points.where("label <> 0")
+    each = [metrics.gated(points, fits(own, p, t).select(*FRAME, "label", "a", "b", "c", "d"), [t], [p.gate], FRAME) for t in p.thresholds]
+    long = each[0]
+    for more in each[1:]:
+        long = long.union(more)
+    return metrics.wide(long, FRAME, list(p.thresholds), [p.gate])
+
+
+def plane_columns(p: Evaluation) -> list[str]:
+    return [f"{m}_{t * 100:g}cm_gate{p.gate:g}".replace(".", "_") for t in p.thresholds for m in ("prec", "rec")]
+
+
+def evaluated(pred: DataFrame, gt: DataFrame, camera: G.Pinhole | None = None, p: Evaluation = Evaluation(), fits: Callable = ransac_fits) -> DataFrame:
+    """Metrics of every frame that both have (pred: region; gt: label and, for the metrics of planes, z), from one join by pixel.
+
+    With a ``camera`` the row has the gated precision and recall of the predicted planes too; frames without a valid
+    depth have zeros there.
+    """
+    pixel = [*FRAME, "v", "u"]
+    both = pred.select(*pixel, pred["region"].alias("pred")).join(gt.select(*pixel, gt["label"].alias("gt"), *(["z"] if camera else [])), pixel)
+    rows = metrics.frame_metrics(both)
+    return rows if camera is None else rows.join(plane_metrics(both, camera, p, fits), FRAME, "left").fillna(0.0, plane_columns(p))
 
 
-def results(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scene and dataset levels of frame metrics."""
-    scenes = rollup.by_scene(frames, METRICS)
-    return scenes, rollup.dataset(scenes, METRICS)
+def results(frames: DataFrame, p: Evaluation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scene and dataset levels of frame metrics, with those of planes if ``p`` is given."""
+    names = METRICS + (plane_columns(p) if p else [])
+    scenes = rollup.by_scene(frames, names)
+    return scenes, rollup.dataset(scenes, names)

@@ -21,10 +21,10 @@ from .mesh_queries import _SH, _shapes
 QUERIES, query = registrar()
 
 
-@query("d02_sql_functions", f"select scene_id, frame_id, v, u, round({X}, 6) + 0.0 as x, round({Y}, 6) + 0.0 as y, round(degrees(acos(greatest(-1.0, least(1.0, nz)))), 6) as tilt, case when label - 1 < 0 then 0 else label end::bigint as shifted from {sql('px_grid')} p where z > 0")
+@query("d02_sql_functions", f"select scene_id, frame_id, v, u, round({X}, 7) + 0.0 as x, round({Y}, 7) + 0.0 as y, round(degrees(acos(greatest(-1.0, least(1.0, nz)))), 7) as tilt, case when label - 1 < 0 then 0 else label end::bigint as shifted from {sql('px_grid')} p where z > 0")
 def d02(spark, sf):
     sql_functions.register(spark, CAMERA)
-    return rounded(spark.sql("select scene_id, frame_id, v, u, camera_x(u, z) as x, camera_y(v, z) as y, normal_angle(nx, ny, nz, 0, 0, 1) as tilt, label_shift(label - 1) as shifted from {px} where valid_depth(z)", px=view(spark, sf, "px_grid")))
+    return rounded(spark.sql("select scene_id, frame_id, v, u, camera_x(u, z) as x, camera_y(v, z) as y, normal_angle(nx, ny, nz, 0, 0, 1) as tilt, label_shift(label - 1) as shifted from {px} where valid_depth(z)", px=view(spark, sf, "px_grid")), digits=7)
 
 
 _GATES = {"none": "true", "centroid": "abs(cz - 0.1) <= 0.15", "kof3": "(abs(z0 - 0.1) <= 0.15)::int + (abs(z1 - 0.1) <= 0.15)::int + (abs(z2 - 0.1) <= 0.15)::int >= 3"}

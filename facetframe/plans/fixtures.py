@@ -19,6 +19,9 @@ VIEWS = {
         case when b.i < 16 then 0.0e0 else 0.6e0 end as nx, 0.0e0 as ny, case when b.i < 16 then 1.0e0 else 0.8e0 end as nz,
         case when b.i in (15, 16) then 0.1e0 else 0.9e0 end as planarity, case when b.i < 15 then 1 when b.i > 16 then 2 else 0 end as label
         from supplier cross join {_numbers(24)} a cross join {_numbers(32)} b""",
+    "px_marks": f"""select cast(s_nationkey as bigint) as scene_id, cast(s_suppkey as bigint) as frame_id, a.i as v, b.i as u,
+        cast(case when (3 * b.i * b.i + 5 * a.i * a.i + 7 * b.i * a.i + s_suppkey) % 13 < 5 then 0 when (3 * b.i * b.i + 5 * a.i * a.i + 7 * b.i * a.i + s_suppkey) % 13 < 9 then 1 else 2 end as int) as label,
+        1.0e0 + 0.01e0 * b.i + 0.03e0 * a.i as z from supplier cross join {_numbers(12)} a cross join {_numbers(18)} b where s_suppkey <= 24""",
     "planes_fx": """select plane_id, label, area, a / sqrt(a*a + b*b + c*c) as nx, b / sqrt(a*a + b*b + c*c) as ny, c / sqrt(a*a + b*b + c*c) as nz, d0 as d
         from (select cast(p_partkey as bigint) as plane_id, p_brand as label, cast(p_size as double) as area, (p_size - 25) / 25.0e0 as a,
         ((p_partkey % 11) - 5) / 5.0e0 as b, 1.0e0 as c, p_retailprice / 1000.0e0 as d0 from part) r""",

@@ -20,8 +20,8 @@ KEY = "scene_id, frame_id, v, u"
 X, Y = "((u - 15.5) * z / 40.0)", "((v - 11.5) * z / 40.0)"
 
 
-def _r(**columns: str) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 as {n}" for n, c in columns.items())
+def _r(digits: int = 6, **columns: str) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 as {n}" for n, c in columns.items())
 
 
 def _frames(spark, sf):
@@ -82,10 +82,11 @@ def f02(spark, sf):
     return rounded(_frames(spark, sf).select("scene_id", "frame_id", "v", "u", x.alias("x"), y.alias("y"), w.alias("w")))
 
 
-@query("f03_point_map_variants", f"select {KEY}, {_r(x0=X, y0=Y, x1='((u + 1 - 15.5) * z / 40.0)', y1='((v + 1 - 11.5) * z / 40.0)', yup=f'-{Y}')} from {PX} p")
+# these values end with their seventh digit; to six, half of them would be ties
+@query("f03_point_map_variants", f"select {KEY}, {_r(7, x0=X, y0=Y, x1='((u + 1 - 15.5) * z / 40.0)', y1='((v + 1 - 11.5) * z / 40.0)', yup=f'-{Y}')} from {PX} p")
 def f03(spark, sf):
     zero, one, up = G.backproject(CAMERA), G.backproject(CAMERA, origin=1), G.backproject(CAMERA, up=True)
-    return rounded(_frames(spark, sf).select("scene_id", "frame_id", "v", "u", zero[0].alias("x0"), zero[1].alias("y0"), one[0].alias("x1"), one[1].alias("y1"), up[1].alias("yup")))
+    return rounded(_frames(spark, sf).select("scene_id", "frame_id", "v", "u", zero[0].alias("x0"), zero[1].alias("y0"), one[0].alias("x1"), one[1].alias("y1"), up[1].alias("yup")), digits=7)
 
 
 @query("f04_euclidean_to_z", f"select {KEY}, {_r(z1='z / sqrt(((u - 15.5) / 40.0) * ((u - 15.5) / 40.0) + ((v - 11.5) / 40.0) * ((v - 11.5) / 40.0) + 1)', z2=f'z / {_RN}')} from {PX} p")
@@ -130,7 +131,8 @@ def f16b(spark, sf):
 
 
 _SOB = "(select * from (values (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)) t(dv,du,wa,wb))"
-_W1 = f"w1 as (select a.scene_id, a.frame_id, a.v, a.u, sqrt(sum(o.wa*b.nx)*sum(o.wa*b.nx) + sum(o.wa*b.nz)*sum(o.wa*b.nz) + sum(o.wb*b.nx)*sum(o.wb*b.nx) + sum(o.wb*b.nz)*sum(o.wb*b.nz)) as gradient from px a, {_SOB} o, px b where b.scene_id = a.scene_id and b.frame_id = a.frame_id and b.v = a.v + o.dv and b.u = a.u + o.du group by all)"
+_W1 = f"""g1 as (select scene_id, frame_id, v - dv as v, u - du as u, sum(wa*nx) as ax, sum(wa*nz) as az, sum(wb*nx) as bx, sum(wb*nz) as bz from px, {_SOB} o group by all),
+    w1 as (select px.scene_id, px.frame_id, px.v, px.u, sqrt(ax*ax + az*az + bx*bx + bz*bz) as gradient from px join g1 using (scene_id, frame_id, v, u))"""
 
 
 @query("w01_normal_gradient", f"with px as (select * from {PX} p), {_W1} select {KEY}, round(gradient, 6) as gradient from w1")
@@ -138,7 +140,10 @@ def w01(spark, sf):
     return rounded(stencil.normal_gradient(_frames(spark, sf)).select("scene_id", "frame_id", "v", "u", "gradient"))
 
 
-_W2 = f"with px as (select * from {PX} p), {_W1}, f as (select px.*, gradient <= {sqrt(2 - 2 * cos(radians(5.0)))!r} as smooth from px join w1 using (scene_id, frame_id, v, u)), o as (select a.i - 2 as dv, b.i - 2 as du from (select unnest(range(5))::int as i) a, (select unnest(range(5))::int as i) b where a.i <> 2 or b.i <> 2), c as (select a.scene_id, a.frame_id, a.v, a.u, count(*) as n from f a, o, f b where a.planarity > 0.3 and b.scene_id = a.scene_id and b.frame_id = a.frame_id and b.v = a.v + o.dv and b.u = a.u + o.du and b.planarity > 0.3 and b.smooth and abs(a.z - b.z) < 0.025 * a.z group by all)"
+_W2 = f"""with px as (select * from {PX} p), {_W1}, f as (select px.*, gradient <= {sqrt(2 - 2 * cos(radians(5.0)))!r} as smooth from px join w1 using (scene_id, frame_id, v, u)),
+    o as (select a.i - 2 as dv, b.i - 2 as du from (select unnest(range(5))::int as i) a, (select unnest(range(5))::int as i) b where a.i <> 2 or b.i <> 2),
+    s as (select scene_id, frame_id, v - dv as v, u - du as u, z as other from f, o where planarity > 0.3 and smooth),
+    c as (select f.scene_id, f.frame_id, f.v, f.u, count(*) as n from f join s using (scene_id, frame_id, v, u) where f.planarity > 0.3 and abs(f.z - s.other) < 0.025 * f.z group by all)"""
 
 
 @query("w02_connected_pixels", f"{_W2} select f.scene_id, f.frame_id, f.v, f.u, coalesce(c.n, 0) as neighbours, coalesce(c.n, 0) >= 8 as connected from f left join c on f.scene_id = c.scene_id and f.frame_id = c.frame_id and f.v = c.v and f.u = c.u")
@@ -173,15 +178,28 @@ def w04(spark, sf):
     return rounded(stencil.gradient_normals(_frames(spark, sf), 40.0, 40.0, 15.5, 11.5).select("scene_id", "frame_id", "v", "u", "gnx", "gny", "gnz"))
 
 
-@query("g02_mask_components", f"select scene_id, frame_id, label as region, count(*) as pixels from {PX} p where label > 0 group by all")
+def _components(on: str, same: str, eight: bool) -> str:
+    """Recursive CTEs ending in ``m``: of each marked pixel the first one, in row order, that steps inside the mark reach."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
+    return f"""with recursive p as (select *, v * 1000 + u as id from {sql('px_marks')} q where {on}), st as (select * from (values {', '.join(map(str, steps))}) t(dv, du)),
+    e as (select a.frame_id, a.id as a, b.id as b from (select p.*, v + dv as w, u + du as x from p, st) a join p b on a.frame_id = b.frame_id and a.w = b.v and a.x = b.u and {same}),
+    r as (select frame_id, id as x, id as y from p union select r.frame_id, r.x, e.b from r join e on r.frame_id = e.frame_id and r.y = e.a),
+    m as (select p.scene_id, p.frame_id, p.v, p.u, p.label, r.root from p join (select frame_id, x, min(y) as root from r group by all) r on p.frame_id = r.frame_id and p.id = r.x)"""
+
+
+_MARKS = sql("px_marks")
+_NUMBERED = "dense_rank() over (partition by frame_id order by root)"
+
+
+@query("g02_mask_components", f"{_components('label > 0', 'true', True)}, n as (select *, {_NUMBERED} as region from m) select scene_id, frame_id, region::int as region, count(*) as pixels from n group by all")
 def g02(spark, sf):
-    px = _frames(spark, sf).withColumn("on", F.col("label") > 0)
+    px = view(spark, sf, "px_marks").withColumn("on", F.col("label") > 0)
     return graph.pixel_components(px, "on").where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels"))
 
 
-@query("g02_frame_regions", f"select scene_id, frame_id, v, u, label as region from {PX} p")
+@query("g02_frame_regions", f"{_components('label = 1', 'true', True)}, n as (select *, {_NUMBERED} as region from m) select q.scene_id, q.frame_id, q.v, q.u, coalesce(n.region, 0)::int as region from {_MARKS} q left join n on q.frame_id = n.frame_id and q.v = n.v and q.u = n.u")
 def g02b(spark, sf):
-    return kernels.label_regions(_frames(spark, sf).withColumn("on", F.col("label") > 0), "on")
+    return kernels.label_regions(view(spark, sf, "px_marks").withColumn("on", F.col("label") == 1), "on")
 
 
 @query("x01_planar_segments", f"{_W2} select scene_id, frame_id, case when u < 15 then 1 else 2 end as region, count(*) as pixels from c where n >= 8 group by all")
@@ -191,18 +209,27 @@ def x01(spark, sf):
     return found.where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels"))
 
 
-@query("p05_small_components", f"select scene_id, frame_id, 2 as region, count(*) as pixels from {PX} p where label = 2 and scene_id < 0 group by all")
+@query("p05_small_components", f"{_components('label > 0', 'a.label = b.label', False)}, n as (select *, count(*) over (partition by frame_id, root) as pixels from m) select scene_id, frame_id, v, u, label from n where pixels >= 4")
 def p05(spark, sf):
-    px = _frames(spark, sf).withColumn("on", F.col("label") > 0)
-    found = kernels.label_regions(px, "on", eight=False)
-    return found.where("region > 0").groupBy("scene_id", "frame_id", "region").agg(F.count("*").alias("pixels")).where("pixels >= 400")
+    """Pixels of each label but those in a 4-connected component below four pixels."""
+    return kernels.drop_small(view(spark, sf, "px_marks"), "label", 4)
+
+
+@query("j18_bridged_pairs", f"""with p as (select * from {_MARKS} q), o as (select a.i as dv, b.i as du from (select unnest(range(-2, 3))::int as i) a, (select unnest(range(-2, 3))::int as i) b where a.i * a.i + b.i * b.i <= 4),
+    t as (select frame_id, v, u, case when (v + u) % 4 = 0 then label else 0 end as label from p), w as (select t.frame_id, t.v, t.u, arg_min(x.label, row(dv * dv + du * du, x.v, x.u)) as label from (select t.*, v + dv as w, u + du as h, dv, du from t, o where label = 0) t join t x on x.frame_id = t.frame_id and x.v = t.w and x.u = t.h and x.label > 0 group by all),
+    f as (select frame_id, v, u, label from t where label > 0 union all select * from w), n as (select a.frame_id, a.label as a, b.label as b from f a join f b on a.frame_id = b.frame_id and ((a.v = b.v and b.u = a.u + 1) or (a.u = b.u and b.v = a.v + 1)) where a.label <> b.label)
+    select distinct p.scene_id, n.frame_id, least(n.a, n.b) as a, greatest(n.a, n.b) as b from n join (select distinct scene_id, frame_id from p) p using (frame_id)""")
+def j18b(spark, sf):
+    px = view(spark, sf, "px_marks").withColumn("label", F.when((F.col("v") + F.col("u")) % 4 == 0, F.col("label")).otherwise(0))
+    return joins.bridged_pairs(px, "label", 2, ["scene_id", "frame_id"])
 
 
-@query("j19_near_segments", f"select distinct scene_id, frame_id, 1 as a, 2 as b from {PX} p")
+@query("j19_near_segments", f"with p as (select scene_id, frame_id, v, u, label * 100 + (u // 3) as label from {_MARKS} q where label > 0) select distinct a.scene_id, a.frame_id, a.label as a, b.label as b from p a join p b on a.frame_id = b.frame_id and a.label < b.label and (a.v - b.v) * (a.v - b.v) + (a.u - b.u) * (a.u - b.u) <= 4")
 def j19(spark, sf):
-    return joins.near_pairs(_frames(spark, sf), "label", 3, ["scene_id", "frame_id"])
+    px = view(spark, sf, "px_marks").withColumn("label", F.when(F.col("label") > 0, F.col("label") * 100 + F.floor(F.col("u") / 3).cast("int")).otherwise(0))
+    return joins.near_pairs(px, "label", 2, ["scene_id", "frame_id"])
 
 
 @query("g15_merge_segments")
 def g15(spark, sf):
-    return kernels.merge_segments(_frames(spark, sf), degrees=45.0, relative=0.9)
+    return kernels.merge_segments(_frames(spark, sf), degrees=45.0, offset=2.0)

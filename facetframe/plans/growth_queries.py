@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import graph, growth, kernels, mesh, planes, raycast, sampling
-from ..params import Extraction, scaled
+from ..params import Evaluation, Extraction, scaled
 from ..session import shared_path
+from . import benchmark
 from ._common import registrar, rounded
 from .fixtures import sql, view
 from .frame_queries import _W2, CAMERA, X, Y
+from .label_queries import _BP, _CL, _SC, PX
 from .mesh_queries import _RAYS, _SH, _camera_faces, _faces, _shapes
 from .plane_queries import _cloud, _fit
 from .plane_queries import KEYS as SEGMENT
@@ -97,20 +99,21 @@ def g13(spark, sf):
 
 @query("x07_face_ransac")
 def x07(spark, sf):
-    points = _shapes(spark, sf).select("scene_id", "label_int", F.col("fid").alias("idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "nx", "ny", "nz")
-    return kernels.sequential_planes(points, ["scene_id", "label_int"], 0.05, 0.9, 100, 3, 1, seed=123)
+    return kernels.face_planes(_shapes(spark, sf), ["scene_id", "label_int"], 0.05, 25.0, 100, seed=123)
+
+
+def _merge_segments(spark, sf):
+    return growth.merge_segments(_cloud(spark, sf), FRAME, 60.0, 1.0, raster=view(spark, sf, "px_grid"), gap=2, near=0.2)
 
 
 @query("g14_segment_merge")
 def g14(spark, sf):
-    labels, _ = growth.merge_segments(_cloud(spark, sf), FRAME, 60.0, 1.0)
-    return labels
+    return _merge_segments(spark, sf)[0]
 
 
 @query("g14_merge_log")
 def g14b(spark, sf):
-    _, log = growth.merge_segments(_cloud(spark, sf), FRAME, 60.0, 1.0)
-    return log
+    return _merge_segments(spark, sf)[1]
 
 
 def _pairs_sql(signed: bool) -> str:
@@ -135,9 +138,9 @@ def j16(spark, sf):
     return rounded(growth.merge_outdoor(cloud, planes.fit(cloud, SEGMENT), FRAME, 0.3, 2.0, 0.0), digits=4)
 
 
-@query("j18_near_in_space", f"select distinct a.scene_id, a.frame_id, a.label as a, b.label as b from {GRID} a join {GRID} b on a.scene_id = b.scene_id and a.frame_id = b.frame_id and a.label < b.label where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5")
+@query("j18_near_in_space", f"select distinct a.scene_id, a.frame_id, a.label as a, b.label as b from {GRID} a join {GRID} b on a.scene_id = b.scene_id and a.frame_id = b.frame_id and a.label < b.label where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.67")
 def j18(spark, sf):
-    return growth.near_in_space(_cloud(spark, sf), FRAME, 0.5)
+    return growth.near_in_space(_cloud(spark, sf), FRAME, 0.67)
 
 
 @query("j22_euclidean_depth", f"""with {_SH}, t as (select scene_id, fid, x0-2.5 as x0, y0-2.5 as y0, z0+6 as z0, x1-2.5 as x1, y1-2.5 as y1, z1+6 as z1, x2-2.5 as x2, y2-2.5 as y2, z2+6 as z2 from sh),
@@ -182,11 +185,11 @@ def x09(spark, sf):
     return rounded(growth.unit_offset_fit(_cloud(spark, sf), SEGMENT), digits=4)
 
 
-@query("x10_point_map", f"select scene_id, frame_id, v, u, case when label > 0 then round({X}, 6) + 0.0 end as x, case when label > 0 then round({Y}, 6) + 0.0 end as y, case when label > 0 then round(z, 6) end as z from {sql('px_grid')} p")
+@query("x10_point_map", f"select scene_id, frame_id, v, u, case when label > 0 then round({X}, 7) + 0.0 end as x, case when label > 0 then round({Y}, 7) + 0.0 end as y, case when label > 0 then round(z, 7) end as z from {sql('px_grid')} p")
 def x10(spark, sf):
     xyz = G.backproject(CAMERA)
     px = view(spark, sf, "px_grid")
-    return rounded(px.select("scene_id", "frame_id", "v", "u", *[F.when(F.col("label") > 0, c).alias(n) for c, n in zip(xyz, "xyz", strict=True)]))
+    return rounded(px.select("scene_id", "frame_id", "v", "u", *[F.when(F.col("label") > 0, c).alias(n) for c, n in zip(xyz, "xyz", strict=True)]), digits=7)
 
 
 @query("x11_plane_cloud", f"with {_fit(GRID, 'scene_id, frame_id, label')} select p.scene_id, p.frame_id, p.label, count(*) as points, round(max({_ABC}), 4) as moved from {GRID} p join fit f using (scene_id, frame_id, label) group by all")
@@ -330,16 +333,33 @@ def g12(spark, sf):
     return merged.groupBy("scene_id", "label_int", "patch").agg(F.count("*").alias("faces"))
 
 
-@query(
-    "d06_benchmark",
-    _W2 + ", px2 as (select px.scene_id, px.frame_id, px.label as gt, case when c.n >= 8 then case when px.u < 15 then 1 else 2 end else 0 end as pred from px left join c using (scene_id, frame_id, v, u)), "
-    + "con as (select scene_id, frame_id, gt, pred, count(*) as n from px2 group by all), mar as (select *, sum(n) over (partition by scene_id, frame_id, gt) as r, sum(n) over (partition by scene_id, frame_id, pred) as cc from con), "
-    + "best as (select scene_id, frame_id, gt, max(r) as area, max(n::double / (r + cc - n)) as iou from mar group by all), sc as (select scene_id, frame_id, sum(area * iou) / sum(area) as sc from best group by all), "
-    + "bp as (select scene_id, frame_id, count(*) filter ((gt > 0) = (pred > 0))::double / count(*) as acc from px2 group by all) select scene_id, count(*) as num_frames, round(avg(sc), 6) as sc, round(avg(acc), 6) as bp_accuracy from sc join bp using (scene_id, frame_id) group by scene_id",
-)
+JUDGED = Evaluation(thresholds=(0.005, 0.02, 0.05), gate=0.5)
+
+
+def _benchmark_sql() -> str:
+    """The whole frame row: label metrics, then planes of the predicted segments and their gated inliers."""
+    labels = ", ".join(x.replace(PX, "px2") for x in (_SC, _CL, _BP))
+    pixels = f"px2 as (select * from ({_W2} select px.*, px.label as gt, case when c.n >= 8 then case when px.u < 15 then 1 else 2 end else 0 end as pred from px left join c using (scene_id, frame_id, v, u)) q)"
+    points = f"pts as (select scene_id, frame_id, pred as label, {X} as x, {Y} as y, z from px2)"
+    fit = _fit("(select * from pts where label > 0)", "scene_id, frame_id, label")
+    cells = ", ".join(f"count(*) filter ({_ABC} < {t}) as k{i}" for i, t in enumerate(JUDGED.thresholds))
+    per = f"per as (select p.scene_id, p.frame_id, p.label, count(*) as k, {cells} from pts p join fit f using (scene_id, frame_id, label) group by all)"
+    kept = ", ".join(f"sum(case when k{i} >= {JUDGED.gate} * k then k{i} else 0 end)::double as g{i}" for i in range(len(JUDGED.thresholds)))
+    names = benchmark.plane_columns(JUDGED)
+    gated = f"gt9 as (select scene_id, frame_id, sum(k) as fitted, {kept} from per group by all), al as (select scene_id, frame_id, count(*) as n9 from pts group by all), pm as (select scene_id, frame_id, " + ", ".join(f"coalesce(g{i} / fitted, 0) as {names[2 * i]}, coalesce(g{i} / n9, 0) as {names[2 * i + 1]}" for i in range(len(JUDGED.thresholds))) + " from al left join gt9 using (scene_id, frame_id))"
+    means = ", ".join(f"round(avg({c}), 6) as {c}" for c in benchmark.METRICS + names)
+    return f"with {pixels}, {labels}, {points}, {fit}, {per}, {gated} select scene_id, count(*) as num_frames, {means} from sc join cl using (scene_id, frame_id) join bp using (scene_id, frame_id) join pm using (scene_id, frame_id) group by scene_id"
+
+
+@query("d06_benchmark", _benchmark_sql())
 def d06(spark, sf):
-    from . import benchmark
+    px = view(spark, sf, "px_grid")
+    frames = benchmark.evaluated(benchmark.segmented(px), px, CAMERA, JUDGED, benchmark.least_squares_fits)
+    return rounded(benchmark.results(frames, JUDGED)[0])
+
 
+@query("d06_robust_benchmark")
+def d06b(spark, sf):
+    """With planes by RANSAC at each threshold."""
     px = view(spark, sf, "px_grid")
-    scenes, _ = benchmark.results(benchmark.evaluated(benchmark.segmented(px), px))
-    return rounded(scenes.select("scene_id", "num_frames", "sc", "bp_accuracy"))
+    return benchmark.results(benchmark.evaluated(benchmark.segmented(px), px, CAMERA, JUDGED), JUDGED)[1]

@@ -74,9 +74,13 @@ def p12(spark, sf):
     return mesh.clean(mesh.fans(o))
 
 
-@query("p26_plane_mesh_faces", f"select f.scene_id, f.fid from {FACES} f join {VERTS} a on a.scene_id = f.scene_id and a.vid = f.v0 join {VERTS} b on b.scene_id = f.scene_id and b.vid = f.v1 join {VERTS} c on c.scene_id = f.scene_id and c.vid = f.v2 where a.label_int = b.label_int and b.label_int = c.label_int")
+_OWNER = "case when {0}x < 2 then 1 when {0}x < 4 then -1 else 2 end"
+_OWNERS = ", ".join(f"{_OWNER.format(k + '.')} as {k}" for k in "abc")
+
+
+@query("p26_plane_mesh_faces", f"with o as (select f.scene_id, f.fid, {_OWNERS} from {FACES} f join {VERTS} a on a.scene_id = f.scene_id and a.vid = f.v0 join {VERTS} b on b.scene_id = f.scene_id and b.vid = f.v1 join {VERTS} c on c.scene_id = f.scene_id and c.vid = f.v2) select scene_id, fid from o where a = b and b = c and a <> -1")
 def p26(spark, sf):
-    v = _verts(spark, sf).withColumnRenamed("label_int", "owner")
+    v = _verts(spark, sf).withColumn("owner", F.expr(_OWNER.format("")))
     return mesh.plane_mesh_faces(_faces(spark, sf), v, "owner").select("scene_id", "fid")
 
 

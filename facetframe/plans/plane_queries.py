@@ -90,6 +90,15 @@ def a05(spark, sf):
     return rounded(_gated_run(spark, sf, [0.05], [0.3]))
 
 
+@query("a05_gated_by_frame", f"""with pts as (select *, label % 3 as frame_id from {PTS} q), {_fit('(select * from pts where frame_id <> 0)', 'label')}, per as (select p.frame_id, p.label, count(*) as n, count(*) filter ({_RES} < 0.05) as k from pts p join fit f using (label) group by all),
+    s as (select frame_id, sum(case when k >= 0.3 * n then k else 0 end) as kept, sum(n) as fitted from per group by all) select e.frame_id, 0.05::double as threshold, 0.3::double as gate, round(coalesce(kept::double / fitted, 0), 6) as precision, round(coalesce(kept::double / total, 0), 6) as recall from (select frame_id, count(*) as total from pts group by all) e left join s using (frame_id)""")
+def a05b(spark, sf):
+    """By frame; a frame without a fitted segment has zeros."""
+    pts = view(spark, sf, "points").withColumn("frame_id", F.col("label") % 3)
+    fits = planes.fit(pts.where("frame_id <> 0"), ["frame_id", "label"])
+    return rounded(metrics.gated(pts, fits, [0.05], [0.3], ["frame_id"]))
+
+
 @query("a07_multi_threshold", _gated("[0.3]::double[]", "[0.02, 0.05, 0.1]::double[]") + " select * from res")
 def a07(spark, sf):
     return rounded(_gated_run(spark, sf, [0.02, 0.05, 0.1], [0.3]))
