@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 #: Rows up to which a table of ids or hashes may be broadcast (at most a few dozen MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -22,18 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder of ``spark.checkpoint.dir`` and reads it again.
 
     Unlike a checkpoint, the table carries none of the optimiser's size estimates and constraints over, which multiply
-    from round to round of a loop. It goes when the application ends, or earlier by ``forget``. Where the setting
-    is unset (tests on one machine) a temporary folder is set once for the session.
+    from round to round of a loop. It goes when the application ends, or earlier by ``forget``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    at = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    at = shared_path(df.sparkSession, "table")
     df.write.parquet(at)
-    path = context._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    table = spark.read.schema(df.schema).parquet(at)
+    table = df.sparkSession.read.schema(df.schema).parquet(at)
     table._cut_at = at
     return table
 
