@@ -1,15 +1,19 @@
 """Language identification by prediction by partial matching over bytes.
 
-Every language has a context tree of up to three bytes with PPM escapes (method C with exclusion). The trees are frozen
-after learning, so the code length of a text under a language is the sum of one table entry a byte.
-Bytes are folded into 97 symbols: letters without case, white space, digits and other ASCII as one symbol each, all
-continuation bytes of UTF-8, and its lead bytes in four groups.
+Every language has a tree of the byte contexts that follow each other in its documents, of variable order: the longest known
+context codes a byte, or an escape to the next shorter one (method C with exclusion), down to all 256 bytes alike. The
+trees are frozen after learning, so the code length of a text is a sum over its bytes.
+
+A context and the byte after it are one string, so a tree is a table of strings, looked up by the bytes that end at a position.
+As all bytes seen after a context are seen after its suffixes, exclusion depends on two neighbouring contexts only, and what
+an escape costs is known beforehand for each of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,117 +23,181 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from ._bytes import blocks, trimmed, utf8
-from ._common import crc_mod, small, without
+from ._common import crc_mod, cut, small, without
 
 UNKNOWN = "und"
 
-_SYMBOL = np.full(256, 2, np.uint8)
-_SYMBOL[[0x20, *range(0x09, 0x0E)]] = 0
-_SYMBOL[ord("0") : ord("9") + 1] = 1
-_SYMBOL[ord("a") : ord("z") + 1] = _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(3, 29)
-_SYMBOL[0x80:0xC0] = np.arange(29, 93)
-_SYMBOL[0xC0:0xE0] = 94
-_SYMBOL[0xC3] = 93
-_SYMBOL[0xE0:0xF0] = 95
-_SYMBOL[0xF0:] = 96
-SYMBOLS = 97
-
 
 @dataclass(frozen=True)
 class LanguageModel:
     """``train_rows``: about so many labelled documents of each language are learned from, chosen by a hash of doc_id.
 
-    ``cells``: entries of the code length table, which is all that is broadcast (4 bytes each); the most frequent
-    contexts get them. ``languages``: the most frequent labels are learned.
+    ``order``: bytes of the longest context, 6 at most. ``strings``: counted strings of the languages that are scored at once
+    (about 100 bytes each in a worker); languages beyond them are scored in a pass of their own over the documents.
     """
 
     train_rows: int = 4000
-    cells: int = 6_000_000
-    languages: int = 200
+    order: int = 3
+    strings: int = 2_000_000
     held_out: int = 1
     folds: int = 3
 
 
-def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The preceding three symbols (white space before a row's start) as a number, and the symbol, of every byte."""
-    symbol = _SYMBOL[data]
-    lengths = np.diff(offsets)
-    padded = np.zeros(len(data) + 3 * len(lengths), np.int32)
-    at = np.arange(len(data)) + np.repeat(3 * np.arange(1, len(lengths) + 1), lengths)
-    padded[at] = symbol
-    return (padded[at - 3] * SYMBOLS + padded[at - 2]) * SYMBOLS + padded[at - 1], symbol
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symbol counts of contexts by language (lang, text)."""
-    for batch in batches:
-        found: dict[str, list[np.ndarray]] = {}
-        langs = batch.column(0).to_pylist()
-        data, offsets = utf8(batch.column(1))
-        for i, j in blocks(offsets):
-            base = offsets[i]
-            context, symbol = _codes(data[base : offsets[j]], offsets[i : j + 1] - base)
-            code = context.astype(np.int64) * SYMBOLS + symbol
-            for r in range(i, j):
-                found.setdefault(langs[r], []).append(code[offsets[r] - base : offsets[r + 1] - base])
-        for lang, parts in found.items():
-            code, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
-
-
-def _order(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Symbol probabilities of contexts (rows: contexts) from their counts and those of the next shorter contexts."""
-    total, seen = counts.sum(axis=1, keepdims=True), counts > 0
-    kinds = seen.sum(axis=1, keepdims=True)
-    rest = np.maximum((below * ~seen).sum(axis=1, keepdims=True), 1e-12)
-    p = np.where(seen, counts, kinds * below / rest) / np.maximum(total + kinds, 1)
-    return np.where(total == 0, below, np.where(kinds == SYMBOLS, counts / np.maximum(total, 1), p))
-
-
-def _trees(langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each three-symbol context the row of its longest known suffix, and the code lengths (row * symbols + symbol, language)."""
-    a, size = SYMBOLS, len(langs)
-    room = max(1 + a, cells // (a * size))
-    context, symbol = code // a, code % a
-    rows = [np.zeros(1, np.int64)]
-    for k in (1, 2, 3):
-        known, at = np.unique(context % a**k, return_inverse=True)
-        weight = np.bincount(at, n)
-        left = room - sum(map(len, rows))
-        rows.append(np.sort(known[np.argsort(-weight, kind="stable")[: max(0, left)]]))
-    first = np.cumsum([0, *map(len, rows)])
-    lookup = np.zeros(a**3, np.int32)
-    everywhere = np.arange(a**3)
-    for k in (1, 2, 3):
-        own = np.full(a**k, -1, np.int32)
-        own[rows[k]] = first[k] + np.arange(len(rows[k]))
-        there = own[everywhere % a**k]
-        lookup[there >= 0] = there[there >= 0]
-    bits = np.empty((first[-1], a, size), np.float32)
-    for which in range(size):
-        mine = lang == which
-        p = _order(np.bincount(symbol[mine], n[mine], a)[None, :], np.full((1, a), 1 / a))
-        bits[:1, :, which] = -np.log2(p)
-        for k in (1, 2, 3):
-            at = np.searchsorted(rows[k], context[mine] % a**k)
-            known = (at < len(rows[k])) & (rows[k][np.minimum(at, max(0, len(rows[k]) - 1))] == context[mine] % a**k) if len(rows[k]) else np.zeros(mine.sum(), bool)
-            counts = np.bincount(at[known] * a + symbol[mine][known], n[mine][known], len(rows[k]) * a).reshape(-1, a)
-            below = np.zeros(len(rows[k]), np.int64)
-            for j in range(1, k):
-                suffix = rows[k] % a**j
-                spot = np.minimum(np.searchsorted(rows[j], suffix), max(0, len(rows[j]) - 1))
-                has = rows[j][spot] == suffix if len(rows[j]) else np.zeros(len(suffix), bool)
-                below[has] = first[j] + spot[has]
-            for i in range(0, len(rows[k]), 1024):
-                part = slice(i, i + 1024)
-                p = _order(counts[part], np.exp2(-bits[below[part], :, which].astype(np.float64)))
-                bits[first[k] + i : first[k] + i + len(p), :, which] = -np.log2(np.maximum(p, 1e-30))
-    return lookup, bits.reshape(-1, size)
+#: Positions that are scored at once.
+STEP = 1 << 14
+
+
+def _codes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of ``length`` bytes inside rows as numbers, and the positions where they end."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.zeros(len(data) - length + 1, np.int64)
+    for k in range(length):
+        code = (code << 8) | data[k : len(data) - length + 1 + k]
+    end = np.arange(length - 1, len(data))
+    first = np.repeat(offsets[:-1], np.diff(offsets))  # where a position's row begins
+    inside = end - length + 1 >= first[end]
+    return code[inside], end[inside]
+
+
+def _counted(p: LanguageModel):
+    """Counts of the strings of 1 to ``order`` + 1 bytes by language (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            data, offsets = utf8(batch.column(1))
+            for lang in sorted(set(langs)):
+                rows = [k for k, x in enumerate(langs) if x == lang]
+                own = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in rows])
+                ends = np.concatenate([[0], np.cumsum([offsets[k + 1] - offsets[k] for k in rows])])
+                for length in range(1, p.order + 2):
+                    code, n = np.unique(_codes(own, ends, length)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(np.full(len(code), length, np.int32)), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "length", "code", "n"])
+
+    return trimmed(run)
+
+
+class _Strings:
+    """Numbers of known codes: looked up in a table with open places, twice as large at least."""
+
+    def __init__(self, code: np.ndarray) -> None:
+        self.code = code
+        bits = max(4, int(2 * len(code)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(code))
+        place = self._first(code)
+        while len(left):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = left[free]  # of those that meet in a slot the last stays
+            missed = self.slots[place] != left
+            left, place = left[missed], (place[missed] + 1) & self.mask
+
+    def _first(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The number of each code, -1 for unknown ones."""
+        out = np.full(len(code), -1, np.int32)
+        left = np.arange(len(code))
+        place = self._first(code)
+        while len(left):
+            there = self.slots[place]
+            hit = (there >= 0) & (self.code[there] == code[left])
+            out[left[hit]] = there[hit]
+            on = (there >= 0) & ~hit
+            left, place = left[on], (place[on] + 1) & self.mask
+        return out
+
+
+class Trees:
+    """Code lengths of a few languages: by string (of a length) and language. Index 0 of ``length`` k is the string of k bytes."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, length: np.ndarray, code: np.ndarray, n: np.ndarray, order: int) -> None:
+        self.langs, self.order = langs, order
+        width = len(langs)
+        self.strings: list[_Strings | None] = [None]
+        counts = []
+        for m in range(1, order + 2):
+            mine = length == m
+            known, at = np.unique(code[mine], return_inverse=True)
+            self.strings.append(_Strings(known))
+            counts.append(np.bincount(at * width + lang[mine], n[mine], len(known) * width).reshape(-1, width))
+        with np.errstate(divide="ignore"):  # of a string's count; the last row is that of unknown strings, number -1
+            self.bits = [None, *(np.log2(np.concatenate([c, np.zeros((1, width))])) for c in counts)]
+        codes = [np.zeros(1, np.int64), *(s.code for s in self.strings[1:])]
+        # by context: its symbols' counts and kinds, and of those in the next shorter context that are seen in it too
+        total, kinds, over = [], [], []
+        for m in range(order + 1):
+            after, own = self.strings[m + 1].code, counts[m]
+            parent = self._find(m, after >> 8) if m else np.zeros(len(after), np.int64)
+            total.append(np.zeros((len(codes[m]), width)))
+            kinds.append(np.zeros((len(codes[m]), width)))
+            over.append(np.zeros((len(codes[m]), width)))
+            np.add.at(total[m], parent, own)
+            np.add.at(kinds[m], parent, own > 0)
+            if m:
+                shorter = self._find(m, after & ((1 << 8 * m) - 1))  # the same symbol after the context without its first byte
+                np.add.at(over[m], parent, np.where(own > 0, counts[m - 1][shorter], 0))
+        log = lambda x: np.log2(np.maximum(x, 1e-300))
+        self.start = [log(t + k) for t, k in zip(total, kinds, strict=True)]
+        self.leave = [np.where(k > 0, s - log(k), 0.0) for s, k in zip(self.start, kinds, strict=True)]
+        self.below: list[np.ndarray | None] = [None]  # in the next shorter context, without what is seen in this one
+        self.pass_on: list[np.ndarray | None] = [None]
+        for m in range(1, order + 1):
+            shorter = self._find(m - 1, codes[m] & ((1 << 8 * (m - 1)) - 1)) if m > 1 else np.zeros(len(codes[m]), np.int64)
+            new = kinds[m - 1][shorter] - kinds[m]
+            self.below.append(log(total[m - 1][shorter] - over[m] + new))
+            self.pass_on.append(np.where(new > 0, self.below[m] - log(new), 0.0))
+        self.rest = np.log2(np.maximum(256 - kinds[0][0], 1))
+
+    def _find(self, m: int, code: np.ndarray) -> np.ndarray:
+        return self.strings[m].find(code) if m else np.zeros(len(code), np.int64)
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Code length of every row in every language."""
+        n, width = len(data), len(self.langs)
+        out = np.zeros((len(offsets) - 1, width))
+        if not n:
+            return out
+        found = [np.zeros(n, np.int32)]
+        for m in range(1, self.order + 2):
+            at = np.full(n, -1, np.int32)
+            code, end = _codes(data, offsets, m)
+            alive = found[m - 1][end] >= 0 if m > 1 else np.ones(len(end), bool)
+            at[end[alive]] = self._find(m, code[alive])
+            found.append(at)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        begins = np.zeros(n, bool)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        for i in range(0, n, STEP):
+            j = min(n, i + STEP)
+            ahead = [x[max(0, i - 1) : j - 1] for x in found]
+            if not i:
+                ahead = [np.concatenate([np.zeros(1, np.int32), x]) for x in ahead]
+            context = [np.zeros(j - i, np.int32), *(np.where(begins[i:j], -1, x) for x in ahead[1:])]
+            bits = np.zeros((j - i, width))
+            open_ = np.ones((j - i, width), bool)
+            for k in range(self.order, -1, -1):
+                at = np.flatnonzero((context[k] >= 0) & open_.any(axis=1))
+                here, longer = context[k][at], context[k + 1][at] if k < self.order else np.full(len(at), -1)
+                cost, leave = self.start[k][here], self.leave[k][here]
+                if k < self.order and (deep := longer >= 0).any():
+                    cost[deep], leave[deep] = self.below[k + 1][longer[deep]], self.pass_on[k + 1][longer[deep]]
+                counts = self.bits[k + 1][found[k + 1][i + at]]
+                seen, wait = counts > -np.inf, open_[at]
+                bits[at] += np.where(wait, np.where(seen, cost - np.where(seen, counts, 0), leave), 0)
+                open_[at] = wait & ~seen
+            bits += np.where(open_, self.rest, 0)
+            own = row[i:j]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            out[own[first]] += np.add.reduceat(bits, first, axis=0)
+        return out
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    symbol = _SYMBOL[data]
-    sums = np.concatenate([[0], np.cumsum((symbol >= 3) & (symbol < 29))])
+    sums = np.concatenate([[0], np.cumsum(((data | 32) >= ord("a")) & ((data | 32) <= ord("z")))])
     found = sums[offsets[1:]] > sums[offsets[:-1]]
     for r in np.flatnonzero(~found & (offsets[1:] > offsets[:-1])):
         found[r] = any(map(str.isalpha, data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")))
@@ -137,57 +205,69 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _scored(model):
+    """lang_pred, bits of it and the sum of 2^(bits - own bits) over the model's languages; nulls for texts without a letter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, lookup, bits = model.value
-        names = pa.array([*langs, UNKNOWN])
+        trees = model.value
+        names = pa.array(trees.langs)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             n = batch.num_rows
-            best, score = np.full(n, len(langs)), np.zeros(n)
+            best, bits, total, letters = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
             for i, j in blocks(offsets):
-                base = offsets[i]
-                part, own = data[base : offsets[j]], offsets[i : j + 1] - base
-                letters = _has_letter(part, own)
-                if not langs or not letters.any():
-                    continue
-                context, symbol = _codes(part, own)
-                entry = lookup[context] * SYMBOLS + symbol
-                step = max(1, (1 << 22) // len(langs))
-                for r in np.flatnonzero(letters):
-                    total = sum(bits[entry[k : min(k + step, own[r + 1])]].sum(axis=0, dtype=np.float64) for k in range(own[r], own[r + 1], step))
-                    best[i + r] = k = int(total.argmin())
-                    score[i + r] = 1 / np.exp2(np.maximum(total[k] - total, -1000)).sum()
-            columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text"]
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                letters[i:j] = _has_letter(part, own)
+                lengths = trees.lengths(part, own)
+                best[i:j] = lengths.argmin(axis=1)
+                bits[i:j] = lengths.min(axis=1)
+                total[i:j] = np.exp2(np.maximum(bits[i:j, None] - lengths, -1000)).sum(axis=1)
             kept = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, names.take(pa.array(best)), pa.array(score)], names=[*kept, "lang_pred", "score"])
+            found = [names.take(pa.array(best, mask=~letters)), pa.array(bits, mask=~letters), pa.array(total, mask=~letters)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *found], names=[*kept, "_best", "_bits", "_total"])
 
     return trimmed(run)
 
 
-def learn(docs: DataFrame, p: LanguageModel):
-    """Broadcast languages, context rows and code lengths, learned from the rows that are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", p.folds) != p.held_out))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages)
-    chosen = {r["lang"]: r["count"] for r in sizes.collect()}
-    spark = docs.sparkSession
-    langs = sorted(chosen)
-    if not langs:
-        return spark.sparkContext.broadcast(([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32)))
-    share = small(spark.createDataFrame([(k, min(1.0, p.train_rows / v)) for k, v in chosen.items()], "lang string, share double"), len(langs))
-    sample = labelled.join(share, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most one row a distinct four-byte sequence of the bounded sample
-    which = np.searchsorted(np.array(langs, object), np.array(got.column("lang").to_pylist(), object)).astype(np.int64)
-    order = np.lexsort((got.column("code").to_numpy(), which))
-    lookup, bits = _trees(langs, which[order], got.column("code").to_numpy()[order], got.column("n").to_numpy()[order].astype(np.float64), p.cells)
-    return spark.sparkContext.broadcast((langs, lookup, bits))
-
-
-def predict(docs: DataFrame, model, *, keep: list[str]) -> DataFrame:
+def learn(docs: DataFrame, p: LanguageModel) -> list:
+    """Broadcast trees, learned from the rows that are not held out: of all languages, or of as many as are scored at once."""
+    if not 0 <= p.order <= 6:
+        raise ValueError("a context has 6 bytes at most")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", p.folds) != p.held_out)).select("doc_id", "lang", "text")
+    sizes = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(p.train_rows) / F.count("*")).alias("share")))
+    sample = labelled.join(small(sizes, sizes.count()), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    counts = cut(sample.select("lang", "text").mapInArrow(_counted(p), "lang string, length int, code long, n long").groupBy("lang", "length", "code").agg(F.sum("n").alias("n")))
+    groups: list[list[str]] = []
+    room = 0
+    for lang, n in sorted((r["lang"], r["count"]) for r in counts.groupBy("lang").count().collect()):  # one row a language
+        if not groups or n > room:
+            groups.append([])
+            room = p.strings
+        groups[-1].append(lang)
+        room -= n
+    models = []
+    for langs in groups:
+        got = counts.where(F.col("lang").isin(langs)).toArrow()  # distinct strings of a bounded sample
+        which = np.searchsorted(np.array(langs, object), np.array(got.column("lang").to_pylist(), object)).astype(np.int64)
+        models.append(docs.sparkSession.sparkContext.broadcast(Trees(langs, which, *(got.column(c).to_numpy() for c in ("length", "code", "n")), p.order)))
+    return models
+
+
+def predict(docs: DataFrame, models: list, *, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language)."""
     rows = docs.select(*keep, "text")
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scored(model), schema)
+    new = [T.StructField("_best", T.StringType()), T.StructField("_bits", T.DoubleType()), T.StructField("_total", T.DoubleType())]
+    pred, score = F.coalesce("_best", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / F.col("_total"), F.lit(0.0)).alias("score")
+    if not models:
+        return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if len(models) == 1:
+        return rows.mapInArrow(_scored(models[0]), T.StructType([*rows.schema.fields[:-1], *new])).select(*keep, pred, score)
+    # a pass for each group of languages; what they say of a row meets by its number
+    keyed = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    said = reduce(DataFrame.union, (keyed.select("_row", "text").mapInArrow(_scored(m), T.StructType([T.StructField("_row", T.LongType()), *new])) for m in models))
+    said = cut(said.where("_best is not null"))
+    least = said.groupBy("_row").agg(F.min(F.struct("_bits", "_best")).alias("m")).select("_row", "m.*")
+    total = said.select("_row", F.col("_bits").alias("b"), "_total").join(least, "_row").groupBy("_row").agg(F.first("_best").alias("_best"), F.sum(F.expr("_total * pow(2d, greatest(-1000d, _bits - b))")).alias("_total"))
+    return keyed.drop("text").join(total, "_row", "left").select(*keep, pred, score)
 
 
 def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
@@ -196,7 +276,7 @@ def identify(docs: DataFrame, p: LanguageModel = LanguageModel()) -> DataFrame:
     Learns only from rows with text and lang whose crc32 of doc_id modulo ``folds`` is not ``held_out``. A text that is
     null, empty or without a letter, or any text when nothing could be learned, is ``und`` with score 0. Equal texts
     get equal predictions; of equal code lengths the alphabetically first language wins. A null doc_id is held out as
-    false. An empty table gives an empty table.
+    false and not learned from. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
