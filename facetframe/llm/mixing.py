@@ -18,9 +18,10 @@ from ._common import cut, folded, small, unfolded
 @dataclass(frozen=True)
 class Mixture:
     """The exponent is the largest that reaches ``entropy`` of the sources' greatest entropy, or, if that repeats a source
-    more than ``repeats`` times, the smallest that does not. The budget is the least that takes every source whole, so
+    more than ``repeats`` times, the smallest that does not. ``budget`` is in tokens: a source gets its weight of it, repeated or
+    cut down to whole blocks. Without one it is the least that takes every source whole, so
     weights are met by repeating and no row is dropped. Tokens are estimated as ``bytes_per_token``. A source has a
-    block for each ``block_tokens``, ``blocks`` at least.
+    block for each ``block_tokens``, ``blocks`` at least; ``bins`` of a permutation are ordered apart.
     """
 
     entropy: float = 0.99
@@ -29,6 +30,8 @@ class Mixture:
     block_tokens: int = 1_000_000
     blocks: int = 64
     seed: int = 5
+    budget: float | None = None
+    bins: int = 1024
     steps: int = 50
 
 
@@ -61,14 +64,21 @@ def plan(docs: DataFrame, p: Mixture = Mixture()) -> tuple[DataFrame, DataFrame]
     # one row for each source: their number is the only thing that is gathered
     exponent = sources.agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t")).select(F.expr(_bisected("t", p)).alias("exponent"), "t")
     weights = sources.crossJoin(F.broadcast(exponent)).selectExpr("mix_source", "tokens", "exponent", "pow(tokens, exponent) / aggregate(t, 0d, (z, x) -> z + pow(x, exponent)) as weight", "aggregate(t, 0d, (z, x) -> greatest(z, pow(x, 1 - exponent))) as most")
-    # the budget over a source's own tokens: tokens^(exponent - 1) times the largest tokens^(1 - exponent)
-    sized = cut(weights.selectExpr("mix_source", "tokens", "exponent", "round(weight, 9) as weight", "round(greatest(1d, most * pow(tokens, exponent - 1)), 9) as repetition", f"greatest({p.blocks}L, ceil(tokens / {p.block_tokens})) as blocks"))
+    # the budget over a source's own tokens; the least one is tokens^(exponent - 1) times the largest tokens^(1 - exponent)
+    repetition = "greatest(1d, most * pow(tokens, exponent - 1))" if p.budget is None else f"{p.budget}d * weight / tokens"
+    sized = cut(weights.selectExpr("mix_source", "tokens", "exponent", "round(weight, 9) as weight", f"round({repetition}, 9) as repetition", f"greatest({p.blocks}L, ceil(tokens / {p.block_tokens})) as blocks"))
     rows = rows.join(small(sized.select("mix_source", "blocks", "weight", "repetition"), sized.count()), "mix_source").withColumn("mix_block", F.expr(f"pmod({_hashed(str(p.seed), 'doc_id')}, blocks)")).drop("blocks")
     blocks = rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")).join(sized, "mix_source")
-    passes = blocks.withColumn("pass", F.explode(F.expr("sequence(0, cast(ceil(repetition) as int) - 1)")))
+    passes = blocks.withColumn("pass", F.explode(F.expr("sequence(0, greatest(1, cast(ceil(repetition) as int)) - 1)")))
     passes = passes.withColumn("order", F.expr(_hashed(str(p.seed), "mix_source", "pass", "mix_block")))
-    turn = Window.partitionBy("mix_source", "pass").orderBy("order", "mix_block")
-    passes = passes.withColumns({"rank": F.row_number().over(turn) - 1, "upto": F.sum("block_tokens").over(turn)})
+    # a permutation is ordered by a hash: bins of it are ordered each in a task, behind the sums of those before
+    passes = passes.withColumn("bin", F.expr(f"order div {(1 << 32) // p.bins}"))
+    sums = passes.groupBy("mix_source", "pass", "bin").agg(F.count("*").alias("n"), F.sum("block_tokens").alias("t"))
+    before = Window.partitionBy("mix_source", "pass").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("mix_source", "pass", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t_before"))
+    turn = Window.partitionBy("mix_source", "pass", "bin").orderBy("order", "mix_block")
+    passes = passes.withColumns({"rank": F.row_number().over(turn) - 1, "upto": F.sum("block_tokens").over(turn)}).join(sums, ["mix_source", "pass", "bin"])
+    passes = passes.withColumns({"rank": F.col("rank") + F.col("n_before"), "upto": F.col("upto") + F.col("t_before")})
     taken = passes.where("upto - block_tokens / 2.0d <= tokens * least(1d, repetition - pass)")
     return rows, cut(taken.select("mix_source", "mix_block", "pass", "rank"))
 
@@ -77,7 +87,8 @@ def mixed(docs: DataFrame, p: Mixture = Mixture()) -> DataFrame:
     """doc_id, source, tokens, weight (of the source), repetition, pass, block and block_rank of every row taken.
 
     ``docs`` has doc_id, source and text; other columns are ignored. Every row of ``docs`` is taken in pass 0 and, as its
-    source's repetition and the permutation of its block decide, once more in later passes. A row's block is
+    source's repetition and the permutation of its block decide, once more in later passes; with a smaller ``budget`` only as
+    many blocks of pass 0 as it asks for. A row's block is
     a hash of its doc_id, so repeated rows stay together. A null source is a source of its own; a null or empty text
     counts one token. Blocks that hash alike are in the order of their numbers. An empty table gives an empty table.
     """
