@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, folded, small, unfolded
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """A line is removed if more than ``most_docs`` distinct texts of its host have it and more than ``most_share`` of
-    them. A document that has less than ``left`` of its lines' characters then is rejected. ``words`` is the least number of
-    words; at most ``repeats`` percent may be in repeated windows of ``window`` words.
+    """A line is removed if more than ``most_docs`` documents of its host have it, whatever the host's size is. A document
+    that has less than ``left`` of its lines' characters then is rejected. With ``by_text`` equal texts of a host
+    count as one document, so copies do not deplete each other. ``words`` is the least number of words; at most ``repeats``
+    percent may be in repeated windows of ``window`` words.
     """
 
     words: int = 10
     window: int = 5
     repeats: int = 20
-    most_docs: int = 100
-    most_share: float = 0.01
+    most_docs: int = 10
     left: float = 0.3
+    by_text: bool = False
 
 
 _BLANK = " \t\n\x0b\f\r"
@@ -34,6 +36,10 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _normal(line: Column) -> Column:
+    return F.regexp_replace(F.lower(F.btrim(line, F.lit(_BLANK))), _BLANKS, " ")
+
+
 def _repeated(hashes: Column, window: int) -> Column:
     """Words in windows that occur more than once, from the windows' hashes in order."""
 
@@ -65,7 +71,7 @@ def _measured(docs: DataFrame, p: QualityRules) -> DataFrame:
         F.xxhash64("text", F.lit("text")).alias("text_hash"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(F.regexp_replace(F.lower(F.btrim(x, F.lit(_BLANK))), _BLANKS, " ")).alias("line"), F.length(x).alias("chars"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.length(x).alias("chars"))).alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     rows = rows.withColumn("two", F.zip_with(part("h", 1, 1), part("h", 2, 1), join))
@@ -77,25 +83,44 @@ def _measured(docs: DataFrame, p: QualityRules) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, p: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_chars_removed of every row.
-
-    ``docs`` has doc_id, text and source, which is the host; other columns are ignored. A null text is an empty one, which
-    fails for want of words; a null source is a host of its own. Lines are compared in lower case with
-    white space made one blank. Equal texts of a host count once for its lines, so copies do not deplete each other;
-    repeated rows are judged each. n_repeat_words is for windows of five words. An empty table gives an empty table.
-    """
+def _judged(docs: DataFrame, p: QualityRules) -> DataFrame:
+    """The counts of every row and its verdict, with its text's hash, its host and the hashes of its lines that are removed."""
     if p.window != 5:
         raise ValueError("windows have five words")
     base = cut(_measured(docs, p).withColumn("row", F.monotonically_increasing_id()))
-    texts = base.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    once = base.join(texts.select("row"), "row").select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    common = once.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > p.most_docs).join(sizes, "host").where(F.col("docs") > p.most_share * F.col("texts"))
-    gone = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.chars").join(common.select("host", "line"), ["host", "line"])
-    removed = gone.groupBy("row").agg(F.sum("chars").alias("removed"))
+    lines = F.array_distinct(F.transform("lines", lambda x: x["line"]))
+    counted = base
+    if p.by_text:
+        counted = base.join(base.groupBy("host", "text_hash").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    common = counted.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > p.most_docs).select("host", "line")
+    common = cut(common)
+    gone = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.chars").join(small(common, common.count()), ["host", "line"])
+    removed = gone.groupBy("row").agg(F.sum("chars").alias("removed"), F.collect_set("line").alias("gone"))
     failed = (F.col("n_words") < p.words) | (100 * F.col("n_repeat_words") > p.repeats * F.col("n_words"))
     total = F.aggregate(F.transform("lines", lambda x: x["chars"]), F.lit(0).cast("long"), lambda a, x: a + x)
     lost = F.coalesce("removed", F.lit(0)).cast("long")
     out = base.join(removed, "row", "left").withColumns({"base_failed": failed, "n_chars_removed": lost})
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (total - lost >= p.left * total)).alias("kept"), "n_chars_removed")
+    return out.withColumn("kept", ~failed & (total - lost >= p.left * total)).drop("lines", "removed", "row")
+
+
+def quality(docs: DataFrame, p: QualityRules = QualityRules()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_chars_removed of every row.
+
+    ``docs`` has doc_id, text and source, which is the host; other columns are ignored. A null text is an empty one, which
+    fails for want of words; a null source is a host of its own. Lines are compared in lower case with
+    white space made one blank. Every row counts once for each of its lines, repeated rows too; they are judged
+    each. n_repeat_words is for windows of five words. An empty table gives an empty table.
+    """
+    return _judged(docs, p).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_chars_removed")
+
+
+def cleaned(docs: DataFrame, p: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts without the lines that are removed; all columns as they are."""
+    keys = lambda of: [F.col("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")), F.xxhash64(F.coalesce("text", F.lit("")), F.lit("text"))] if of else [F.col("its_id"), F.col("its_host"), F.col("its_hash")]
+    told = _judged(docs, p).where("not kept or gone is not null").select(F.col("doc_id").alias("its_id"), F.col("host").alias("its_host"), F.col("text_hash").alias("its_hash"), "kept", "gone").dropDuplicates(["its_id", "its_host", "its_hash"])
+    told = cut(told)
+    rows = folded(docs, "doc_id", "source", "text")
+    same = reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(keys(True), keys(False), strict=True)))
+    met = rows.join(small(told, told.count(), 100_000), same, "left").where("kept is null or kept")
+    stays = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(_normal(x))) | (F.btrim(x, F.lit(_BLANK)) == "")), "\n")
+    return unfolded(met.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(stays)), docs, "doc_id", "source", "text")

@@ -34,8 +34,7 @@ QUALITY = f"""with d as (select row_number() over () as id, doc_id, coalesce('='
     dup as (select id, k from (select *, count(*) over (partition by id, g) as n from h) t where n > 1), cov as (select id, count(distinct k + j) as n from dup, (select unnest(range(5)) as j) o group by id),
     m as (select w.*, len(ws)::bigint as n_words, list_sum(list_transform(ws, lambda x: length(x)))::bigint as chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat from w left join cov using (id)),
     li as (select id, host, text, unnest(ls) as x from w), ln as (select id, host, text, {_NORM} as line, length(x) as chars from li),
-    fr as (select host, line, count(distinct text) as n from ln group by all), ho as (select host, count(distinct text) as n from d group by 1),
-    com as (select fr.host, line from fr join ho using (host) where fr.n > 100 and fr.n > 0.01 * ho.n), rem as (select id, sum(chars)::bigint as chars from ln join com using (host, line) group by 1), tot as (select id, sum(chars)::bigint as chars from ln group by 1)
+    com as (select host, line from ln group by all having count(distinct id) > 10), rem as (select id, sum(chars)::bigint as chars from ln join com using (host, line) group by 1), tot as (select id, sum(chars)::bigint as chars from ln group by 1)
     select doc_id, n_words, coalesce(m.chars, 0) as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat as n_repeat_words, (n_words < 10 or 100 * n_repeat > 20 * n_words) as base_failed,
     not (n_words < 10 or 100 * n_repeat > 20 * n_words) and coalesce(tot.chars, 0) - coalesce(rem.chars, 0) >= 0.3 * coalesce(tot.chars, 0) as kept, coalesce(rem.chars, 0) as n_chars_removed from m left join rem using (id) left join tot using (id)"""
 
