@@ -1,37 +1,44 @@
 """Token counts of flat token streams by a separator scan.
 
-A stream has no index: token identifiers one after the other, documents ended by one identifier. It is cut into blocks that
-know nothing of each other; each block finds its separators, and a prefix scan over the blocks' summaries tells where the
+A stream is a flat file without index: token identifiers one after the other, documents ended by one identifier. It is cut into
+blocks, ranges of its bytes that know nothing of each other; each block finds its separators, and a prefix scan over the blocks' summaries tells where the
 document that a block begins in the middle of has started and how many have ended before.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from ..session import ship
+from ..session import shared_path, ship
 from ._bytes import trimmed, utf8
-from ._common import cut
+from ._common import cut, small
 
 
 @dataclass(frozen=True)
 class TokenFiles:
     """``vocabulary``: path of a byte-level rank file on every executor; ``pattern``: its splitting of text.
-    ``separator``: the identifier that ends a document; ``block``: tokens in a block; ``width``: bytes of an identifier.
+    ``separator``: the identifier that ends a document; ``block``: tokens in a block, ``task_blocks`` in a task, about, and ``chunk``
+    in a first-level scan; ``width``: bytes of an identifier. Files are reached by pyarrow, which knows local and shared folders,
+    HDFS, S3 and GCS.
     """
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     separator: int = 50256
-    block: int = 1 << 16
+    block: int = 1 << 18
+    task_blocks: int = 64
+    chunk: int = 4096
     width: int = 2
 
 
@@ -48,68 +55,74 @@ def encoding(p: TokenFiles):
     return _encodings[p.vocabulary]
 
 
-def _packed(p: TokenFiles):
-    """Texts to the blocks of one stream a task, and the order of its documents (kind ``doc``)."""
+def _place(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = encoding(p).encode_ordinary, np.dtype(f"<u{p.width}")
-        stream, at, ordinal = TaskContext.get().partitionId(), 0, 0
-        left: list[np.ndarray] = []
-        held = 0
 
-        def rows(blocks: list[bytes], ids: list[int | None], first: int) -> pa.RecordBatch:
-            n, m = len(blocks), len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([stream] * (n + m), pa.int64()), pa.array([*range(at - n, at), *range(first, first + m)], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([False] * n + [True] * m)], names=["stream", "at", "tokens", "doc_id", "is_doc"])
+def _packed(p: TokenFiles, folder: str):
+    """Texts to one flat token file a task attempt. Rows: doc_id, file and ordinal of each document, and the file's bytes at last."""
 
+    def rows(ids: list[int | None], name: str, first: int, length: int | None = None) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), pa.array([length] * n, pa.int64())], names=["doc_id", "stream", "ordinal", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kind = encoding(p).encode_ordinary, np.dtype(f"<u{p.width}")
+        name = f"tokens-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.bin"
+        ordinal, length, out = 0, 0, None
+        end = np.array([p.separator], kind).tobytes()
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            if not batch.num_rows:
+                continue
+            if out is None:
+                place, path = _place(folder)
+                place.create_dir(path, recursive=True)
+                out = place.open_output_stream(f"{path}/{name}", buffer_size=1 << 20)
             data, offsets = utf8(batch.column(1))
             for k in range(batch.num_rows):
-                own = np.array([*encode(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")), p.separator], kind)
-                left.append(own)
-                held += len(own)
-                if held >= p.block:
-                    flat = np.concatenate(left)
-                    whole = len(flat) // p.block * p.block
-                    out += [flat[i : i + p.block].tobytes() for i in range(0, whole, p.block)]
-                    left, held = [flat[whole:]], len(flat) - whole
-                    at += whole // p.block
-            yield rows(out, ids, ordinal)
-            ordinal += len(ids)
-        if held:
-            at += 1
-            yield rows([np.concatenate(left).tobytes()], [], ordinal)
+                raw = np.array(encode(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")), kind).tobytes() + end
+                out.write(raw)
+                length += len(raw)
+            yield rows(batch.column(0).to_pylist(), name, ordinal)
+            ordinal += batch.num_rows
+        if out is not None:
+            out.close()
+            yield rows([None], name, ordinal, length)
 
     return trimmed(run)
 
 
-def pack(docs: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:
-    """(stream, at, tokens, doc_id, is_doc): blocks of the flat token streams of ``docs``, and their documents in order."""
+def pack(docs: DataFrame, folder: str, p: TokenFiles = TokenFiles()) -> tuple[DataFrame, DataFrame]:
+    """Writes flat token files below the shared ``folder``: (doc_id, stream, ordinal) of the documents, and the files (stream, path, length).
+
+    A file belongs to the result only if the task that wrote it has ended well; what a lost attempt leaves is not read.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.mapInArrow(_packed(p), "stream long, at long, tokens binary, doc_id long, is_doc boolean"))
+    packed = cut(rows.mapInArrow(_packed(p, folder), "doc_id long, stream string, ordinal long, length long"))
+    files = packed.where("length is not null").select("stream", F.concat(F.lit(f"{folder}/"), "stream").alias("path"), "length")
+    return packed.where("length is null").select("doc_id", "stream", "ordinal"), files
 
 
-def read_files(spark: SparkSession, path: str, p: TokenFiles = TokenFiles()) -> DataFrame:
-    """(stream, at, tokens) of flat binary token files under ``path``; ``stream`` is the file's path.
-
-    A file is read whole before it is cut, so it must be below Spark's 2 GB for a binary value.
-    """
-    size = p.block * p.width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "content", "length")
-    cuts = files.withColumn("at", F.explode(F.expr(f"sequence(0L, greatest(0L, cast(ceil(length / {size}) as bigint) - 1))")))
-    return cuts.select("stream", "at", F.expr(f"substring(content, cast(at * {size} as int) + 1, {size})").alias("tokens"))
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, path, length) of the files that Spark lists under ``path``; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "path", "length")
 
 
 def _separated(p: TokenFiles):
-    """Each block's separators, their positions in the block and its length."""
+    """Reads blocks (stream, at, path, offset, size) of files: their separators, their positions in the block and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype(f"<u{p.width}")
+        kind, path, file = np.dtype(f"<u{p.width}"), None, None
         for batch in batches:
             ends, length = [], []
-            for raw in batch.column("tokens").to_pylist():
-                ids = np.frombuffer(raw or b"", kind, len(raw or b"") // p.width)
+            for its, offset, size in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "size")), strict=True):
+                if its != path:
+                    path = its
+                    place, at = _place(path)
+                    file = place.open_input_file(at)
+                raw = file.read_at(size, offset)
+                ids = np.frombuffer(raw, kind, len(raw) // p.width)
                 ends.append(np.flatnonzero(ids == p.separator))
                 length.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("at"), pa.array(ends, pa.list_(pa.int64())), pa.array(length, pa.int64())], names=["stream", "at", "ends", "length"])
@@ -117,35 +130,52 @@ def _separated(p: TokenFiles):
     return trimmed(run)
 
 
+def blocks_of(files: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:
+    """(stream, at, ends, length) of every block of ``files`` (stream, path, length): a task reads some ranges of bytes, never a whole file."""
+    ship(files.sparkSession)
+    size = p.block * p.width
+    total = files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0
+    cuts = files.where("length > 0").select("stream", "path", "length", F.explode(F.expr(f"sequence(0L, cast(ceil(length / {size}) as bigint) - 1)")).alias("at"))
+    cuts = cuts.selectExpr("stream", "at", "path", f"at * {size} as offset", f"least({size}, length - at * {size}) as size")
+    spread = max(1, ceil(int(total) / p.task_blocks))
+    found = cuts.repartitionByRange(spread, "stream", "at").mapInArrow(_separated(p), f"stream {dict(files.dtypes)['stream']}, at long, ends array<long>, length long")
+    return cut(found)
+
+
 def separator_scan(blocks: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:
-    """stream, ordinal, first_token, n_tokens and closed of every document of the streams (stream, at, tokens).
+    """stream, ordinal, first_token, n_tokens and closed of every document of the streams, from their blocks (stream, at, ends, length).
 
     Blocks follow each other by ``at``; other columns are ignored. n_tokens leaves the separator out; two separators in a
     row are a document of no tokens. Tokens after a stream's last separator are one document that is not closed. An
-    identifier cut off at a block's end is dropped. Empty blocks and null ones add nothing. An empty table gives an
-    empty table.
+    identifier cut off at a file's end is dropped. Empty blocks add nothing. An empty table gives an empty table.
+
+    The prefix scan has two levels: over the blocks of a chunk, and over the chunks of a stream.
     """
-    ship(blocks.sparkSession)
-    kind = dict(blocks.dtypes)["stream"]
-    found = blocks.select("stream", "at", "tokens").mapInArrow(_separated(p), f"stream {kind}, at long, ends array<long>, length long")
-    # the scan sees one small row a block: how long it is, how many separators it has and where its last one is
-    before = Window.partitionBy("stream").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("stream").orderBy("at")
-    found = found.withColumn("begin", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    found = found.withColumns({"closed_before": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "last_end": F.max(F.expr("begin + try_element_at(ends, -1)")).over(upto)})
-    found = found.withColumn("open_from", F.coalesce(F.lag("last_end").over(upto) + 1, F.lit(0)))
-    each = found.select("stream", "begin", "open_from", "closed_before", F.posexplode("ends").alias("k", "end"), "ends")
-    closed = each.select("stream", (F.col("closed_before") + F.col("k")).alias("ordinal"), F.expr("if(k = 0, open_from, begin + ends[k - 1] + 1)").alias("first_token"), F.expr("begin + end").alias("stop"), F.lit(True).alias("closed"))
-    total = found.groupBy("stream").agg(F.sum("length").alias("stop"), F.sum(F.size("ends")).alias("ordinal"), F.coalesce(F.max("last_end") + 1, F.lit(0)).alias("first_token"))
+    ends = F.size("ends")
+    found = blocks.select("stream", "at", "ends", "length", F.floor(F.col("at") / p.chunk).alias("chunk"))
+    before = Window.partitionBy("stream", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = found.withColumns({"begin": F.coalesce(F.sum("length").over(before), F.lit(0)), "ended": F.coalesce(F.sum(ends).over(before), F.lit(0))})
+    inside = inside.withColumn("last", F.expr("begin + try_element_at(ends, -1)"))
+    inside = inside.withColumn("prior", F.max("last").over(before))
+    chunks = inside.groupBy("stream", "chunk").agg(F.sum("length").alias("tokens"), F.sum(ends).alias("n"), F.max("last").alias("last"))
+    earlier = Window.partitionBy("stream").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumns({"chunk_begin": F.coalesce(F.sum("tokens").over(earlier), F.lit(0)), "chunk_ended": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+    chunks = chunks.withColumn("last", F.col("chunk_begin") + F.col("last"))
+    chunks = cut(chunks.withColumn("chunk_prior", F.max("last").over(earlier)))
+    told = inside.join(small(chunks.select("stream", "chunk", "chunk_begin", "chunk_ended", "chunk_prior"), chunks.count()), ["stream", "chunk"])
+    told = told.selectExpr("stream", "ends", "chunk_begin + begin as begin", "chunk_ended + ended as ended", "coalesce(chunk_begin + prior, chunk_prior, -1) + 1 as open_from")
+    each = told.select("stream", "begin", "open_from", "ended", F.posexplode("ends").alias("k", "end"), "ends")
+    closed = each.select("stream", (F.col("ended") + F.col("k")).alias("ordinal"), F.expr("if(k = 0, open_from, begin + ends[k - 1] + 1)").alias("first_token"), F.expr("begin + end").alias("stop"), F.lit(True).alias("closed"))
+    total = chunks.groupBy("stream").agg(F.sum("tokens").alias("stop"), F.sum("n").alias("ordinal"), F.coalesce(F.max("last") + 1, F.lit(0)).alias("first_token"))
     tail = total.where("stop > first_token").select("stream", "ordinal", "first_token", "stop", F.lit(False).alias("closed"))
     return closed.union(tail).select("stream", F.col("ordinal").cast("long").alias("ordinal"), F.col("first_token").cast("long").alias("first_token"), (F.col("stop") - F.col("first_token")).cast("long").alias("n_tokens"), "closed")
 
 
 def token_counts(docs: DataFrame, p: TokenFiles = TokenFiles()) -> DataFrame:
-    """doc_id, stream, ordinal and n_tokens of every row of ``docs`` (doc_id, text), counted in its packed streams.
+    """doc_id, stream, ordinal and n_tokens of every row of ``docs`` (doc_id, text), counted in the flat files they are packed to.
 
     A null or empty text has no tokens. Repeated rows are documents of their own. An empty table gives an empty table.
     """
-    packed = pack(docs, p)
-    counts = separator_scan(packed.where("not is_doc"), p)
-    return packed.where("is_doc").select("stream", F.col("at").alias("ordinal"), "doc_id").join(counts.select("stream", "ordinal", "n_tokens"), ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "n_tokens")
+    packed, files = pack(docs, shared_path(docs.sparkSession, "tokens"), p)
+    counts = separator_scan(blocks_of(files, p), p)
+    return packed.join(counts.select("stream", "ordinal", "n_tokens"), ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "n_tokens")
