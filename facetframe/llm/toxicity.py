@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._bytes import blocks, hashes, mix, plain, trimmed, utf8, windows, words
-from ._common import crc_mod, small
+from ._common import crc_mod, cut, small
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``train_rows``: labelled rows that are learned from, about, chosen by a hash of doc_id; ``part_rows`` go to a worker.
+    """``train_rows``: labelled rows that are learned from, about, chosen by a hash of doc_id; ``part_rows`` of them, or
+    ``part_bytes`` of text, go to a worker.
 
-    ``bits``: of a feature's coordinate; ``stem``: bytes of a longer word's beginning that are a feature too.
-    ``l1`` keeps a coordinate at 0 until its gradients add up to more. ``most``: weights that may be broadcast.
+    ``bits``: of a feature's coordinate, which bounds the weights that are broadcast; ``stem``: bytes of a longer word's
+    beginning that are a feature too. ``l1`` keeps a coordinate at 0 until its gradients add up to more.
     """
 
     train_rows: int = 40_000
     part_rows: int = 8_000
+    part_bytes: int = 32_000_000
     bits: int = 22
     stem: int = 5
     passes: int = 3
@@ -37,7 +39,6 @@ class Toxicity:
     beta: float = 1.0
     l1: float = 2.5
     l2: float = 0.1
-    most: int = 1_000_000
     held_out: int = 0
     folds: int = 5
 
@@ -92,15 +93,15 @@ def _trained(p: Toxicity):
 def learn(docs: DataFrame, labels: DataFrame, p: Toxicity) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and bias. Without rows of both labels no coordinate has a weight."""
     known = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", p.folds) != p.held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    share = min(1.0, p.train_rows / max(1, total))
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1_000_000))
-    chosen = known.withColumn("order", order).where(F.col("order") < share * 1_000_000)
-    parts = max(1, ceil(min(total, p.train_rows) / p.part_rows))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(small(chosen, p.train_rows * 2), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("toxic"), "order", F.pmod(F.col("order"), F.lit(parts)).alias("part"))
+    share = min(1.0, p.train_rows / max(1, known.count()))
+    chosen = cut(known.withColumn("order", order).where(F.col("order") < share * 1_000_000))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen, chosen.count()), "doc_id")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, ceil(n / p.part_rows), ceil(size / p.part_bytes))
+    rows = rows.select("doc_id", "text", F.col("toxic").cast("double").alias("toxic"), "order", F.pmod(F.col("order"), F.lit(parts)).alias("part"))
     weights = rows.groupBy("part").applyInArrow(_trained(p), "at long, w double").groupBy("at").agg((F.sum("w") / parts).alias("w"))
-    got = weights.orderBy(F.abs("w").desc(), "at").limit(p.most).toArrow()
+    got = weights.toArrow()  # 2^bits rows at most
     at, w = got.column("at").to_numpy(), got.column("w").to_numpy()
     bias = float(w[at == -1].sum())
     order = np.argsort(at[at >= 0])
