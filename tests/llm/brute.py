@@ -1,5 +1,7 @@
 """Plain versions of the operators for small inputs."""
 
+import json
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -80,3 +82,137 @@ def overlaps(text, item, least=12, penalty=2):
         if most >= least:
             return True
     return False
+
+
+def fits(value, schema):
+    """Whether ``value`` is of a schema (type, enum, properties, required, additionalProperties, items)."""
+    kinds = {type(None): ["null"], bool: ["boolean"], str: ["string"], list: ["array"], dict: ["object"], int: ["integer", "number"]}
+    kind = kinds.get(type(value)) or (["integer", "number"] if value == int(value) else ["number"])
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    if types and not set(types) & set(kind):
+        return False
+    if "enum" in schema and not any(type(x) is type(value) and x == value for x in schema["enum"]):
+        return False
+    if isinstance(value, dict):
+        if set(schema.get("required", [])) - set(value):
+            return False
+        if "properties" in schema:
+            known = schema["properties"]
+            return all(fits(v, known[k]) if k in known else schema.get("additionalProperties", False) for k, v in value.items())
+    return not (isinstance(value, list) and "items" in schema) or all(fits(v, schema["items"]) for v in value)
+
+
+def _references(value, keys=False):
+    if isinstance(value, str):
+        return {value[1:]} if value.startswith("$") and len(value) > 1 else set()
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+    return set().union(*map(_references, inner))
+
+
+def chat(rows, schemas):
+    """{(conv_id, turn): (at_turn, at_call, message, n_calls, n_invalid, linked)} of rows with unique turns."""
+    out, stacks, early = {}, defaultdict(list), defaultdict(list)
+    for conv, turn, role, text in sorted(rows):
+        out[conv, turn] = [turn, 0, {"content": text, "role": role}, 0, 0, None]
+        try:
+            said = json.loads(text) if role in ("assistant", "tool") and (text or "").startswith("{") else None
+        except ValueError:
+            said = None
+        if role == "tool":
+            out[conv, turn][5] = False
+            if said and "tool_call_id" in said:
+                own = out[conv, turn]
+                own[2] = {**said, "content": said.get("content"), "role": "tool", "linked": False}
+                key = conv, said["tool_call_id"]
+                if stacks[key]:
+                    own[0], own[1] = stacks[key].pop()
+                    own[5] = own[2]["linked"] = True
+                else:
+                    early[key].append(own)
+        elif role == "assistant" and said and said.get("tool_calls"):
+            calls = []
+            for c in said["tool_calls"]:
+                c = {**c.get("function", {}), **c}
+                given = c.get("arguments")
+                try:
+                    given = json.loads(given) if isinstance(given, str) else given
+                except ValueError:
+                    pass
+                calls.append({"id": c.get("id"), "name": c.get("name"), "arguments": given, "valid": c.get("name") in schemas and fits(given, schemas[c["name"]])})
+            after = {i: {j for j, d in enumerate(calls) if d["id"] in _references(c["arguments"])} for i, c in enumerate(calls)}
+            order, left = [], set(after)
+            while ready := sorted(i for i in left if not after[i] & left):
+                order += ready
+                left -= set(ready)
+            for i in left:
+                calls[i]["valid"] = False
+            order += sorted(left)
+            for place, i in enumerate(order, 1):
+                if calls[i]["id"] is not None:
+                    stacks[conv, calls[i]["id"]].append((turn, place))
+            out[conv, turn] = [turn, 0, {**said, "content": said.get("content"), "role": "assistant", "tool_calls": [calls[i] for i in order]}, len(calls), sum(not c["valid"] for c in calls), None]
+    for key, waiting in early.items():
+        for own, (turn, place) in zip(waiting, stacks[key], strict=False):
+            own[0], own[1], own[5] = turn, place, True
+            own[2]["linked"] = True
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def contexts(texts, order):
+    """{context: {byte: count}} of all contexts of up to ``order`` bytes."""
+    follow = defaultdict(Counter)
+    for t in texts:
+        for i, x in enumerate(t):
+            for k in range(min(order, i) + 1):
+                follow[t[i - k : i]][x] += 1
+    return follow
+
+
+def code_length(text, follow, order):
+    """Bits of ``text`` by prediction by partial matching, method C with exclusion."""
+    bits = 0.0
+    for i, x in enumerate(text):
+        out = set()
+        for k in range(min(order, i), -1, -1):
+            left = {y: c for y, c in follow.get(text[i - k : i], {}).items() if y not in out}
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if x in left:
+                bits += math.log2(whole / left[x])
+                break
+            bits += math.log2(whole / len(left))
+            out |= set(left)
+        else:
+            bits += math.log2(256 - len(out))
+    return bits
+
+
+def ftrl(rows, labels, features, p):
+    """Weights and bias of FTRL-proximal over the rows in order; ``features`` gives a text's set of coordinates."""
+    z, n, bias, bias_n = Counter(), Counter(), 0.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= p.l1 else -(z[k] - math.copysign(p.l1, z[k])) / ((p.beta + math.sqrt(n[k])) / p.alpha + p.l2)
+
+    for _ in range(p.passes):
+        for text, y in zip(rows, labels, strict=True):
+            w = {k: weight(k) for k in features(text)}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias)))) - y
+            for k, own in w.items():
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / p.alpha * own
+                n[k] += g * g
+            bias_n += g * g
+            bias -= p.alpha * g / (p.beta + math.sqrt(bias_n))
+    return {k: weight(k) for k in z if weight(k)}, bias
+
+
+def differencing(weights, shards):
+    """Karmarkar-Karp by plain lists: sums of the shards, ascending."""
+    parts = [[0] * (shards - 1) + [w] for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda x: x[-1] - x[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return parts[0]
