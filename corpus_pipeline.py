@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetframe.llm._common import cut, small, table
+from facetframe.llm._common import cut, table
 from facetframe.llm.decontaminate import clean
 from facetframe.llm.langid import spoken
-from facetframe.llm.minhash import near_duplicates
+from facetframe.llm.minhash import deduplicated
 from facetframe.llm.mixing import repeated
 from facetframe.llm.sharding import byte_balanced
 
@@ -18,10 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each near-duplicate group."""
-    gone = cut(near_duplicates(docs).where("not kept").selectExpr("doc_id as gone"))
-    gone = small(gone, gone.count())
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """Keeps one row of each near-duplicate group, that of the smallest doc_id; rows of one doc_id are one document."""
+    return deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
