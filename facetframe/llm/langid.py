@@ -5,8 +5,8 @@ context codes a byte, or an escape to the next shorter one (method C with exclus
 trees are frozen after learning, so the code length of a text is a sum over its bytes.
 
 A context and the byte after it are one string, so a tree is a table of strings, looked up by the bytes that end at a position.
-As all bytes seen after a context are seen after its suffixes, exclusion depends on two neighbouring contexts only, and what
-an escape costs is known beforehand for each of them.
+As all bytes seen after a context are seen after its suffixes, exclusion depends on two neighbouring contexts only. So what a
+string costs, and what the way down from a context does, is known beforehand: a position takes one or two table entries.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ class Trees:
             known, at = np.unique(code[mine], return_inverse=True)
             self.strings.append(_Strings(known))
             counts.append(np.bincount(at * width + lang[mine], n[mine], len(known) * width).reshape(-1, width))
-        with np.errstate(divide="ignore"):  # of a string's count; the last row is that of unknown strings, number -1
-            self.bits = [None, *(np.log2(np.concatenate([c, np.zeros((1, width))])) for c in counts)]
+        with np.errstate(divide="ignore"):
+            self.bits = [None, *(np.log2(c) for c in counts)]  # of a string's count
         codes = [np.zeros(1, np.int64), *(s.code for s in self.strings[1:])]
         # by context: its symbols' counts and kinds, and of those in the next shorter context that are seen in it too
         total, kinds, over = [], [], []
@@ -141,58 +141,92 @@ class Trees:
                 shorter = self._find(m, after & ((1 << 8 * m) - 1))  # the same symbol after the context without its first byte
                 np.add.at(over[m], parent, np.where(own > 0, counts[m - 1][shorter], 0))
         log = lambda x: np.log2(np.maximum(x, 1e-300))
-        self.start = [log(t + k) for t, k in zip(total, kinds, strict=True)]
-        self.leave = [np.where(k > 0, s - log(k), 0.0) for s, k in zip(self.start, kinds, strict=True)]
-        self.below: list[np.ndarray | None] = [None]  # in the next shorter context, without what is seen in this one
-        self.pass_on: list[np.ndarray | None] = [None]
+        start = [log(t + k) for t, k in zip(total, kinds, strict=True)]
+        leave = [np.where(k > 0, s - log(k), 0.0) for s, k in zip(start, kinds, strict=True)]
+        rest = np.log2(np.maximum(256 - kinds[0][0], 1))
+        # by context: denominator in the next shorter context without what is seen in this one, escape from there, all escapes below
+        self.suffix = [None, *(self._find(m - 1, codes[m] & ((1 << 8 * (m - 1)) - 1)) for m in range(1, order + 2))]
+        self.below, self.onward, self.path = [None], [None], [np.zeros((1, width))]
         for m in range(1, order + 1):
-            shorter = self._find(m - 1, codes[m] & ((1 << 8 * (m - 1)) - 1)) if m > 1 else np.zeros(len(codes[m]), np.int64)
-            new = kinds[m - 1][shorter] - kinds[m]
-            self.below.append(log(total[m - 1][shorter] - over[m] + new))
-            self.pass_on.append(np.where(new > 0, self.below[m] - log(new), 0.0))
-        self.rest = np.log2(np.maximum(256 - kinds[0][0], 1))
+            new = kinds[m - 1][self.suffix[m]] - kinds[m]
+            self.below.append(log(total[m - 1][self.suffix[m]] - over[m] + new))
+            self.onward.append(np.where(new > 0, self.below[m] - log(new), 0.0))
+            self.path.append(self.onward[m] + self.path[m - 1][self.suffix[m]])
+        self.down = [x + y for x, y in zip(leave, self.path, strict=True)]
+        # by string: its byte below its own context, and the byte where the string's context is the longest one
+        self.under, self.whole = [rest[None, :]], [rest[None, :]]
+        for m in range(1, order + 2):
+            context = self._find(m - 1, codes[m] >> 8) if m > 1 else np.zeros(len(codes[m]), np.int64)
+            if m == 1:
+                under = np.broadcast_to(rest, (len(codes[1]), width))
+            else:
+                shorter = self.bits[m - 1][self.suffix[m]]
+                seen = shorter > -np.inf
+                under = np.where(seen, self.below[m - 1][context] - np.where(seen, shorter, 0), self.onward[m - 1][context] + self.under[m - 1][self.suffix[m]])
+            seen = self.bits[m] > -np.inf
+            self.under.append(under)
+            self.whole.append(np.where(seen, start[m - 1][context] - np.where(seen, self.bits[m], 0), leave[m - 1][context] + under))
+        self.rest = rest
 
     def _find(self, m: int, code: np.ndarray) -> np.ndarray:
         return self.strings[m].find(code) if m else np.zeros(len(code), np.int64)
 
+    def _longest(self, data: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and number of the longest known string that ends at each position; ``depth``: bytes of its row up to there."""
+        length, number = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        left = np.arange(len(data))
+        for m in range(self.order + 1, 0, -1):
+            own = left[depth[left] >= m]
+            code = np.zeros(len(own), np.int64)
+            for k in range(m):
+                code = (code << 8) | data[own - (m - 1 - k)]
+            at = self._find(m, code)
+            hit = at >= 0
+            length[own[hit]], number[own[hit]] = m, at[hit]
+            left = left[length[left] == 0]
+        return length, number
+
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every row in every language."""
-        n, width = len(data), len(self.langs)
+        n, width, top = len(data), len(self.langs), self.order + 1
         out = np.zeros((len(offsets) - 1, width))
         if not n:
             return out
-        found = [np.zeros(n, np.int32)]
-        for m in range(1, self.order + 2):
-            at = np.full(n, -1, np.int32)
-            code, end = _codes(data, offsets, m)
-            alive = found[m - 1][end] >= 0 if m > 1 else np.ones(len(end), bool)
-            at[end[alive]] = self._find(m, code[alive])
-            found.append(at)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        begins = np.zeros(n, bool)
-        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        depth = np.arange(1, n + 1) - offsets[:-1][row]
+        length, number = self._longest(data, depth)
+        # the longest context of a position is the longest string that ends before it, but for the one byte too many
+        before, context = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        before[1:], context[1:] = length[:-1], number[:-1]
+        before[depth == 1] = context[depth == 1] = 0
+        long = before == top
+        context[long] = self.suffix[top][context[long]]
+        before[long] = self.order
         for i in range(0, n, STEP):
-            j = min(n, i + STEP)
-            ahead = [x[max(0, i - 1) : j - 1] for x in found]
-            if not i:
-                ahead = [np.concatenate([np.zeros(1, np.int32), x]) for x in ahead]
-            context = [np.zeros(j - i, np.int32), *(np.where(begins[i:j], -1, x) for x in ahead[1:])]
-            bits = np.zeros((j - i, width))
-            open_ = np.ones((j - i, width), bool)
-            for k in range(self.order, -1, -1):
-                at = np.flatnonzero((context[k] >= 0) & open_.any(axis=1))
-                here, longer = context[k][at], context[k + 1][at] if k < self.order else np.full(len(at), -1)
-                cost, leave = self.start[k][here], self.leave[k][here]
-                if k < self.order and (deep := longer >= 0).any():
-                    cost[deep], leave[deep] = self.below[k + 1][longer[deep]], self.pass_on[k + 1][longer[deep]]
-                counts = self.bits[k + 1][found[k + 1][i + at]]
-                seen, wait = counts > -np.inf, open_[at]
-                bits[at] += np.where(wait, np.where(seen, cost - np.where(seen, counts, 0), leave), 0)
-                open_[at] = wait & ~seen
-            bits += np.where(open_, self.rest, 0)
-            own = row[i:j]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out[own[first]] += np.add.reduceat(bits, first, axis=0)
+            part = slice(i, i + STEP)
+            m, own, k, its = length[part], number[part], before[part], context[part]
+            bits = np.empty((len(m), width))
+            for w in range(top + 1):
+                plain = np.flatnonzero((m == w) & (k < max(w, 1)))
+                bits[plain] = self.whole[w][own[plain]] if w else self.down[0] + self.rest
+                for deep in range(max(w, 1), top):  # contexts that have not been followed by this byte
+                    at = np.flatnonzero((m == w) & (k == deep))
+                    if not len(at):
+                        continue
+                    way = self.down[deep][its[at]]
+                    if not w:
+                        bits[at] = way + self.rest
+                        continue
+                    shorter = its[at]
+                    for step in range(deep, w, -1):
+                        shorter = self.suffix[step][shorter]
+                    counts = self.bits[w][own[at]]
+                    seen = counts > -np.inf
+                    bits[at] = way - self.path[w][shorter] + np.where(seen, self.below[w][shorter] - np.where(seen, counts, 0), self.onward[w][shorter] + self.under[w][own[at]])
+            rows = row[part]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            out[rows[first]] += np.add.reduceat(bits, first, axis=0)
         return out
 
 
