@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def place_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a shared file or folder, for tasks."""
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables made by ``cut`` that nothing will read again."""
     for table in tables:

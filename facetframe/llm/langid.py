@@ -11,19 +11,22 @@ string costs, and what the way down from a context does, is known beforehand: a
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import shared_path, ship
 from ._bytes import blocks, trimmed, utf8
-from ._common import crc_mod, cut, small, without
+from ._common import crc_mod, cut, place_of, small, without
 
 UNKNOWN = "und"
 
@@ -164,9 +167,9 @@ class Trees:
                 seen = shorter > -np.inf
                 under = np.where(seen, self.below[m - 1][context] - np.where(seen, shorter, 0), self.onward[m - 1][context] + self.under[m - 1][self.suffix[m]])
             seen = self.bits[m] > -np.inf
-            self.under.append(under)
+            self.under.append(under if m <= order else None)  # the longest strings are whole ones only
             self.whole.append(np.where(seen, start[m - 1][context] - np.where(seen, self.bits[m], 0), leave[m - 1][context] + under))
-        self.rest = rest
+        self.rest, self.bits[order + 1] = rest, None
 
     def _find(self, m: int, code: np.ndarray) -> np.ndarray:
         return self.strings[m].find(code) if m else np.zeros(len(code), np.int64)
@@ -238,11 +241,41 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def _scored(model):
+def _built(langs: list[str], order: int, folder: str):
+    """Counted strings of some languages to the path of a file with their trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([*batches])
+        which = pc.index_in(got["lang"], pa.array(langs)).to_numpy().astype(np.int64)
+        trees = Trees(langs, which, *(got[c].to_numpy() for c in ("length", "code", "n")), order)
+        place, path = place_of(folder)
+        place.create_dir(path, recursive=True)
+        name = f"trees-{uuid.uuid4().hex}"
+        with place.open_output_stream(f"{path}/{name}") as f:
+            pickle.dump(trees, f, protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    return trimmed(run)
+
+
+_loaded: dict[str, Trees] = {}
+
+
+def _trees(path: str) -> Trees:
+    """The trees of a file, which a worker holds until it is asked for others."""
+    if path not in _loaded:
+        _loaded.clear()
+        place, at = place_of(path)
+        with place.open_input_stream(at) as f:
+            _loaded[path] = pickle.load(f)
+    return _loaded[path]
+
+
+def _scored(model: str):
     """lang_pred, bits of it and the sum of 2^(bits - own bits) over the model's languages; nulls for texts without a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = model.value
+        trees = _trees(model)
         names = pa.array(trees.langs)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -262,8 +295,11 @@ def _scored(model):
     return trimmed(run)
 
 
-def learn(docs: DataFrame, p: LanguageModel) -> list:
-    """Broadcast trees, learned from the rows that are not held out: of all languages, or of as many as are scored at once."""
+def learn(docs: DataFrame, p: LanguageModel) -> list[str]:
+    """Paths of trees, learned from the rows that are not held out: of all languages, or of as many as are scored at once.
+
+    A task builds them from the counted strings of a bounded sample and leaves them in the shared folder, where workers read them.
+    """
     if not 0 <= p.order <= 6:
         raise ValueError("a context has 6 bytes at most")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", p.folds) != p.held_out)).select("doc_id", "lang", "text")
@@ -278,15 +314,13 @@ def learn(docs: DataFrame, p: LanguageModel) -> list:
             room = p.strings
         groups[-1].append(lang)
         room -= n
-    models = []
+    folder, models = shared_path(docs.sparkSession, "languages"), []
     for langs in groups:
-        got = counts.where(F.col("lang").isin(langs)).toArrow()  # distinct strings of a bounded sample
-        which = np.searchsorted(np.array(langs, object), np.array(got.column("lang").to_pylist(), object)).astype(np.int64)
-        models.append(docs.sparkSession.sparkContext.broadcast(Trees(langs, which, *(got.column(c).to_numpy() for c in ("length", "code", "n")), p.order)))
+        models.append(counts.where(F.col("lang").isin(langs)).coalesce(1).mapInArrow(_built(langs, p.order, folder), "path string").first()["path"])
     return models
 
 
-def predict(docs: DataFrame, models: list, *, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, models: list[str], *, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, lang_pred and score (the posterior share of the best language)."""
     rows = docs.select(*keep, "text")
     new = [T.StructField("_best", T.StringType()), T.StructField("_bits", T.DoubleType()), T.StructField("_total", T.DoubleType())]

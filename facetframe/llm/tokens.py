@@ -8,21 +8,19 @@ document that a block begins in the middle of has started and how many have ende
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..session import shared_path, ship
 from ._bytes import trimmed, utf8
-from ._common import cut, small
+from ._common import cut, place_of, small
 
 
 @dataclass(frozen=True)
@@ -55,10 +53,6 @@ def encoding(p: TokenFiles):
     return _encodings[p.vocabulary]
 
 
-def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-
-
 def _packed(p: TokenFiles, folder: str):
     """Texts to one flat token file a task attempt. Rows: doc_id, file and ordinal of each document, and the file's bytes at last."""
 
@@ -75,7 +69,7 @@ def _packed(p: TokenFiles, folder: str):
             if not batch.num_rows:
                 continue
             if out is None:
-                place, path = _place(folder)
+                place, path = place_of(folder)
                 place.create_dir(path, recursive=True)
                 out = place.open_output_stream(f"{path}/{name}", buffer_size=1 << 20)
             data, offsets = utf8(batch.column(1))
@@ -119,7 +113,7 @@ def _separated(p: TokenFiles):
             for its, offset, size in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "size")), strict=True):
                 if its != path:
                     path = its
-                    place, at = _place(path)
+                    place, at = place_of(path)
                     file = place.open_input_file(at)
                 raw = file.read_at(size, offset)
                 ids = np.frombuffer(raw, kind, len(raw) // p.width)
