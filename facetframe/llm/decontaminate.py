@@ -121,9 +121,9 @@ class _Index:
         return np.repeat(maybe, n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def _found(batch: pa.RecordBatch, index: _Index, p: SpacedSeeds) -> tuple[list[list[int]], list[int]]:
-    """For each row the items it overlaps and the most equal words."""
-    items: list[dict[int, int]] = [{} for _ in range(batch.num_rows)]
+def _found(batch: pa.RecordBatch, index: _Index, p: SpacedSeeds) -> tuple[list[dict[int | None, int]], list[int]]:
+    """For each row the equal words of the items it overlaps, and the most of them."""
+    items: list[dict[int | None, int]] = [{} for _ in range(batch.num_rows)]
     data, offsets = utf8(batch.column("text"))
     for i, j in blocks(offsets):
         base = offsets[i]
@@ -143,7 +143,7 @@ def _found(batch: pa.RecordBatch, index: _Index, p: SpacedSeeds) -> tuple[list[l
             if equal >= min(p.least, len(other)):
                 own = items[i + r]
                 own[index.ids[item]] = max(equal, own.get(index.ids[item], 0))
-    return [sorted(x) for x in items], [max(x.values(), default=0) for x in items]
+    return items, [max(x.values(), default=0) for x in items]
 
 
 def _scanned(index, p: SpacedSeeds):
@@ -151,6 +151,7 @@ def _scanned(index, p: SpacedSeeds):
         for batch in batches:
             items, most = _found(batch, index.value, p)
             columns = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
+            items = [sorted(k for k in x if k is not None) for x in items]
             yield pa.RecordBatch.from_arrays([*(c for _, c in columns), pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int64())], names=[*(n for n, _ in columns), "items", "most_equal"])
 
     return trimmed(run)
@@ -225,12 +226,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: SpacedSeeds = SpacedSeeds
 
     ``benchmark`` has item_id and text; other columns are ignored on both sides. Null texts are empty. An item of
     fewer than ``least`` words is overlapped where all its words follow each other; texts and items without words overlap
-    nothing, as do all if either table is empty. Repeated rows and items each count for themselves; rows of a null
-    item_id are left out.
+    nothing, as do all if either table is empty. Repeated rows and items each count for themselves. An item of a null item_id
+    contaminates like others and is not in ``items``.
     """
     spark = ship(docs.sparkSession)
     keep = keep or ["doc_id"]
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select(*keep, "text")
     size = bench.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     if size <= p.broadcast_bytes:

@@ -30,12 +30,14 @@ from ._bytes import blocks, trimmed, utf8, words
 class SecretScan:
     """``run``: characters from which a base64 run is tried. ``largest``: bytes of a compressed layer that are held at
     once; a larger one is read to its end in pieces that overlap by ``overlap`` bytes, and the row says so in ``truncated``,
-    as a match across pieces may be reported as its parts.
+    as a match across pieces may be reported as its parts. So does it where an xz stream needs more than ``memory`` bytes
+    and is not read.
     """
 
     run: int = 16
     largest: int = 1 << 26
     overlap: int = 1 << 12
+    memory: int = 1 << 28
 
 
 # The kinds in their order, their patterns and least lengths.
@@ -46,8 +48,8 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
+_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 _BASE64 = "A-Za-z0-9+/_-"
 
 
@@ -75,21 +77,21 @@ def _readable(raw: bytes) -> list[tuple[int, str]]:
     return [(m.start(), m[0].decode("utf-8")) for m in _READABLE.finditer(raw) if len(m[0]) >= min(LEAST, len(raw))]
 
 
-def _opener(raw):
+def _opener(raw, memory: int):
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
         return zlib.decompressobj(47)
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
-    return lzma.LZMADecompressor(memlimit=1 << 28) if raw[:6] == b"\xfd7zXZ\x00" else None
+    return lzma.LZMADecompressor(memlimit=memory) if raw[:6] == b"\xfd7zXZ\x00" else None
 
 
 def _pieces(raw, p: SecretScan) -> Iterator[tuple[bytes, bool]]:
     """What ``raw`` holds below one compression, all members one after the other, and whether more than one piece.
 
-    A stream that is broken off or damaged gives what can be read of it.
+    A stream that is broken off or damaged gives what can be read of it; one that needs too much memory an empty piece.
     """
     held, fresh, many, overlap = bytearray(), False, False, min(p.overlap, p.largest // 2)
-    while (d := _opener(raw)) is not None:
+    while (d := _opener(raw, p.memory)) is not None:
         feed, raw = raw, b""
         try:
             while not d.eof:
@@ -104,8 +106,9 @@ def _pieces(raw, p: SecretScan) -> Iterator[tuple[bytes, bool]]:
                 elif not out and not feed:
                     break
             raw = d.unused_data if d.eof else b""
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            pass
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError) as e:
+            if "limit" in str(e):
+                yield b"", True
     if fresh:
         yield bytes(held), many
 
@@ -118,7 +121,9 @@ def unwrap(raw, p: SecretScan, seen: set[bytes]) -> Iterator[tuple[str, bool]]:
             if (mark := hashlib.sha256(piece).digest()) in seen:
                 continue
             seen.add(mark)
-            if _opener(piece) is not None:
+            if not piece:
+                yield "", many
+            if _opener(piece, p.memory) is not None:
                 work.append(piece)
             for _, text in _readable(piece):
                 yield text, many
@@ -187,7 +192,7 @@ def _unescaped(run: str) -> Decoded | None:
     first: list[int] = []
     last: list[int] = []
     for m in _ONE.finditer(run):
-        code = int(m[1] or m[2], 16)
+        code = int(m[1] or m[2] or m[3], 16)
         if codes and 0xDC00 <= code < 0xE000 and 0xD800 <= codes[-1] < 0xDC00:
             codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
             last[-1] = m.end()
@@ -195,7 +200,7 @@ def _unescaped(run: str) -> Decoded | None:
             codes.append(code)
             first.append(m.start())
             last.append(m.end())
-    return None if any(0xD800 <= c < 0xE000 for c in codes) else ("".join(map(chr, codes)), first, last)
+    return None if any(0xD800 <= c < 0xE000 or c > 0x10FFFF for c in codes) else ("".join(map(chr, codes)), first, last)
 
 
 def _inner(layer: Layer, p: SecretScan) -> Iterator[tuple[Layer, bool]]:
