@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_path, ship
+
+#: Pairs that a task thins out at once.
+HELD = 1 << 20
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -15,14 +22,50 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _thinned(keys: list[str]):
+    """A task's pairs (keys, x, y) to stars of the same components: the least node of each, and every other one."""
+
+    def stars(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pairs = pd.concat(parts, ignore_index=True)
+        ends = pd.concat([pairs[[*keys, c]].rename(columns={c: "node"}) for c in "xy"], ignore_index=True)
+        at = ends.groupby([*keys, "node"], dropna=False).ngroup().to_numpy()
+        first = np.zeros(at.max() + 1, np.int64)
+        first[at] = np.arange(len(at))
+        root = np.arange(len(first))
+        u, v = at[: len(pairs)], at[len(pairs) :]
+        while (apart := root[u] != root[v]).any():
+            u, v = root[u[apart]], root[v[apart]]
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while (root[root] != root).any():
+                root = root[root]
+        below = np.flatnonzero(root != np.arange(len(root)))
+        out = ends.iloc[first[below]].rename(columns={"node": "y"}).reset_index(drop=True)
+        return out.assign(x=ends["node"].to_numpy()[first[root[below]]])[[*keys, "x", "y"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []
+        for batch in batches:
+            if len(batch):
+                parts.append(batch)
+            if sum(map(len, parts)) >= HELD:
+                yield stars(parts)
+                parts = []
+        if parts:
+            yield stars(parts)
+
+    return run
+
+
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a: str, b: str) -> DataFrame:
     """Component (its smallest node) of every node, within each key (a scene or a frame).
 
-    Every round points each node to the first of itself and its neighbours and contracts the pairs to those, until none is left:
-    first by number, which ends stars, then by a hash of the round, which shortens any graph by a share. All groups go
+    Each task first thins its pairs to stars. Every round points each node to the first of itself and its neighbours and contracts the
+    pairs to those, until none is left: first by number, which ends stars, then by a hash of the round, which shortens any graph by a share. All groups go
     on together.
     """
-    left = written(pairs.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct())
+    ship(nodes.sparkSession)
+    apart = pairs.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    left = written(apart.mapInPandas(_thinned(keys), apart.schema).distinct())
     labels = nodes.select(*keys, node).distinct().withColumn("component", F.col(node))
     rounds = 0
     while not left.isEmpty():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import position
+
 
 def matched(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """Ground-truth frames with a flag for those that a prediction exists for."""
@@ -60,8 +62,8 @@ def same_lists(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
 
 def shard_range(rows: DataFrame, scenes: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     """Rows of the scenes whose position in sorted order is in [start, stop)."""
-    at = scenes.select(key).distinct().withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
-    return rows.join(at.where((F.col("_at") >= start) & (F.col("_at") < stop)).select(key), key, "left_semi")
+    at = position(scenes.select(key).distinct(), [key])
+    return rows.join(at.where((F.col("pos") >= start) & (F.col("pos") < stop)).select(key), key, "left_semi")
 
 
 def with_default(rows: DataFrame, table: DataFrame, key: str, value: str, default: str) -> DataFrame:

@@ -86,17 +86,27 @@ def last_channel(rows: DataFrame, keys: list[str], channel: str, mask: str) -> D
     return rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(mask) > 0, F.col(channel) + 1)), F.lit(0)).alias("instance"))
 
 
+#: Tokens of a policy, at most.
+MOST_TOKENS = 10_000
+
+
 def resolve_names(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """Policy tokens to label ids: a number is the id, else an exact name, else every name that contains the token.
 
-    Each token takes the best kind that matches at all; one without a match is kept with a null id. Both tables are lists of
-    names, so the theta join is between two small sides.
+    Each token takes the best kind that matches at all; one without a match is kept with a null id. Ids and names meet in
+    equi-joins. A policy is a short list, so for the third kind its tokens go to the names, of which there may be any number.
     """
-    number = F.col("token").rlike("^[0-9]+$")
-    kind = F.when(number & (F.col("token").try_cast("long") == F.col("id")), 1).when(F.lower("token") == F.lower("name"), 2).when(F.contains(F.lower("name"), F.lower("token")), 3)
-    pairs = tokens.crossJoin(labels).withColumn("kind", kind).where("kind is not null")
-    best = pairs.withColumn("best", F.min("kind").over(Window.partitionBy("token"))).where("kind = best")
-    return tokens.join(best.select("token", "id", "kind"), "token", "left")
+    if (n := tokens.count()) > MOST_TOKENS:
+        raise ValueError(f"{n} tokens in a policy")
+    asked = tokens.distinct()
+    number = F.when(F.col("token").rlike("^[0-9]+$"), F.col("token").try_cast("long"))
+    by_id = asked.withColumn("_n", number).join(labels.select("id"), F.col("_n") == F.col("id")).select("token", "id", F.lit(1).alias("kind"))
+    by_name = asked.withColumn("_n", F.lower("token")).join(labels.select("id", F.lower("name").alias("_m")), F.col("_n") == F.col("_m")).select("token", "id", F.lit(2).alias("kind"))
+    inside = labels.join(F.broadcast(asked), F.contains(F.lower("name"), F.lower("token"))).select("token", "id", F.lit(3).alias("kind"))
+    pairs = by_id.union(by_name).union(inside)
+    best = pairs.groupBy("token").agg(F.min("kind").alias("best")).withColumnRenamed("token", "_t")
+    best = pairs.join(F.broadcast(best), (F.col("token") == F.col("_t")) & (F.col("kind") == F.col("best"))).select("token", "id", "kind")
+    return tokens.join(best, "token", "left")
 
 
 def rgb_key(r: str, g: str, b: str) -> Column:

@@ -7,11 +7,22 @@ from math import ceil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def position(rows: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
-    """Position from 0 in order. Without ``by`` it numbers a list of scenes, which is small; frames are numbered by scene."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return rows.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1)
+    """Position from 0 in order, in each group of ``by``.
+
+    Without ``by`` all rows are numbered: they are dealt to ranges of the order, which are counted and numbered each, so no task
+    has them all.
+    """
+    if by:
+        return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("pos", (F.col("_before") + F.col("_own") - 1).cast("int")).drop("_range", "_own", "_before")
 
 
 def stride(frames: DataFrame, by: list[str], order: str, step: int) -> DataFrame:
@@ -42,7 +53,7 @@ def hash_order(key: str, seed: int):
 
 def split(scenes: DataFrame, key: str, total: int, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Splits of a seeded shuffle at cut points; the last split takes what rounding leaves."""
-    at = scenes.withColumn("pos", F.row_number().over(Window.orderBy(hash_order(key, seed), key)) - 1)
+    at = position(scenes, [hash_order(key, seed), F.col(key)])
     upto = 0.0
     out, names = None, list(shares)
     for n in names[:-1]:

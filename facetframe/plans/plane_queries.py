@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import graph, kernels, metrics, planes
+from ..operators import graph, growth, kernels, metrics, planes
 from ._common import registrar, rounded
 from .fixtures import sql, view
 from .frame_queries import CAMERA, X, Y
@@ -144,8 +144,10 @@ def a24(spark, sf):
 
 @query("a25_depth_range", f"select frame_id, round(quantile_cont(z, 0.9), 6) as p90, round(list_sort(list(z))[cast(floor(count(*) * 0.99) as int) + 1], 6) as p99_sorted from {sql('px_grid')} p group by frame_id")
 def a25(spark, sf):
-    px = view(spark, sf, "px_grid").groupBy("frame_id").agg(F.percentile("z", F.lit(0.9)).alias("p90"), F.sort_array(F.collect_list("z")).alias("zs"))
-    return rounded(px.select("frame_id", "p90", F.get("zs", F.floor(F.size("zs") * 0.99).cast("int")).alias("p99_sorted")))
+    w = Window.partitionBy("frame_id")
+    px = view(spark, sf, "px_grid").select("frame_id", "z", F.row_number().over(w.orderBy("z")).alias("rn"), F.count("*").over(w).alias("n"))
+    at = F.max(F.when(F.col("rn") == F.floor(F.col("n") * 0.99) + 1, F.col("z")))
+    return rounded(px.groupBy("frame_id").agg(F.percentile("z", F.lit(0.9)).alias("p90"), at.alias("p99_sorted")))
 
 
 _COP = f"select a.label, a.plane_id as a_id, b.plane_id as b_id, round(abs(a.d - b.d), 6) as \"offset\" from {PL} a join {PL} b on a.plane_id < b.plane_id and abs(a.d - b.d) <= {{tol}} and a.nx*b.nx + a.ny*b.ny + a.nz*b.nz >= {{cos!r}}"
@@ -163,11 +165,8 @@ def j15b(spark, sf):
 
 @query("j17_signed_offsets", f"select a.plane_id as a_id, b.plane_id as b_id, round(case when a.nx*b.nx + a.ny*b.ny + a.nz*b.nz < 0 then abs(a.d + b.d) else abs(a.d - b.d) end, 6) as gap from {PL} a join {PL} b on a.label = b.label and a.plane_id < b.plane_id and abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) >= {cos(radians(10.0))!r} and case when a.nx*b.nx + a.ny*b.ny + a.nz*b.nz < 0 then abs(a.d + b.d) else abs(a.d - b.d) end <= 0.1")
 def j17(spark, sf):
-    pl = view(spark, sf, "planes_fx")
-    a, b = (pl.select("label", F.col("plane_id").alias(f"{k}_id"), F.col("d").alias(f"{k}d"), *[F.col(f"n{c}").alias(f"{k}{c}") for c in "xyz"]) for k in "ab")
-    dots = G.dot([F.col(f"a{c}") for c in "xyz"], [F.col(f"b{c}") for c in "xyz"])
-    met = a.join(b, "label").where("a_id < b_id").withColumns({"dots": dots, "gap": planes.signed_offset(dots, F.col("ad"), F.col("bd"))})
-    return rounded(met.where((F.abs("dots") >= cos(radians(10.0))) & (F.col("gap") <= 0.1)).select("a_id", "b_id", "gap"))
+    pl = view(spark, sf, "planes_fx").select(F.col("label").alias("group"), F.col("plane_id").alias("label"), *[F.col(f"n{x}").alias(c) for x, c in zip("xyz", "abc", strict=True)], "d")
+    return rounded(growth.segment_pairs(pl, ["group"], 10.0, 0.1).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "gap"))
 
 
 @query("g01_plane_components", f"with recursive e as ({_COP.format(tol=0.05, cos=cos(radians(12.0)))} and a.label = b.label), both_ as (select label, a_id as x, b_id as y from e union select label, b_id, a_id from e), reach as (select label, plane_id as x, plane_id as y from {PL} n union select r.label, r.x, b.y from reach r join both_ b on r.y = b.x and r.label = b.label) select label, x as plane_id, min(y) as component from reach group by all")

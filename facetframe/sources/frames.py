@@ -23,13 +23,24 @@ def exploded(frames: DataFrame, values: list[str]) -> DataFrame:
     return rows.select("scene_id", "frame_id", F.floor(F.col("k") / F.col("w")).cast("int").alias("v"), (F.col("k") % F.col("w")).cast("int").alias("u"), *[F.col(f"p.{c}").alias(c) for c in values])
 
 
-def save(frames: DataFrame, path: str, labels: str | None = None) -> None:
-    """Adds frames to the table at ``path``. A label beyond 16 bits is an error and nothing is written."""
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def save(frames: DataFrame, path: str, labels: str | None = None, files: int = 8) -> None:
+    """Adds the frames that the table at ``path`` does not have yet, so that a save may be repeated.
+
+    A scene's frames go to ``files`` files at most, each made by a task. A label beyond 16 bits is an error and nothing is written.
+    """
     if labels:
         worst = F.array_max(labels)
         checked = F.when(worst > LABEL_MOST, F.raise_error(F.concat(F.lit("label overflow in frame "), F.col("frame_id").cast("string")))).otherwise(F.col(labels))
         frames = frames.withColumn(labels, checked)
-    frames.repartition("scene_id").sortWithinPartitions("scene_id", "frame_id").write.mode("append").partitionBy("scene_id").parquet(path)
+    if exists(frames.sparkSession, path):
+        frames = not_yet(frames, path)
+    dealt = frames.repartition("scene_id", F.pmod(F.xxhash64("frame_id"), F.lit(files)))
+    dealt.sortWithinPartitions("scene_id", "frame_id").write.mode("append").partitionBy("scene_id").parquet(path)
 
 
 def read(spark: SparkSession, path: str, scenes: list | None = None) -> DataFrame:
@@ -39,9 +50,9 @@ def read(spark: SparkSession, path: str, scenes: list | None = None) -> DataFram
 
 
 def not_yet(frames: DataFrame, path: str) -> DataFrame:
-    """Frames whose scene is not in the table at ``path``: what a run that is resumed has left to do."""
-    done = frames.sparkSession.read.parquet(path).select("scene_id").distinct()
-    return frames.join(done, "scene_id", "left_anti")
+    """Frames that are not in the table at ``path``: what a run that is resumed has left to do."""
+    done = frames.sparkSession.read.parquet(path).select(F.col("scene_id").cast(frames.schema["scene_id"].dataType).alias("scene_id"), "frame_id")
+    return frames.join(done, ["scene_id", "frame_id"], "left_anti")
 
 
 def half(column: str) -> F.Column:
