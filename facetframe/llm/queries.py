@@ -8,6 +8,7 @@ from ._common import table
 from .chat import formatted
 from .decontaminate import overlaps
 from .langid import identify
+from .manifest import manifest
 from .minhash import near_duplicates
 from .mixing import mixed
 from .quality import quality
@@ -58,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -69,4 +74,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }

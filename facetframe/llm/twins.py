@@ -46,4 +46,29 @@ NEAR = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coal
     r as (select doc_id as node, doc_id as seen from documents union select r.node, w.b from r join both_ways w on r.seen = w.a)
     select g.doc_id, len(g.gs)::bigint as n_shingles, c.component_id, g.doc_id = c.component_id as kept from g join (select node, min(seen) as component_id from r group by node) c on c.node = g.doc_id"""
 
-ORACLE_SQL = {"op1_minhash_near_dedup": NEAR, "op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY}
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({0}::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c}::varchar end" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _levels(leaves: str, name: str) -> str:
+    return f"""{name} as (select k, 0 as lv, i, h, (count(*) over (partition by k))::bigint as w from {leaves}
+    union all (select k, lv + 1, i // 2, sha256(string_agg(h, '' order by i)), ((w + 1) // 2)::bigint from {name} where w > 1 group by k, lv, i // 2, w))"""
+
+
+MERKLE = f"""with recursive d as (select doc_id, case when lang is null then '' else '=' || lang end as k, {_leaf('n_chars')} as leaf, case when {_CRC.format('doc_id')} % 7 = 0 then {_leaf('(n_chars + 1)')} else {_leaf('n_chars')} end as claim from documents),
+    p as (select *, (row_number() over (partition by k order by doc_id nulls first, leaf) - 1)::bigint as i from d), pl as (select k, i, leaf as h from p),
+    {_levels('pl','t')},
+    s as (select k as own, h from t where w = 1), sl as (select 'all' as k, (row_number() over (order by own) - 1)::bigint as i, own, h from s),
+    {_levels('sl','c')},
+    steps as (select p.k, p.i as leaf_i, t.lv, (p.i >> t.lv) & 1 as odd, o.h from p join (select distinct k, lv from t where w > 1) t on t.k = p.k left join t o on o.k = p.k and o.lv = t.lv and o.i = xor(p.i >> t.lv, 1)
+        union all select p.k, p.i, 1000 + t.lv, (sl.i >> t.lv) & 1, o.h from p join sl on sl.own = p.k cross join (select distinct lv from c where w > 1) t left join c o on o.lv = t.lv and o.i = xor(sl.i >> t.lv, 1)),
+    ways as (select k, leaf_i, list(coalesce(h, '') order by lv) as hs, list(odd order by lv) as odds from steps group by 1, 2),
+    q as (select p.*, coalesce(hs, []) as hs, coalesce(odds, []) as odds from p left join ways w on w.k = p.k and w.leaf_i = p.i)
+    select doc_id, leaf, s.h as subroot, c.h as root, sha256(array_to_string(hs, '')) as proof_sha256,
+    list_reduce(list_concat([claim], list_transform(range(1, len(hs) + 1), lambda j: odds[j] || hs[j])), lambda a, b: case when b[1] = '1' then sha256(b[2:] || a) else sha256(a || b[2:]) end) as folded_root,
+    folded_root = c.h as verified from q join s on s.own = q.k, c where c.w = 1"""
+
+ORACLE_SQL = {"op1_minhash_near_dedup": NEAR, "op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY, "op12_merkle_manifest": MERKLE}

