@@ -12,8 +12,10 @@ from .manifest import manifest
 from .minhash import near_duplicates
 from .mixing import mixed
 from .quality import quality
+from .quantize import quantized
 from .secrets import secrets
 from .sharding import byte_balanced
+from .simhash import near_duplicates as simhash_duplicates
 from .tokens import token_counts
 from .toxicity import toxicity
 from .twins import ORACLE_SQL as ORACLE_SQL
@@ -59,10 +61,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -74,5 +84,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }

@@ -71,4 +71,25 @@ MERKLE = f"""with recursive d as (select doc_id, case when lang is null then ''
     list_reduce(list_concat([claim], list_transform(range(1, len(hs) + 1), lambda j: odds[j] || hs[j])), lambda a, b: case when b[1] = '1' then sha256(b[2:] || a) else sha256(a || b[2:]) end) as folded_root,
     folded_root = c.h as verified from q join s on s.own = q.k, c where c.w = 1"""
 
-ORACLE_SQL = {"op1_minhash_near_dedup": NEAR, "op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY, "op12_merkle_manifest": MERKLE}
+
+def _codes() -> str:
+    """Seven assignments and six updates, one common table each."""
+    near = lambda r: f"select rn, j, min(list_sum(list_transform(range(1, w + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::bigint * 16 + e) as m from p join c{r} c using (j) group by rn, j"
+    steps = []
+    for r in range(7):
+        steps.append(f"a{r} as materialized ({near(r)})")
+        if r < 6:
+            means = f"select j, m % 16 as e, i, sum(x[i]) as s, count(*) as n from (select a.j, a.m, p.x, unnest(range(1, p.w + 1)) as i from a{r} a join p using (rn, j)) group by all"
+            steps.append(f"u{r} as materialized (select j, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from ({means}) group by all), c{r + 1} as materialized (select c.j, c.e, coalesce(u.x, c.x) as x from c{r} c left join u{r} u using (j, e))")
+    return f"""with k as materialized (select *, row_number() over (order by vec_id nulls last, embedding) as rn from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    v as materialized (select rn, len(embedding) // 8 as w, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as z from k),
+    p as materialized (select rn, w, j, z[j * w + 1:j * w + w] as x from v, (select unnest(range(8)) as j) parts),
+    c0 as materialized (select j, rn - 1 as e, x from p where rn <= 16), {", ".join(steps)},
+    f as (select rn, string_agg(printf('%02x', (m % 16)::int), '' order by j) as code, sum(m // 16)::bigint as error from a6 group by rn),
+    b as (select sha256(string_agg(t::varchar, ',' order by j, e, i)) as codebooks_sha256 from (select j, e, unnest(x) as t, unnest(range(len(x))) as i from c6))
+    select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from k join f using (rn), b"""
+
+
+CODES = _codes()
+
+ORACLE_SQL = {"op1_minhash_near_dedup": NEAR, "op3_chat_format": CHAT, "op5_mix_sources": MIX, "op10_quality_rules": QUALITY, "op11_vector_codes": CODES, "op12_merkle_manifest": MERKLE}

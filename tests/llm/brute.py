@@ -259,3 +259,73 @@ def merkle(rows):
                 node = h(other + node if right else node + other)
             out.append((row[0], own, trees[j][-1][0], top[-1][0], h("".join(x for _, x in path)), node, node == top[-1][0]))
     return sorted(out, key=str)
+
+
+def simhash(text):
+    """The fingerprint of a text, bit by bit."""
+    import re
+
+    import xxhash
+
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not ws:
+        return 0
+    shingles = [" ".join(ws[k : k + 4]) for k in range(len(ws) - 3)] or [" ".join(ws)]
+    hashed = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
+def simhash_groups(rows):
+    """(doc_id, text) rows to sorted (doc_id, fingerprint, component_id), by all pairs."""
+    prints = [simhash(t) for _, t in rows]
+    distinct = sorted(set(prints))
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(distinct):
+        for y in distinct[:k]:
+            if (x ^ y).bit_count() <= 4:
+                root[find(x)] = find(y)
+    least = {}
+    for (doc, _), x in zip(rows, prints, strict=True):
+        if doc is not None:
+            least[find(x)] = min(doc, least.get(find(x), doc))
+    return sorted(((doc, f"{x:016x}", least.get(find(x))) for (doc, _), x in zip(rows, prints, strict=True)), key=str)
+
+
+def vector_codes(rows, rounds=6, entries=16, parts=8):
+    """(vec_id, embedding, label) rows to sorted (vec_id, code, error, label_error, codebooks_sha256), every distance taken."""
+    import hashlib
+    import math
+
+    kept = [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    whole = [[math.floor(4096 * x) for x in r[1]] for r in kept]
+    if not kept:
+        return []
+    w = len(whole[0]) // parts
+    cut = [[v[j * w : (j + 1) * w] for j in range(parts)] for v in whole]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[cut[k][j] for k in first] for j in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+
+    def assigned():
+        return [[min(range(len(books[j])), key=lambda e: (far(v[j], books[j][e]), e)) for j in range(parts)] for v in cut]
+
+    for _ in range(rounds):
+        codes = assigned()
+        for j in range(parts):
+            for e in range(len(books[j])):
+                own = [v[j] for v, c in zip(cut, codes, strict=True) if c[j] == e]
+                if own:
+                    books[j][e] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    codes = assigned()
+    errors = [sum(far(v[j], books[j][c[j]]) for j in range(parts)) for v, c in zip(cut, codes, strict=True)]
+    totals = {}
+    for r, error in zip(kept, errors, strict=True):
+        totals[r[2]] = totals.get(r[2], 0) + error
+    digest = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    return sorted(((r[0], "".join(f"{c:02x}" for c in code), error, totals[r[2]], digest) for r, code, error in zip(kept, codes, errors, strict=True)), key=str)

@@ -24,8 +24,8 @@ def made(n):
 AWKWARD = [(None, None, None, None, None), (None, "s", None, 1, ""), (7, "s", "en", 2**63 - 1, "x" * 2_000_000), (7, "s", "en", 5, "é\u0000\U0001f600"), (-3, "", "", -1, " ")]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 130])
-@pytest.mark.parametrize("levels", [1, 2, 10])
+@pytest.mark.parametrize("n", [0, 1, 3, 130])
+@pytest.mark.parametrize("levels", [2, 10])
 def test_manifest_equals_plain_tree(spark, n, levels):
     """Trees of any size, null and empty langs, in blocks that end at and between their levels."""
     rows = made(n)
