@@ -48,9 +48,12 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
-_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPES = re.compile(f"(?:{_ONE.pattern})+")
+_BYTE = re.compile(rb"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})")
 _BASE64 = "A-Za-z0-9+/_-"
+#: Runs over line ends. They begin where no run goes on, so that each is looked at once.
+_LINES = re.compile(rf"(?<![{_BASE64}])[{_BASE64}]++(?:\r?\n[{_BASE64}]++)++={{0,2}}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,7 +70,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: One character of UTF-8, or one byte that is of none.
 _CHARACTER = re.compile(rb"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}|[\x80-\xFF]")
 _READABLE = re.compile(rb"(?:[\x09-\x0D\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+")
-_PACKED = re.compile(rb"\x1F\x8B\x08|BZh[1-9]|\xFD7zXZ\x00|\x78[\x01\x5E\x9C\xDA]")
+#: Heads of zlib streams: deflate, a window of 32 KB at most, no dictionary, both bytes divisible by 31.
+_ZLIB = frozenset(bytes([a, b]) for a in range(0x08, 0x88, 0x10) for b in range(256) if (256 * a + b) % 31 == 0 and not b & 0x20)
+_PACKED = re.compile(rb"\x1F\x8B\x08|BZh[1-9]|\xFD7zXZ\x00|" + b"|".join(map(re.escape, sorted(_ZLIB))))
 #: Bytes of the shortest match of a kind (token=123456), and so of a stretch that is looked at amid others.
 LEAST = 12
 
@@ -78,7 +83,7 @@ def _readable(raw: bytes) -> list[tuple[int, str]]:
 
 
 def _opener(raw, memory: int):
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+    if raw[:2] == b"\x1f\x8b" or bytes(raw[:2]) in _ZLIB:
         return zlib.decompressobj(47)
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -187,12 +192,13 @@ def _percent(run: str) -> Decoded:
     return "".join(c.decode("utf-8", "replace") for c in found), [0, *ends[:-1]], ends
 
 
-def _unescaped(run: str) -> Decoded | None:
+def _unescaped(run: str) -> Decoded:
+    """Codes that are of no character, lone surrogates and those beyond the last one, stand for a replacement character."""
     codes: list[int] = []
     first: list[int] = []
     last: list[int] = []
     for m in _ONE.finditer(run):
-        code = int(m[1] or m[2] or m[3], 16)
+        code = int(m[m.lastindex], 10 if m.lastindex == 7 else 16)
         if codes and 0xDC00 <= code < 0xE000 and 0xD800 <= codes[-1] < 0xDC00:
             codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
             last[-1] = m.end()
@@ -200,17 +206,39 @@ def _unescaped(run: str) -> Decoded | None:
             codes.append(code)
             first.append(m.start())
             last.append(m.end())
-    return None if any(0xD800 <= c < 0xE000 or c > 0x10FFFF for c in codes) else ("".join(map(chr, codes)), first, last)
+    return "".join("\ufffd" if 0xD800 <= c < 0xE000 or c > 0x10FFFF else chr(c) for c in codes), first, last
+
+
+def _packed(layer: Layer, lo: int, hi: int, p: SecretScan, seen: set[bytes]) -> Iterator[tuple[Layer, bool]]:
+    """Layers below compressed streams whose bytes are written as codes, or as themselves, in the stretch lo..hi."""
+    text, start, end = layer
+    plain = text[lo:hi].encode("utf-8", "replace")
+    raw = _BYTE.sub(lambda m: bytes([int(m[m.lastindex], 16)]), plain)
+    heads = [m.start() for m in _PACKED.finditer(raw)]
+    if not heads:
+        return
+    # where each byte of the stretch, and so of what it stands for, is in the text
+    of_byte = np.repeat(np.arange(lo, hi), [len(c.encode("utf-8", "replace")) for c in text[lo:hi]])
+    size = np.ones(len(plain), np.int64)
+    for m in _BYTE.finditer(plain):
+        size[m.start() + 1 : m.end()] = 0
+    place = of_byte[np.flatnonzero(size)]
+    for head in heads:
+        for inner, many in unwrap(memoryview(raw)[head:], p, seen):
+            if many or len(inner) >= LEAST // 4:
+                yield (inner, np.broadcast_to(start[place[head]], len(inner)), np.broadcast_to(end[hi - 1], len(inner))), many
 
 
 def _inner(layer: Layer, p: SecretScan) -> Iterator[tuple[Layer, bool]]:
     """Layers that one layer wraps, and whether it was read in pieces. Base64 is read within a line and over lines."""
     text, start, end = layer
-    for mark, runs, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPES, _unescaped)):
-        for lo, hi in _stretches(text, runs) if mark in text else []:
+    unpacked: set[bytes] = set()
+    for marks, runs, decode in ((("%",), _PERCENT, _percent), (("\\", "%u", "&#"), _ESCAPES, _unescaped)):
+        for lo, hi in _stretches(text, runs) if any(k in text for k in marks) else []:
             if got := _replaced(layer, lo, hi, runs, decode):
                 yield got, False
-    for pattern in (rf"[{_BASE64}]{{{p.run},}}={{0,2}}", rf"[{_BASE64}]+(?:\r?\n[{_BASE64}]+)+={{0,2}}"):
+            yield from _packed(layer, lo, hi, p, unpacked)
+    for pattern in (rf"[{_BASE64}]{{{p.run},}}+={{0,2}}", _LINES):
         for m in re.finditer(pattern, text):
             place = np.flatnonzero(~np.isin(np.frombuffer(m[0].encode(), np.uint8), (10, 13))) + m.start()
             if len(place) < p.run:
@@ -263,7 +291,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 _CLASS = np.ones(256, bool)  # outside base64
 _CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"]] = False
 _MARKS = np.zeros(256, bool)
-_MARKS[[*b":=%\\"]] = True
+_MARKS[[*b":=%\\&"]] = True
 
 
 def _wanted(data: np.ndarray, offsets: np.ndarray, p: SecretScan) -> np.ndarray:
@@ -306,7 +334,8 @@ def secrets(docs: DataFrame, p: SecretScan = SecretScan()) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored. The counts and the digest are of the plain matches in the
     text, leftmost and not overlapping for each kind; spans has these and those mapped from decoded layers, as
     ``kind:start:end`` in code points of the text, by start, kind and end, each once. A null text is an empty one: no span,
-    the digest of nothing. Repeated rows are scanned each. An empty table gives an empty table.
+    the digest of nothing. The time taken grows with the text, whatever its runs are. UTF-16 inside base64, bare LZMA streams and streams with
+    a preset dictionary are not read. Repeated rows are scanned each. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text"))
