@@ -151,3 +151,19 @@ def bilinear_resize(px: DataFrame, height: int, width: int, new_height: int, new
     tv, tu = taps(new_height, height, "nv"), taps(new_width, width, "nu")  # at most two rows a line or column of the new raster
     rows = px.join(F.broadcast(tv), px["v"] == tv["nv_src"]).join(F.broadcast(tu), px["u"] == tu["nu_src"])
     return rows.groupBy(*FRAME, F.col("nv").alias("v"), F.col("nu").alias("u")).agg(F.sum(F.col(value) * F.col("nv_w") * F.col("nu_w")).alias(value))
+
+
+def area_resize(px: DataFrame, height: int, width: int, new_height: int, new_width: int, value: str) -> DataFrame:
+    """Raster at another size by the mean over the box that each new pixel covers; old pixels count by the share of them inside it.
+
+    The shares of both axes are small tables of at most old + new rows, joined to the pixels; the mean of a raster stays what it was.
+    """
+    def shares(new: int, old: int, name: str) -> DataFrame:
+        at = px.sparkSession.range(new).select(F.col("id").cast("int").alias(name), (F.col("id") * old / new).alias("lo"), ((F.col("id") + 1) * old / new).alias("hi"))
+        each = at.select("*", F.explode(F.sequence(F.floor("lo").cast("int"), F.least(F.ceil("hi").cast("int") - 1, F.lit(old - 1)))).alias(f"{name}_src"))
+        inside = F.least("hi", F.col(f"{name}_src") + 1.0) - F.greatest("lo", F.col(f"{name}_src") + 0.0)
+        return each.select(name, f"{name}_src", (inside * new / old).alias(f"{name}_w")).where(F.col(f"{name}_w") > 1e-12)
+
+    tv, tu = shares(new_height, height, "nv"), shares(new_width, width, "nu")
+    rows = px.join(F.broadcast(tv), px["v"] == tv["nv_src"]).join(F.broadcast(tu), px["u"] == tu["nu_src"])
+    return rows.groupBy(*FRAME, F.col("nv").alias("v"), F.col("nu").alias("u")).agg(F.sum(F.col(value) * F.col("nv_w") * F.col("nu_w")).alias(value))
