@@ -56,6 +56,19 @@ def _thinned(keys: list[str]):
     return run
 
 
+def composed(maps: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One map (keys, at, up) for ``maps`` that are taken one after the other; a node without an entry stays as it is.
+
+    Made from the last to the first, so each join has the rows of one map and of those after it, and no round touches all nodes.
+    """
+    out = maps[-1]
+    for first in reversed(maps[:-1]):
+        then = out.select(*keys, F.col("at").alias("up"), F.col("up").alias("then"))
+        moved = first.join(then, [*keys, "up"], "left").select(*keys, "at", F.coalesce("then", "up").alias("up"))
+        out = moved.union(out.join(first.select(*keys, "at"), [*keys, "at"], "left_anti").select(*keys, "at", "up"))
+    return out
+
+
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a: str, b: str) -> DataFrame:
     """Component (its smallest node) of every node, within each key (a scene or a frame).
 
@@ -66,19 +79,24 @@ def components(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str, a
     ship(nodes.sparkSession)
     apart = pairs.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
     left = written(apart.mapInPandas(_thinned(keys), apart.schema).distinct())
-    labels = nodes.select(*keys, node).distinct().withColumn("component", F.col(node))
-    rounds = 0
+    maps: list[DataFrame] = []
     while not left.isEmpty():
         ends = left.select(*keys, F.explode(F.array(*[F.struct(F.col(p).alias("at"), F.col(q).alias("other")) for p in "xy" for q in "xy"])).alias("e")).select(*keys, "e.*")
-        order = F.xxhash64("other", F.lit(rounds)) if rounds else F.col("other")
+        order = F.xxhash64("other", F.lit(len(maps))) if maps else F.col("other")
         up = written(ends.groupBy(*keys, "at").agg(F.min_by("other", order).alias("up")))
-        rounds += 1
+        maps.append(up)
         of = lambda end: up.select(*keys, F.col("at").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
         moved = left.join(of("x"), [*keys, "x"]).join(of("y"), [*keys, "y"]).where("up_x <> up_y")
         left = written(moved.select(*keys, F.least("up_x", "up_y").alias("x"), F.greatest("up_x", "up_y").alias("y")).distinct())
-        labels = labels.join(up.withColumnRenamed("at", "component"), [*keys, "component"], "left").select(*keys, node, F.coalesce("up", "component").alias("component"))
-    least = labels.groupBy(*keys, "component").agg(F.min(node).alias("least"))
-    return labels.join(least, [*keys, "component"]).select(*keys, node, F.col("least").alias("component"))
+    every = nodes.select(*keys, node).distinct()
+    if not maps:
+        return every.withColumn("component", F.col(node))
+    named = composed(maps, keys)
+    if len(maps) > 1:  # the first round alone ends at the least node
+        named = written(named)
+        least = named.groupBy(*keys, "up").agg(F.least(F.min("at"), F.first("up")).alias("least"))
+        named = named.join(least, [*keys, "up"]).select(*keys, "at", F.col("least").alias("up"))
+    return every.join(named.withColumnRenamed("at", node), [*keys, node], "left").select(*keys, node, F.coalesce("up", node).alias("component"))
 
 
 def pixel_components(px: DataFrame, mask: str = "connected", eight: bool = True) -> DataFrame:

@@ -130,9 +130,21 @@ def f16b(spark, sf):
     return rounded(stencil.bilinear_resize(_frames(spark, sf), 24, 32, 12, 20, "z"))
 
 
-_SOB = "(select * from (values (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)) t(dv,du,wa,wb))"
-_W1 = f"""g1 as (select scene_id, frame_id, v - dv as v, u - du as u, sum(wa*nx) as ax, sum(wa*nz) as az, sum(wb*nx) as bx, sum(wb*nz) as bz from px, {_SOB} o group by all),
-    w1 as (select px.scene_id, px.frame_id, px.v, px.u, sqrt(ax*ax + az*az + bx*bx + bz*bz) as gradient from px join g1 using (scene_id, frame_id, v, u))"""
+_ROW, _COLUMN = "(partition by scene_id, frame_id, v order by u)", "(partition by scene_id, frame_id, u order by v)"
+
+
+def _step(c: str, over: str) -> str:
+    return f"lead({c}, 1, 0) over {over} - lag({c}, 1, 0) over {over}"
+
+
+def _mean(c: str, over: str) -> str:
+    return f"lead({c}, 1, 0) over {over} + 2 * {c} + lag({c}, 1, 0) over {over}"
+
+
+# the two gradients as a difference along one axis and a mean along the other; frames are whole rasters, outside is 0
+_W1 = f"""r1 as (select *, {_step('nx', _ROW)} as dx, {_step('nz', _ROW)} as dz, {_mean('nx', _ROW)} as mx, {_mean('nz', _ROW)} as mz from px),
+    g1 as (select *, {_mean('dx', _COLUMN)} as ax, {_mean('dz', _COLUMN)} as az, {_step('mx', _COLUMN)} as bx, {_step('mz', _COLUMN)} as bz from r1),
+    w1 as (select scene_id, frame_id, v, u, sqrt(ax*ax + az*az + bx*bx + bz*bz) as gradient from g1)"""
 
 
 @query("w01_normal_gradient", f"with px as (select * from {PX} p), {_W1} select {KEY}, round(gradient, 6) as gradient from w1")
@@ -140,10 +152,14 @@ def w01(spark, sf):
     return rounded(stencil.normal_gradient(_frames(spark, sf)).select("scene_id", "frame_id", "v", "u", "gradient"))
 
 
+def _moved(c: str, by: int, over: str) -> str:
+    return c if by == 0 else f"{'lead' if by > 0 else 'lag'}({c}, {abs(by)}) over {over}"
+
+
+_NEIGHBOURS = " + ".join(f"coalesce((abs(z - {_moved(f'e{du + 2}', dv, _COLUMN)}) < 0.025 * z)::int, 0)" for dv in range(-2, 3) for du in range(-2, 3) if dv or du)
 _W2 = f"""with px as (select * from {PX} p), {_W1}, f as (select px.*, gradient <= {sqrt(2 - 2 * cos(radians(5.0)))!r} as smooth from px join w1 using (scene_id, frame_id, v, u)),
-    o as (select a.i - 2 as dv, b.i - 2 as du from (select unnest(range(5))::int as i) a, (select unnest(range(5))::int as i) b where a.i <> 2 or b.i <> 2),
-    s as (select scene_id, frame_id, v - dv as v, u - du as u, z as other from f, o where planarity > 0.3 and smooth),
-    c as (select f.scene_id, f.frame_id, f.v, f.u, count(*) as n from f join s using (scene_id, frame_id, v, u) where f.planarity > 0.3 and abs(f.z - s.other) < 0.025 * f.z group by all)"""
+    s as (select *, case when planarity > 0.3 and smooth then z end as e from f), r as (select *, {', '.join(f"{_moved('e', du, _ROW)} as e{du + 2}" for du in range(-2, 3))} from s),
+    t as (select *, ({_NEIGHBOURS})::bigint as n from r), c as (select scene_id, frame_id, v, u, n from t where planarity > 0.3)"""
 
 
 @query("w02_connected_pixels", f"{_W2} select f.scene_id, f.frame_id, f.v, f.u, coalesce(c.n, 0) as neighbours, coalesce(c.n, 0) >= 8 as connected from f left join c on f.scene_id = c.scene_id and f.frame_id = c.frame_id and f.v = c.v and f.u = c.u")

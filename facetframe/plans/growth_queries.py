@@ -138,9 +138,9 @@ def j16(spark, sf):
     return rounded(growth.merge_outdoor(cloud, planes.fit(cloud, SEGMENT), FRAME, 0.3, 2.0, 0.0), digits=4)
 
 
-@query("j18_near_in_space", f"select distinct a.scene_id, a.frame_id, a.label as a, b.label as b from {GRID} a join {GRID} b on a.scene_id = b.scene_id and a.frame_id = b.frame_id and a.label < b.label where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.67")
+@query("j18_near_in_space", f"select distinct a.scene_id, a.frame_id, a.label as a, b.label as b from {GRID} a join {GRID} b on a.scene_id = b.scene_id and a.frame_id = b.frame_id and a.label < b.label where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.75")
 def j18(spark, sf):
-    return growth.near_in_space(_cloud(spark, sf), FRAME, 0.67)
+    return growth.near_in_space(_cloud(spark, sf), FRAME, 0.75)
 
 
 @query("j22_euclidean_depth", f"""with {_SH}, t as (select scene_id, fid, x0-2.5 as x0, y0-2.5 as y0, z0+6 as z0, x1-2.5 as x1, y1-2.5 as y1, z1+6 as z1, x2-2.5 as x2, y2-2.5 as y2, z2+6 as z2 from sh),

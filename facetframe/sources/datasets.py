@@ -25,7 +25,7 @@ def split_scenes(spark: SparkSession, path: str, most: int | None = None) -> Dat
 
 def _of(table: DataFrame, scenes: DataFrame | None) -> DataFrame:
     named = table.withColumn("scene_id", F.col("scene_id").cast("long"))
-    return named if scenes is None else named.join(F.broadcast(scenes.select(F.col("scene").cast("long").alias("scene_id"))), "scene_id", "left_semi")
+    return named if scenes is None else named.join(scenes.select(F.col("scene").cast("long").alias("scene_id")), "scene_id", "left_semi")
 
 
 def indoor(spark: SparkSession, root: str, split: str, need_planes: bool = True, most: int | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def outdoor(spark: SparkSession, root: str, samples: int | None = None) -> DataF
     if "c2w" not in rows.columns:
         rows = rows.withColumn("c2w", F.lit(None).cast("array<double>"))
     camera = spark.read.schema("scene_id long, fx double, fy double, cx double, cy double").json(f"{root}/attributes")
-    rows = rows.join(F.broadcast(camera), "scene_id").withColumn("c2w", F.coalesce("c2w", F.lit(IDENTITY)))
+    rows = rows.join(camera, "scene_id").withColumn("c2w", F.coalesce("c2w", F.lit(IDENTITY)))
     return rows if samples is None else sampling.linspace(rows, "frame_id", samples, ["scene_id"]).drop("pos")
 
 
@@ -89,7 +89,7 @@ def mesh_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """
     faces, semantic, legend = (spark.read.parquet(f"{root}/{n}") for n in ("faces", "semantics", "names"))
     base = faces.groupBy("scene_id").agg(F.when(F.min(F.least("a", "b", "c")) == 1, 1).otherwise(0).alias("base"))
-    shifted = faces.join(F.broadcast(base), "scene_id").select("scene_id", "fid", *[(F.col(c) - F.col("base")).alias(f"v{k}") for k, c in enumerate("abc")])
-    named = shifted.join(semantic, ["scene_id", "fid"], "left").join(F.broadcast(legend), "semantic", "left").select("scene_id", "fid", "v0", "v1", "v2", F.coalesce("name", F.lit("unannotated")).alias("name"))
+    shifted = faces.join(base, "scene_id").select("scene_id", "fid", *[(F.col(c) - F.col("base")).alias(f"v{k}") for k, c in enumerate("abc")])
+    named = shifted.join(semantic, ["scene_id", "fid"], "left").join(legend, "semantic", "left").select("scene_id", "fid", "v0", "v1", "v2", F.coalesce("name", F.lit("unannotated")).alias("name"))
     counts = named.groupBy("name").agg(F.count("*").alias("face_count"))
     return named, counts
