@@ -110,7 +110,8 @@ def g11(spark, sf):
 
 @query("g12_split_pass")
 def g12(spark, sf):
-    return extraction.by_parts(*_low(spark, sf), COARSE, 4, 10, 2)
+    shapes, near = _low(spark, sf)
+    return extraction.by_parts(shapes.withColumn("label_int", F.lit(0)), near, COARSE, 4, 20, 2)
 
 
 @query("g13_guarded_leftovers")
