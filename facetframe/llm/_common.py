@@ -7,13 +7,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
 
-#: Rows up to which a table of ids or hashes may be broadcast (at most a few dozen MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of ids or hashes may be broadcast (a few MB, which the driver holds twice).
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """As ``cut``; the rows are counted as they are written, so that ``rows_of`` takes no job of its own."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    table._rows = seen.get["rows"]
+    return table
+
+
+def rows_of(table: DataFrame) -> int:
+    """Rows of a table made by ``counted``; those of any other are counted now."""
+    known = getattr(table, "_rows", None)
+    return table.count() if known is None else known
+
+
 def place_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared file or folder, for tasks."""
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
@@ -47,9 +61,9 @@ def forget(*tables: DataFrame | None) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` stay within ``most``; else the join shuffles."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its ``rows``, counted if not given, stay within ``most``; else the join shuffles."""
+    return F.broadcast(df) if (rows_of(df) if rows is None else rows) <= most else df
 
 
 def crc_mod(column: str, n: int) -> F.Column:
@@ -76,8 +90,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     Only keys of the rows to drop are moved: broadcast while few, else both sides shuffle.
     """
-    keys = cut(gone.selectExpr("doc_id as gone_id", "text_hash as gone_hash").distinct())
-    keys = small(keys, keys.count())
+    keys = small(counted(gone.selectExpr("doc_id as gone_id", "text_hash as gone_hash").distinct()))
     same = docs["doc_id"].eqNullSafe(keys["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["gone_hash"])
     return docs.join(keys, same, "left_anti")
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._bytes import trimmed
-from ._common import cut, forget
+from ._common import counted, cut, forget, rows_of
 
-#: Edges that a task thins out at once.
+#: Edges that a task thins out, or ends, at once (16 MB).
 HELD = 1 << 20
 
 
@@ -48,6 +48,15 @@ def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held()
 
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of every node of the edges, ``HELD`` of them at most."""
+    parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches if batch.num_rows]
+    if parts:
+        root, below = _forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        tops = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([below, tops])), pa.array(np.concatenate([root, tops]))], names=["node", "component"])
+
+
 def composed(maps: list[DataFrame]) -> DataFrame:
     """One map (node, component) for ``maps`` that are taken one after the other; a node without an entry stays as it is.
 
@@ -61,34 +70,36 @@ def composed(maps: list[DataFrame]) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", held: int = HELD) -> DataFrame:
     """(node, component) of every node of ``edges`` that has another; the component is its smallest node.
 
     Each task first thins its edges to stars. Each round then points every node to the first of itself and its neighbours, and
-    contracts the edges to those, until none is left. The first round takes the smallest node, which ends stars; the others
-    take a hash of their own, so a share of the nodes goes in each on any graph, long paths too. Nulls and loops
-    are ignored, repeated edges do no harm, and an empty table gives an empty table.
+    contracts the edges to those, until ``held`` are left at most, which one task ends. The first round takes the smallest node,
+    which ends stars; the others take a hash of their own, so a share of the nodes goes in each on any graph, long paths too.
+    Nulls and loops are ignored, repeated edges do no harm, and an empty table gives an empty table.
     """
     ship(edges.sparkSession)
     low, high = F.least(a, b), F.greatest(a, b)
-    apart = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct()
-    left = cut(apart.mapInArrow(trimmed(_thinned), "a long, b long").distinct())
+    apart = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b"))
+    left = counted(apart.mapInArrow(trimmed(_thinned), "a long, b long").distinct())
     steps = []
-    while not left.isEmpty():
+    while rows_of(left) > held:
         ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
         order = F.xxhash64("other", F.lit(len(steps))) if steps else F.col("other")
         up = cut(ends.groupBy("node").agg(F.min_by("other", order).alias("component")))
         steps.append(up)
         of = lambda end: up.select(F.col("node").alias(end), F.col("component").alias(f"up_{end}"))  # noqa: B023, E731
         moved = left.join(of("a"), "a").join(of("b"), "b").where("up_a <> up_b")
-        shorter = cut(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        shorter = counted(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
         forget(left)
         left = shorter
-    if not steps:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if rows_of(left) or not steps:
+        steps.append(counted(left.coalesce(1).mapInArrow(trimmed(_ended), "node long, component long")))
+    forget(left)
+    if len(steps) == 1:
+        return steps[0]
     labels = composed(steps)
-    if len(steps) > 1:  # the first round alone ends at the smallest node
-        labels = labels.join(labels.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
-    labels = cut(labels)
-    forget(left, *steps)
+    # the first map alone ends at the smallest node
+    labels = counted(labels.join(labels.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component")))
+    forget(*steps)
     return labels

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._bytes import mix, shingle_sets, trimmed
-from ._common import cut, forget, settings, small
+from ._common import counted, cut, forget, rows_of, settings, small
 from .graph import components, composed
 
 
@@ -184,8 +184,8 @@ def _grid(found: DataFrame, p: NearDuplicates) -> DataFrame:
     parts = found.groupBy("bucket", "comp").agg(F.count("*").alias("part"), F.sum("weight").alias("load"))
     main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("rest"), F.sum("load").alias("load")).where("rest > 0")
     main = main.select("bucket", "main", F.ceil(F.greatest(F.col("rest") / p.asking, F.col("load") / p.held)).alias("asking"), F.ceil(F.greatest(F.col("n") / p.asked, F.col("load") / p.held)).alias("asked"))
-    main = cut(main)
-    rows = found.join(small(main, main.count()), "bucket").drop("weight")
+    main = counted(main)
+    rows = found.join(small(main), "bucket").drop("weight")
     ask = rows.where("comp <> main").withColumns({"block": F.expr("pmod(xxhash64(node, 1), asking)"), "part": F.explode(F.expr("sequence(0L, asked - 1)")), "asks": F.lit(True)})
     all_ = rows.withColumns({"part": F.expr("pmod(xxhash64(node, 2), asked)"), "block": F.explode(F.expr("sequence(0L, asking - 1)")), "asks": F.lit(False)})
     columns = ["bucket", "block", "part", "node", "comp", "asks"]
@@ -203,13 +203,13 @@ def _merged(found: DataFrame) -> DataFrame:
         parts = found_in.groupBy(*keys, "comp").agg(F.count_distinct("node").alias("part"))
         return parts.groupBy(*keys).agg((F.sum("part") * (F.sum("part") - F.max("part"))).alias("cost"))
 
-    first = cut(found.groupBy("bucket").agg(F.min("node").alias("a")))
-    cluster = components(found.join(small(first, first.count()), "bucket").select("a", F.col("node").alias("b")))
-    found_in = cut(found.join(small(cluster, cluster.count()).select("node", F.col("component").alias("cluster")), "node"))
+    first = counted(found.groupBy("bucket").agg(F.min("node").alias("a")))
+    cluster = components(found.join(small(first), "bucket").select("a", F.col("node").alias("b")))
+    found_in = cut(found.join(small(cluster).select("node", F.col("component").alias("cluster")), "node"))
     apart = cost(["cluster", "bucket"]).groupBy("cluster").agg(F.sum("cost").alias("apart"))
-    one = cut(cost(["cluster"]).join(apart, "cluster").select("cluster", (F.col("cost") <= F.col("apart")).alias("one")))
+    one = counted(cost(["cluster"]).join(apart, "cluster").select("cluster", (F.col("cost") <= F.col("apart")).alias("one")))
     key = F.when(F.col("one"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("bucket"))
-    return cut(found_in.join(small(one, one.count()), "cluster").select(key.alias("bucket"), "node", "comp").distinct())
+    return cut(found_in.join(small(one), "cluster").select(key.alias("bucket"), "node", "comp").distinct())
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -224,12 +224,12 @@ def _rest(found: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicates)
     block = ["bucket", "block", "part"]
     found = _merged(found)
     near = _grid(found.withColumn("weight", F.lit(0)), p).join(sets.select("node", "sketch"), "node").groupBy(*block).applyInArrow(_pairs_in(p, whole=False), "bucket long, node long")
-    near = cut(near.distinct())
-    ids = cut(near.select("node").distinct())
-    n = ids.count()
-    left = cut(found.join(small(near, near.count()), ["bucket", "node"], "left_semi").join(sets.select("node", F.col("n_shingles").alias("weight")).join(small(ids, n), "node", "left_semi"), "node"))
+    near = counted(near.distinct())
+    ids = counted(near.select("node").distinct())
+    n = rows_of(ids)
+    left = counted(found.join(small(near), ["bucket", "node"], "left_semi").join(sets.select("node", F.col("n_shingles").alias("weight")).join(small(ids, n), "node", "left_semi"), "node"))
     held = _grid(left, p).join(_texts(docs, sets, ids, n), "node")
-    return cut(held.groupBy(*block).applyInArrow(_pairs_in(p, whole=True), "a long, b long").distinct())
+    return counted(held.groupBy(*block).applyInArrow(_pairs_in(p, whole=True), "a long, b long").distinct())
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -239,9 +239,9 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicat
     sketches = sets.select("node", "sketch", "n_shingles")
     of = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {p.threshold} * greatest(n_a, n_b)")
-    near = cut(sized.select("a", "b", "comp_a", "comp_b", "sketch_a", "sketch_b").mapInArrow(_alike(p), columns))
+    near = counted(sized.select("a", "b", "comp_a", "comp_b", "sketch_a", "sketch_b").mapInArrow(_alike(p), columns))
     ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts(docs, sets, ids, 2 * near.count())
+    texts = _texts(docs, sets, ids, 2 * rows_of(near))
     both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # rows hold two whole texts
         return cut(both.select("a", "b", "comp_a", "comp_b", "text_a", "text_b").mapInArrow(_linked(p), f"{columns}, linked boolean"))
@@ -250,28 +250,28 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: NearDuplicat
 def _crowded(sets: DataFrame) -> DataFrame:
     """(bucket, node) of all buckets of two or more."""
     rows = sets.select("node", F.explode("bands").alias("bucket"))
-    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    return cut(rows.join(small(shared, shared.count()), "bucket").select("bucket", "node"))
+    shared = counted(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    return cut(rows.join(small(shared), "bucket").select("bucket", "node"))
 
 
 def _asked_pairs(asks: DataFrame, pivot: DataFrame) -> DataFrame:
     """Distinct pairs of the rows ``asks`` (bucket, node, comp) and their bucket's ``pivot`` (bucket, pivot, its)."""
-    ends = asks.join(small(pivot, pivot.count()), "bucket").where("node <> pivot and comp <> its").select(F.struct("node", "comp").alias("x"), F.struct(F.col("pivot").alias("node"), F.col("its").alias("comp")).alias("y"))
+    ends = asks.join(small(pivot), "bucket").where("node <> pivot and comp <> its").select(F.struct("node", "comp").alias("x"), F.struct(F.col("pivot").alias("node"), F.col("its").alias("comp")).alias("y"))
     return ends.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g")).selectExpr("l.node as a", "g.node as b", "l.comp as comp_a", "g.comp as comp_b").distinct()
 
 
 def _labels(sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame | None:
     """(node, component) of the sets that links connect."""
     buckets = _crowded(sets)
-    first = cut(buckets.groupBy("bucket").agg(F.min("node").alias("pivot")).withColumn("its", F.col("pivot")))
+    first = counted(buckets.groupBy("bucket").agg(F.min("node").alias("pivot")).withColumn("its", F.col("pivot")))
     new = _checked(_asked_pairs(buckets.withColumn("comp", F.col("node")), first), sets, docs, p)
     maps, tested = [components(new.where("linked"), "comp_a", "comp_b")], new.select("a", "b")
-    told = cut(buckets.join(small(maps[0], maps[0].count()), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
+    told = cut(buckets.join(small(maps[0]), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
     forget(buckets)
     # the pair of a bucket of two has been checked, and one component has nothing left to connect
     parts = told.groupBy("bucket", "comp").agg(F.count("*").alias("part"))
-    main = cut(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), F.max("part").alias("most")).where("n > 2 and most < n").select("bucket", "main"))
-    open_ = cut(told.join(small(main, main.count()), "bucket"))
+    main = counted(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("part", F.col("comp"))).alias("main"), F.sum("part").alias("n"), F.max("part").alias("most")).where("n > 2 and most < n").select("bucket", "main"))
+    open_ = cut(told.join(small(main), "bucket"))
     forget(told)
     asks = open_.where("comp <> main")
     for k in range(1, p.rounds):
@@ -279,26 +279,26 @@ def _labels(sets: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame |
         if linked <= p.yield_ * checked:
             break
         # the members outside a bucket's largest component are held against one that is in it
-        pivot = cut(open_.where("comp = main").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("pivot"), F.first("main").alias("its")).select("bucket", "pivot"))
-        pivot = cut(asks.groupBy("bucket").agg(F.first("main").alias("its")).join(pivot, "bucket"))
+        pivot = open_.where("comp = main").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("pivot"))
+        pivot = counted(asks.groupBy("bucket").agg(F.first("main").alias("its")).join(pivot, "bucket"))
         new = _checked(_asked_pairs(asks, pivot).join(tested, ["a", "b"], "left_anti"), sets, docs, p)
         tested = tested.union(new.select("a", "b"))
         step = components(new.where("linked"), "comp_a", "comp_b")
-        if step.isEmpty():
+        if not rows_of(step):
             continue
         maps.append(step)
-        n = step.count()
+        n = rows_of(step)
         for end in ("comp", "main"):
             asks = asks.join(small(step.select(F.col("node").alias(end), "component"), n), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-        asks = cut(asks.where("comp <> main"))
-    if not asks.isEmpty():
-        left = cut(asks.select("bucket").distinct())
-        still = open_.join(small(left, left.count()), "bucket", "left_semi")
+        asks = counted(asks.where("comp <> main"))
+    if rows_of(asks):
+        left = counted(asks.select("bucket").distinct())
+        still = open_.join(small(left), "bucket", "left_semi")
         if len(maps) > 1:
-            later = cut(composed(maps[1:]))
-            still = still.join(small(later.select(F.col("node").alias("comp"), "component"), later.count()), "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
+            later = counted(composed(maps[1:]))
+            still = still.join(small(later.select(F.col("node").alias("comp"), "component"), rows_of(later)), "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
         more = _rest(cut(still.select("bucket", "node", "comp")), sets, docs, p)
-        if not more.isEmpty():
+        if rows_of(more):
             maps.append(components(more))
     return composed(maps)
 
@@ -316,17 +316,17 @@ def grouped(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     own = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch"), order).alias("own")
     sets = cut(signed.where("set_key is not null").groupBy("set_key").agg(own).select(F.monotonically_increasing_id().alias("node"), "set_key", "own.*"))
-    labels = cut(_labels(sets, docs, p))
-    node_of = sets.select("node", "set_key", F.col("doc_id").alias("least")).join(small(labels, labels.count()), "node", "left").select("set_key", F.coalesce("component", "node").alias("group"))
+    labels = counted(_labels(sets, docs, p))
+    node_of = sets.select("node", "set_key", F.col("doc_id").alias("least")).join(small(labels), "node", "left").select("set_key", F.coalesce("component", "node").alias("group"))
     told = cut(signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(node_of, "set_key", "left").drop("set_key"))
     # rows of one doc_id with unlike sets unite the groups of those
     split = told.where("doc_id is not null and group is not null").groupBy("doc_id").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    again = cut(told.where("group is not null").join(split, "doc_id").select(F.col("low").alias("a"), F.col("group").alias("b")).distinct())
-    if not again.isEmpty():
+    again = counted(told.where("group is not null").join(split, "doc_id").select(F.col("low").alias("a"), F.col("group").alias("b")).distinct())
+    if rows_of(again):
         united = components(again)
-        told = told.join(small(united, united.count()), told["group"] == united["node"], "left").withColumn("group", F.coalesce("component", "group")).drop("node", "component")
-    least = cut(told.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    return told.join(small(least, least.count()), "group", "left").select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+        told = told.join(small(united), told["group"] == united["node"], "left").withColumn("group", F.coalesce("component", "group")).drop("node", "component")
+    least = counted(told.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    return told.join(small(least), "group", "left").select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -353,11 +353,11 @@ def deduplicated(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataF
     rows = cut(grouped(docs, p))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     chosen = rows.where("group is not null").groupBy("group").agg(F.min(key).alias("key"), F.count("*").alias("rows")).where("rows > 1").select("group", "key")
-    chosen = cut(chosen)
-    told = rows.join(small(chosen, chosen.count()), "group").withColumn("stays", F.col("key") == key)
+    chosen = counted(chosen)
+    told = rows.join(small(chosen), "group").withColumn("stays", F.col("key") == key)
     told = told.union(rows.where("group is null and doc_id is not null").withColumns({"key": key, "stays": F.lit(True)}).select(told.columns))
-    keys = cut(told.groupBy(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"))
-    keys = small(keys, keys.count())
+    keys = counted(told.groupBy(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"))
+    keys = small(keys)
     same = docs["doc_id"].cast("long").eqNullSafe(keys["its_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["its_hash"])
     once = docs.join(keys, same, "left_anti")
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
