@@ -51,6 +51,14 @@ def backproject(p: Pinhole, z: str = "z", u: str = "u", v: str = "v", origin: in
     return _posed(p, x, -y if up else y, depth)
 
 
+def row_backproject(z: str = "z", u: str = "u", v: str = "v") -> list[Column]:
+    """World x, y, z of a pixel whose row has its camera: fx, fy, cx, cy, and the pose ``c2w`` (16 numbers, rows first)."""
+    depth = F.col(z)
+    x, y = (F.col(u) - F.col("cx")) * depth / F.col("fx"), (F.col(v) - F.col("cy")) * depth / F.col("fy")
+    at = lambda k: F.get("c2w", F.lit(k))
+    return [x * at(4 * r) + y * at(4 * r + 1) + depth * at(4 * r + 2) + at(4 * r + 3) for r in range(3)]
+
+
 def ray_length(p: Pinhole, u: str = "u", v: str = "v") -> Column:
     """Length of a pixel's ray for depth 1."""
     x, y = (F.col(u) - p.cx) / p.fx, (F.col(v) - p.cy) / p.fy

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_scene(frames: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean of each metric over the frames of a scene (NaN and null left out) and the number of frames."""
-    return frames.groupBy("scene_id").agg(F.count("*").alias("num_frames"), *[F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))).alias(m) for m in metrics])
+def by_scene(frames: DataFrame, metrics: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of each metric over the frames of a scene (NaN and null left out) and the number of frames, within ``keys``."""
+    return frames.groupBy(*keys, "scene_id").agg(F.count("*").alias("num_frames"), *[F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))).alias(m) for m in metrics])
 
 
-def dataset(scenes: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean and sample deviation of the scene means; a frame's weight depends on its scene's size."""
+def dataset(scenes: DataFrame, metrics: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and sample deviation of the scene means, within ``keys``; a frame's weight depends on its scene's size."""
     stats = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
-    return scenes.agg(F.count("*").alias("num_scenes"), F.sum("num_frames").alias("num_frames_total"), *stats)
+    return scenes.groupBy(*keys).agg(F.count("*").alias("num_scenes"), F.sum("num_frames").alias("num_frames_total"), *stats)
 
 
 def precision_recall_f1(scenes: DataFrame, precision: str, recall: str, key: str = "method") -> DataFrame:

@@ -15,11 +15,18 @@ class Segmentation:
 
 @dataclass(frozen=True)
 class Evaluation:
+    """``gates``: several shares of inliers to judge the same planes by, in place of ``gate``."""
+
     thresholds: tuple[float, ...] = (0.001, 0.005, 0.01)
     iterations: int = 200
     support: int = 100
     gate: float = 0.9
     seed: int = 0
+    gates: tuple[float, ...] = ()
+
+    @property
+    def judged(self) -> list[float]:
+        return list(self.gates) or [self.gate]
 
 
 @dataclass(frozen=True)

@@ -17,10 +17,11 @@ def packed(px: DataFrame, values: list[str]) -> DataFrame:
     return ordered.select("scene_id", "frame_id", "h", "w", *[F.col(f"p.{c}").alias(c) for c in values])
 
 
-def exploded(frames: DataFrame, values: list[str]) -> DataFrame:
-    """Frames to pixels; only the arrays named are read."""
-    rows = frames.select("scene_id", "frame_id", "w", F.posexplode(F.arrays_zip(*values)).alias("k", "p"))
-    return rows.select("scene_id", "frame_id", F.floor(F.col("k") / F.col("w")).cast("int").alias("v"), (F.col("k") % F.col("w")).cast("int").alias("u"), *[F.col(f"p.{c}").alias(c) for c in values])
+def exploded(frames: DataFrame, values: list[str], whole: list[str] | None = None) -> DataFrame:
+    """Frames to pixels; only the arrays named are read. Each pixel has the frame's columns ``whole`` too."""
+    own = whole or []
+    rows = frames.select("scene_id", "frame_id", *own, "w", F.posexplode(F.arrays_zip(*values)).alias("k", "p"))
+    return rows.select("scene_id", "frame_id", *own, F.floor(F.col("k") / F.col("w")).cast("int").alias("v"), (F.col("k") % F.col("w")).cast("int").alias("u"), *[F.col(f"p.{c}").alias(c) for c in values])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
