@@ -135,11 +135,11 @@ def top_labels(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     return sizes.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "label"))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def merge_segments(points: DataFrame, keys: list[str], degrees: float = 5.0, offset: float = 0.05, share: float = 0.2, k: int = 20, rounds: int = 20, raster: DataFrame | None = None, gap: int = 20, near: float = 0.2, least: int = 1) -> tuple[DataFrame, DataFrame]:
+def merge_segments(points: DataFrame, keys: list[str], degrees: float = 5.0, offset: float = 0.05, share: float = 0.2, k: int = 20, rounds: int = 20, raster: DataFrame | None = None, gap: int = 20, near: float = 0.2, least: int = 1, sample: int | None = 500) -> tuple[DataFrame, DataFrame]:
     """Iterated merge of a frame's ``k`` largest segments: planes, adjacent pairs that are coplanar by angle, offset and cross distance, components, refit.
 
     Segments are adjacent if they touch once background within ``gap`` pixels is taken up (``raster``: keys, v, u, label) or have points
-    within ``near`` of each other. A component takes the label of its largest member. Segments of fewer than ``least``
+    within ``near`` of each other, as ``adjacent`` says. A component takes the label of its largest member. Segments of fewer than ``least``
     points have no plane. Returns label to merged label and the log of the pairs of each round. Ends when a round merges nothing.
     """
     chosen = top_labels(points, keys, k).where(F.col("n") >= max(least, 3)).select(*keys, "label")
@@ -150,12 +150,10 @@ def merge_segments(points: DataFrame, keys: list[str], degrees: float = 5.0, off
     for r in range(rounds):
         now = points.join(labels, [*keys, "label"]).select(*keys, F.col("merged").alias("label"), "x", "y", "z")
         sizes = now.groupBy(*keys, F.col("label").alias("at")).agg(F.count("*").alias("n"))
-        touching = near_in_space(now, keys, near)
+        seen = None
         if raster is not None:
             seen = raster.select(*keys, "v", "u", "label").join(labels, [*keys, "label"], "left").select(*keys, "v", "u", F.coalesce("merged", "label").alias("label"))
-            known = sizes.select(*keys, "at")
-            bridged = bridged_pairs(seen, "label", gap, keys).join(known.withColumnRenamed("at", "a"), [*keys, "a"], "left_semi").join(known.withColumnRenamed("at", "b"), [*keys, "b"], "left_semi")
-            touching = touching.union(bridged.select(*touching.columns)).distinct()
+        touching = adjacent(now, keys, near, seen, gap, sample)
         fits = graph.written(planes.fit(now, [*keys, "label"]))
         pairs = segment_pairs(fits, keys, degrees, offset, among=touching)
         near_by = graph.written(cross_distance(now, fits, pairs, keys, share).withColumns({"round": F.lit(r), "accepted": F.col("far") <= 2 * offset}))
@@ -170,6 +168,28 @@ def merge_segments(points: DataFrame, keys: list[str], degrees: float = 5.0, off
     return labels, log
 
 
+def sampled(points: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``most`` points of each segment, in the order of a hash of their coordinates: the same ones however the rows are dealt."""
+    w = Window.partitionBy(*keys, "label").orderBy(F.xxhash64("x", "y", "z"), "x", "y", "z")
+    return points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
+def adjacent(points: DataFrame, keys: list[str], near: float, raster: DataFrame | None = None, gap: int = 20, sample: int | None = 500) -> DataFrame:
+    """Pairs (a < b) of segments that touch in the raster, background within ``gap`` pixels taken up, or are ``near`` in space.
+
+    Distances are between ``sample`` points a segment, so a cell holds as many of each at most; all points with None. Labels of the
+    raster without points have no pairs. Without a raster distances alone decide.
+    """
+    close = near_in_space(points if sample is None else sampled(points, keys, sample), keys, near)
+    if raster is None:
+        return close
+    known = points.select(*keys, "label").distinct()
+    touch = bridged_pairs(raster.select(*keys, "v", "u", "label"), "label", gap, keys)
+    for end in "ab":
+        touch = touch.join(known.withColumnRenamed("label", end), [*keys, end], "left_semi")
+    return close.union(touch.select(*close.columns)).distinct()
+
+
 def near_in_space(points: DataFrame, keys: list[str], distance: float) -> DataFrame:
     """Pairs of segments with points within ``distance``: points meet in cells of that width and the 27 around."""
     cell = [F.floor(F.col(c) / distance) for c in "xyz"]

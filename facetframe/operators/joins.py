@@ -106,11 +106,15 @@ def near_pairs(px: DataFrame, label: str, radius: int, keys: list[str]) -> DataF
 def bridged_pairs(px: DataFrame, label: str, gap: int, keys: list[str]) -> DataFrame:
     """Pairs of labels that touch once background pixels within ``gap`` of a label have taken up the nearest one.
 
-    Of labels equally far the one first in row order is taken.
+    Of labels equally far the one first in row order is taken. The nearest one of a background pixel always lies on an edge, so
+    only pixels without a label at one of their four sides look around.
     """
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-gap, gap + 1) for b in range(-gap, gap + 1) if a * a + b * b <= gap * gap])
     own = px.where(F.col(label) > 0).select(*keys, "v", "u", F.col(label).alias("_l"))
-    reach = own.select(*keys, F.col("v").alias("_v"), F.col("u").alias("_u"), "_l", F.explode(offsets).alias("o")).select(*keys, (F.col("_v") - F.col("o.a")).alias("v"), (F.col("_u") - F.col("o.b")).alias("u"), "_l", F.struct((F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("d"), "_v", "_u").alias("_far"))
+    row, column = Window.partitionBy(*keys, "v").orderBy("u"), Window.partitionBy(*keys, "u").orderBy("v")
+    held = [F.lag("u").over(row) == F.col("u") - 1, F.lead("u").over(row) == F.col("u") + 1, F.lag("v").over(column) == F.col("v") - 1, F.lead("v").over(column) == F.col("v") + 1]
+    edge = own.withColumn("_in", F.coalesce(held[0] & held[1] & held[2] & held[3], F.lit(False))).where(~F.col("_in"))
+    reach = edge.select(*keys, F.col("v").alias("_v"), F.col("u").alias("_u"), "_l", F.explode(offsets).alias("o")).select(*keys, (F.col("_v") - F.col("o.a")).alias("v"), (F.col("_u") - F.col("o.b")).alias("u"), "_l", F.struct((F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("d"), "_v", "_u").alias("_far"))
     free = px.where(F.col(label) <= 0).select(*keys, "v", "u")
     wide = own.union(free.join(reach, [*keys, "v", "u"]).groupBy(*keys, "v", "u").agg(F.min_by("_l", "_far").alias("_l")))
     steps = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import growth
 from ..params import Evaluation
 from ..session import shared_path
-from ..sources import datasets, frames, predictions
+from ..sources import arrays, datasets, frames, predictions
 from . import benchmark
 from ._common import registrar, rounded
 from .dataset_queries import _A, _B, _RAY, _outdoor_root
@@ -113,3 +116,44 @@ def d06_frames(spark, sf):
     {", ".join(f"round({c}_{k}, 5) as {c}_{k}" for c in _MEANS for k in ("mean", "std"))} from {_NAMED} n left join d using (m)""")
 def d06_outdoor(spark, sf):
     return rounded(_compared(spark, sf)[2], digits=5)
+
+
+def _archives(spark, sf):
+    """Every frame as an NPZ archive, with intrinsics in three frames of four."""
+
+    def archive(batches):
+        for b in batches:
+            for r in b.itertuples():
+                seg = np.array(r.label).reshape(r.h, r.w)
+                k = np.array([[40.0, 0, 15.5], [0, 40.0 + r.scene_id, 11.5], [0, 0, 1]]) if r.frame_id % 4 else None
+                yield pd.DataFrame({"path": [f"{r.scene_id}_{r.frame_id}_d2.npz"], "content": [arrays.encode(np.array(r.z).reshape(r.h, r.w), np.where(seg == 0, 20, seg - 1), np.eye(3), k)]})
+
+    packed = frames.packed(view(spark, sf, "px_grid"), ["z", "label"])
+    return packed.mapInPandas(archive, "path string, content binary")
+
+
+@query("s07_npz_at_size", f"""select p.scene_id, p.frame_id, 36::int as h, 16::int as w, case when p.frame_id % 4 > 0 then 20.0::double end as fx, case when p.frame_id % 4 > 0 then 1.5 * (40 + p.scene_id)::double end as fy,
+    case when p.frame_id % 4 > 0 then 7.75::double end as cx, case when p.frame_id % 4 > 0 then 17.25::double end as cy, count(*) filter (label > 0) as planar, round(sum(z::float), 3) as depth
+    from {GRID} p join (select unnest(range(36)) * 24 // 36 as v) a using (v) where u % 2 = 0 group by all""")
+def s07_at_size(spark, sf):
+    """Frames of 24 x 32 read at 36 x 16: intrinsics follow each axis."""
+    rows = arrays.at_size(arrays.decoded(_archives(spark, sf)), 36, 16)
+    name = F.split("path", "_")
+    total = F.aggregate("depth", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(name[0].cast("long").alias("scene_id"), name[1].cast("long").alias("frame_id"), "h", "w", "fx", "fy", "cx", "cy", F.size(F.filter("label", lambda x: x > 0)).cast("long").alias("planar"), F.round(total, 3).alias("depth"))
+
+
+#: Segments touch in some frames only, are near in others, and both in the rest.
+_APART = f"(select scene_id, frame_id, v, u, z + case when u > 16 and frame_id % 3 = 0 then 5.0 else 0.0 end as z, case when label = 2 and u < 17 + frame_id % 4 then 0 else label end as label from {GRID} p)"
+_XYZ = f"(select scene_id, frame_id, label, {X} as x, {Y} as y, z from {_APART} p where label > 0)"
+
+
+@query("j18_adjacent_segments", f"""with g as (select * from {_APART} q), c as (select * from {_XYZ} q),
+    close as (select distinct a.scene_id, a.frame_id from c a join c b on a.scene_id = b.scene_id and a.frame_id = b.frame_id and a.label = 1 and b.label = 2 where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.75),
+    ends as (select scene_id, frame_id, max(u) filter (label = 1) as l, min(u) filter (label = 2) as r from g group by all)
+    select scene_id, frame_id, 1::int as a, 2::int as b from ends where l + 2 + 1 >= r - 2 union select scene_id, frame_id, 1::int, 2::int from close""")
+def j18_adjacent(spark, sf):
+    """Touching once background within two pixels is taken up, or near in space; a third of the frames are torn apart in depth."""
+    moved = view(spark, sf, "px_grid").withColumns({"z": F.expr("z + case when u > 16 and frame_id % 3 = 0 then 5.0D else 0.0D end"), "label": F.expr("case when label = 2 and u < 17 + frame_id % 4 then 0 else label end")})
+    xyz = moved.where("label > 0").select("scene_id", "frame_id", "label", *[c.alias(n) for c, n in zip(G.backproject(CAMERA), "xyz", strict=True)])
+    return growth.adjacent(xyz, ["scene_id", "frame_id"], 0.75, moved, 2)

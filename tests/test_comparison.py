@@ -108,3 +108,51 @@ def test_gates_share_their_fits(spark):
         for r in benchmark.judged(px, camera, Evaluation(thresholds=p.thresholds, gate=gate, support=10)).collect():
             for name in benchmark.plane_columns(Evaluation(thresholds=p.thresholds, gate=gate)):
                 assert math.isclose(r[name], both[tuple(r[:2])][name])
+
+
+def test_edges_alone_bridge_as_all_pixels_do(spark):
+    """Blocks of labels with insides, gaps and missing pixels, against the nearest pixel of all."""
+    from facetframe.operators import joins
+
+    r = np.random.default_rng(4)
+    for seed in range(3):
+        a = np.kron(r.integers(0, 4, (4, 4)), np.ones((3, 3), int))
+        a[r.uniform(size=a.shape) < 0.2] = 0
+        seen = {(v, u): int(a[v, u]) for v in range(12) for u in range(12) if seed != 2 or r.uniform() < 0.9}
+        wide = {}
+        for (v, u), label in seen.items():
+            near = min((((v - y) ** 2 + (u - x) ** 2, y, x, k) for (y, x), k in seen.items() if k > 0), default=None)
+            wide[v, u] = label if label > 0 else near[3] if near and near[0] <= 4 else 0
+        pairs = {(*sorted((k, wide[at])),) for (v, u), k in wide.items() for at in ((v + 1, u), (v, u + 1)) if k and wide.get(at) and wide[at] != k}
+        px = spark.createDataFrame([(1, v, u, k) for (v, u), k in seen.items()], "f int, v int, u int, label int")
+        assert {(x.a, x.b) for x in joins.bridged_pairs(px, "label", 2, ["f"]).collect()} == pairs
+
+
+def test_adjacency_by_samples(spark):
+    from facetframe.operators import growth
+
+    r = np.random.default_rng(8)
+    rows = [(1, k, *map(float, r.uniform(0, 1, 3) + (3 * k, 0, 0))) for k in range(3) for _ in range(200)]
+    t = spark.createDataFrame(rows, "f int, label int, x double, y double, z double")
+    some = growth.sampled(t, ["f"], 50)
+    assert {x.label: x["count"] for x in some.groupBy("label").count().collect()} == {0: 50, 1: 50, 2: 50}
+    again = growth.sampled(t.repartition(7), ["f"], 50)
+    assert some.exceptAll(again).isEmpty() and some.join(t, t.columns, "left_anti").isEmpty()
+    pairs = lambda *a, **k: {(x.a, x.b) for x in growth.adjacent(t, ["f"], *a, **k).collect()}
+    assert pairs(3.0) == {(0, 1), (1, 2)} and pairs(0.1) == set()
+    # labels 1 and 2 touch in the raster, 7 has no points
+    raster = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 0), (1, 0, 2, 2), (1, 0, 3, 7)], "f int, v int, u int, label int")
+    assert pairs(0.1, raster, 1) == {(1, 2)} and pairs(3.0, raster, 1, None) == {(0, 1), (1, 2)}
+
+
+def test_archives_without_intrinsics_have_none(spark):
+    from facetframe.sources import arrays
+
+    seg = np.array([[0, 20], [1, 0]])
+    k = np.array([[10.0, 0, 1.0], [0, 20.0, 0.5], [0, 0, 1]])
+    rows = [("a", arrays.encode(np.array([[1.0, 2.0], [3.0, 4.0]]), seg, np.eye(3), k)), ("b", arrays.encode(np.ones((2, 2)), seg, np.eye(3))), ("c", b"")]
+    got = {r.path: r for r in arrays.at_size(arrays.decoded(spark.createDataFrame(rows, "path string, content binary")), 4, 2).collect()}
+    assert set(got) == {"a", "b"} and got["b"].fx is None and got["b"].cy is None
+    a = got["a"]
+    assert (a.h, a.w, a.fx, a.fy, a.cx, a.cy) == (4, 2, 10.0, 40.0, 1.0, 1.0)
+    assert a.label == [1, 0, 1, 0, 2, 1, 2, 1] and a.depth == [1.0, 2.0, 1.0, 2.0, 3.0, 4.0, 3.0, 4.0]
