@@ -1,7 +1,12 @@
 """Rasters and joins that grow with their frames: dealt to many tasks, met by cells."""
 
+import math
+import random
+
+import pytest
 from conftest import SMALL
 
+from facetframe.operators import planes
 from facetframe.plans import fixtures
 
 
@@ -13,3 +18,68 @@ def test_rasters_are_dealt_out(spark, monkeypatch):
     frames = spark.read.parquet(f"{SMALL}/supplier.parquet").count()
     assert sum(held) == frames * 24 * 32
     assert max(held) <= 4 * 24 * 32
+
+
+def _planes(spark, n=160):
+    """Few normals, many copies, opposite normals, offsets on the edge of the tolerance, a repeated id and numbers that are none."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        a, b = rng.choice([(0.0, 0.0), (0.1, 0.0), (0.0, 0.3), (rng.random(), rng.random())])
+        size, sign = math.sqrt(a * a + b * b + 1), rng.choice([-1.0, 1.0])
+        rows.append((k // 2 if k < 6 else k, rng.choice("uv"), sign * a / size, sign * b / size, sign / size, sign * rng.choice([0.0, 0.05, 0.1, 0.15, rng.uniform(-2, 2)])))
+    rows += [(n, "u", 0.0, 0.0, 1.0, None), (n + 1, "u", 0.0, 0.0, 1.0, float("nan")), (n + 2, None, 0.0, 0.0, 1.0, 0.0)]
+    return rows, spark.createDataFrame(rows, "plane_id long, label string, nx double, ny double, nz double, d double").repartition(3)
+
+
+def _plain(rows, degrees, distance, signed=False, labels=True):
+    out = []
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[0] == y[0] or (labels and (x[1] is None or x[1] != y[1])) or x[5] is None or y[5] is None:
+                continue
+            a, b = sorted((x, y))
+            dots = a[2] * b[2] + a[3] * b[3] + a[4] * b[4]
+            gap = abs(a[5] + b[5]) if signed and dots < 0 else abs(a[5] - b[5])
+            if (abs(dots) if signed else dots) >= math.cos(math.radians(degrees)) and gap <= distance:
+                out.append((a[0], b[0], gap))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_planes_of_one_normal_meet_as_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(planes, "BLOCK", block)
+    rows, table = _planes(spark)
+    for got, want in ((planes.coplanar_pairs(table, 12.0, 0.05, ["label"]).select("a_id", "b_id", "offset"), _plain(rows, 12.0, 0.05)), (planes.facing_pairs(table, 20.0, 0.1, ["label"]).select("a_id", "b_id", "gap"), _plain(rows, 20.0, 0.1, True))):
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+
+
+def test_totals_and_components_need_no_pairs(spark):
+    rows, table = _planes(spark)
+    want = _plain(rows, 12.0, 0.05, labels=False)
+    n, total = planes.coplanar_totals(table, 12.0, 0.05).first()
+    assert n == len(want) and math.isclose(total, sum(w[2] for w in want), abs_tol=1e-9)
+    root = {(r[1], r[0]): (r[1], r[0]) for r in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    names = {}
+    for r in rows:
+        names.setdefault(r[0], set()).add(r[1])
+    for label in "uv":
+        for a, b, _ in _plain([r for r in rows if r[1] == label], 12.0, 0.05):
+            x, y = sorted((find((label, a)), find((label, b))))
+            root[y] = x
+    got = {((r.label, r.plane_id), r.component) for r in planes.coplanar_components(table, 12.0, 0.05, ["label"]).collect()}
+    assert got == {(k, find(k)[1]) for k in root}
+
+
+def test_copies_of_planes_make_no_pairs(spark):
+    """A million pairs of copies: neither the totals nor the components may make a row of each."""
+    table = spark.range(1500).selectExpr("id as plane_id", "'u' as label", "0.0D as nx", "0.0D as ny", "1.0D as nz", "0.01D * (id % 2) as d")
+    n, total = planes.coplanar_totals(table, 12.0, 0.05).first()
+    assert n == 1500 * 1499 // 2 and math.isclose(total, 0.01 * 750 * 750)
+    assert {r.component for r in planes.coplanar_components(table, 12.0, 0.05, ["label"]).collect()} == {0}
