@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from math import cos, radians
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..params import Extraction
+from ..session import ship
 from . import graph, kernels, mesh, planes
 from .joins import bridged_pairs
 
@@ -190,15 +193,66 @@ def adjacent(points: DataFrame, keys: list[str], near: float, raster: DataFrame
     return close.union(touch.select(*close.columns)).distinct()
 
 
+def _near_labels(keys: list[str], distance: float):
+    """A frame's pairs of labels (a < b) with points within ``distance``: cells of a quarter of it and their lists of labels tell most
+    pairs apart or together, the points of what cells are left tell the rest."""
+    width, reach = distance / 4, 5
+    steps = [(i, j, k) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-reach, reach + 1) if (i, j, k) >= (0, 0, 0)]
+    gap = lambda s, by: width * np.sqrt(sum(max(abs(x) + by, 0) ** 2 for x in s))
+    steps = sorted((gap(s, 1) > distance * (1 - 1e-9), *s) for s in steps if gap(s, -1) <= distance * (1 + 1e-9))
+
+    def frame(rows: pa.Table) -> pa.Table:
+        p = np.stack([rows.column(c).to_numpy() for c in "xyz"], axis=1).astype(float)
+        names, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+        good = np.isfinite(p).all(axis=1)
+        p, label = p[good], label[good]
+        met = np.eye(len(names), dtype=bool)
+        if len(p) and len(names) > 1:
+            at = np.floor(p / width).astype(np.int64)
+            at -= at.min(axis=0) - reach
+            size = at.max(axis=0) + reach + 1
+            key = (at[:, 0] * size[1] + at[:, 1]) * size[2] + at[:, 2]
+            order = np.lexsort((label, key))
+            p, label, key = p[order], label[order], key[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])])
+            last = np.r_[first[1:], len(key)]
+            cell, own = key[first], label[first]
+            for unsure, i, j, k in steps:
+                if met.all():
+                    break
+                there = cell + (i * size[1] + j) * size[2] + k
+                lo, hi = np.searchsorted(cell, there), np.searchsorted(cell, there, side="right")
+                for turn in range(int((hi - lo).max(initial=0))):
+                    x = np.flatnonzero(lo + turn < hi)
+                    y = lo[x] + turn
+                    new = ~met[own[x], own[y]]
+                    x, y = x[new], y[new]
+                    if not unsure:
+                        met[own[x], own[y]] = met[own[y], own[x]] = True
+                        continue
+                    for s, t in zip(x, y, strict=True):
+                        if met[own[s], own[t]]:
+                            continue
+                        q = p[first[t] : last[t]]
+                        for c in range(first[s], last[s], 256):
+                            d = p[c : min(c + 256, last[s]), None] - q[None]
+                            if (np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= distance).any():
+                                met[own[s], own[t]] = met[own[t], own[s]] = True
+                                break
+        a, b = np.nonzero(np.triu(met, 1))
+        ends = [pa.array(names[x], rows.schema.field("label").type) for x in (a, b)]
+        return pa.table([pa.concat_arrays([rows.column(c).combine_chunks().slice(0, 1)] * len(a)) if len(a) else rows.column(c).combine_chunks().slice(0, 0) for c in keys] + ends, names=[*keys, "a", "b"])
+
+    return frame
+
+
 def near_in_space(points: DataFrame, keys: list[str], distance: float) -> DataFrame:
-    """Pairs of segments with points within ``distance``: points meet in cells of that width and the 27 around."""
-    cell = [F.floor(F.col(c) / distance) for c in "xyz"]
-    left = points.select(*keys, F.col("label").alias("a"), "x", "y", "z", *[c.alias(f"g{n}") for c, n in zip(cell, "xyz", strict=True)])
-    steps = F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip((i, j, k), "xyz", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    right = points.select(*keys, F.col("label").alias("b"), *[F.col(c).alias(f"o{c}") for c in "xyz"], F.explode(steps).alias("s"), *[c.alias(f"h{n}") for c, n in zip(cell, "xyz", strict=True)])
-    right = right.select(*keys, "b", "ox", "oy", "oz", *[(F.col(f"h{n}") + F.col(f"s.{n}")).alias(f"g{n}") for n in "xyz"])
-    met = left.join(right, [*keys, "gx", "gy", "gz"]).where("a < b")
-    return met.where(G.norm(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz")) <= distance).select(*keys, "a", "b").distinct()
+    """Pairs of segments with points within ``distance``; a frame's points go to one task once."""
+    ship(points.sparkSession)
+    rows = points.select(*keys, "label", "x", "y", "z").where(F.col("label").isNotNull())
+    kinds = dict(rows.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return rows.groupBy(*keys).applyInArrow(_near_labels(keys, distance), f"{head}, a {kinds['label']}, b {kinds['label']}")
 
 
 def unit_offset_fit(points: DataFrame, keys: list[str]) -> DataFrame:

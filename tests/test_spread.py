@@ -5,9 +5,11 @@ import random
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from facetframe.operators import planes
+from facetframe.operators import growth, planes
 from facetframe.plans import fixtures
+from facetframe.sources import datasets, frames, predictions
 
 
 def test_rasters_are_dealt_out(spark, monkeypatch):
@@ -83,3 +85,30 @@ def test_copies_of_planes_make_no_pairs(spark):
     n, total = planes.coplanar_totals(table, 12.0, 0.05).first()
     assert n == 1500 * 1499 // 2 and math.isclose(total, 0.01 * 750 * 750)
     assert {r.component for r in planes.coplanar_components(table, 12.0, 0.05, ["label"]).collect()} == {0}
+
+
+def test_near_segments_meet_once_a_frame(spark):
+    """Labels with points at, within and beyond the distance, alone in cells and many in one; points are not copied to cells around them."""
+    rng = random.Random(8)
+    rows = [(f % 2, f, label, *[rng.uniform(0, 3) + shift for _ in range(3)]) for f in range(5) for label, shift, n in ((1, 0.0, 40), (2, 1.0, 30), (5, 4.0, 3), (7, 5.5, 1), (9, -3.0, 25)) for _ in range(n)]
+    rows += [(0, 8, 1, 0.0, 0.0, 0.0), (0, 8, 2, 0.75, 0.0, 0.0), (0, 8, 3, 0.0, -0.7500001, 0.0), (0, 8, 4, float("nan"), 0.0, 0.0), (0, 9, 1, 0.0, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "scene_id long, frame_id long, label int, x double, y double, z double")
+    got = growth.near_in_space(table, ["scene_id", "frame_id"], 0.75)
+    want = {(a[0], a[1], a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and a[2] < b[2] and math.dist(a[3:], b[3:]) <= 0.75}
+    assert {tuple(r) for r in got.collect()} == want and (0, 8, 1, 2) in want
+    assert got.count() == len(want)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_rasters_are_not_broadcast(spark, tmp_path):
+    """By their files' size alone both sides of these joins would be."""
+    px = spark.createDataFrame([(1, 2, v, u, 1, 2.0) for v in range(2) for u in range(2)], "scene_id long, frame_id long, v int, u int, label int, z double")
+    rows = frames.packed(px, ["label", "z"]).withColumn("cam", F.lit("cam_0"))
+    rows.withColumnRenamed("z", "distance").write.partitionBy("scene_id", "cam").parquet(f"{tmp_path}/renders")
+    rows.withColumnRenamed("z", "zdepth").drop("label").write.partitionBy("scene_id", "cam").parquet(f"{tmp_path}/ray_cast")
+    seen = datasets.cameras(spark, str(tmp_path), [[0.6, 0.0, 0.0], [0.0, 0.45, 0.0], [0.0, 0.0, -1.0]], 2, 2)
+    truth = frames.packed(px, ["label", "z"])
+    for df, n in ((seen, 4), (predictions.met(truth, [predictions.Method("own", truth)]), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and df.count() == n
+    assert "Broadcast" not in seen._jdf.queryExecution().executedPlan().toString()
