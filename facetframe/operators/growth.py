@@ -286,8 +286,9 @@ def outdoor_planes(pixels: DataFrame, keys: list[str], distance: float, cosine:
     """
     found = graph.written(kernels.sequential_planes(pixels, [*keys, "class_id"], distance, cosine, iterations, least, most))
     named = found.withColumn("label", F.col("class_id") * 1000 + F.col("plane"))
-    points = named.select(*keys, "idx", "label").join(pixels.select(*keys, "idx", "x", "y", "z"), [*keys, "idx"])
+    # a pixel's row is a few bits of its file: by that size all of them would be broadcast
+    points = named.select(*keys, "idx", "label").hint("merge").join(pixels.select(*keys, "idx", "x", "y", "z"), [*keys, "idx"])
     fits = planes.fit(points, [*keys, "label"])
     pairs = graph.written(merge_outdoor(points, fits, keys))
     groups = graph.components(points.select(*keys, "label"), pairs, keys, "label", "a", "b")
-    return points.join(groups, [*keys, "label"]).select(*keys, "idx", F.col("component").alias("plane"))
+    return points.join(groups.hint("merge"), [*keys, "label"]).select(*keys, "idx", F.col("component").alias("plane"))

@@ -39,11 +39,11 @@ def indoor(spark: SparkSession, root: str, split: str, need_planes: bool = True,
     depth = table("depth", "h", "w", F.transform("mm", lambda x: x / 1000.0).alias("depth"))
     planes = table("planes", "label").withColumn("_has", F.lit(True))
     poses = _of(spark.read.schema("scene_id long, frame_id long, c2w array<double>").json(f"{root}/poses"), scenes)
-    both = depth.join(planes, KEY, "full")
+    both = depth.join(planes.hint("merge"), KEY, "full")
     unseen = F.when(F.col("depth").isNull(), F.raise_error(F.concat(F.lit("no depth of frame "), F.col("frame_id").cast("string")))).otherwise(F.col("label"))
     both = both.withColumn("label", unseen)
     both = both.where("_has") if need_planes else both
-    return both.drop("_has").join(table("semantics", "semantic"), KEY, "left").join(poses, KEY).select(*KEY, "h", "w", "label", "semantic", "depth", "c2w")
+    return both.drop("_has").join(table("semantics", "semantic").hint("merge"), KEY, "left").join(poses.hint("merge"), KEY).select(*KEY, "h", "w", "label", "semantic", "depth", "c2w")
 
 
 def cameras(spark: SparkSession, root: str, matrix: list[list[float]], width: int, height: int, ray_cast: bool = True) -> DataFrame:
@@ -56,7 +56,8 @@ def cameras(spark: SparkSession, root: str, matrix: list[list[float]], width: in
         return px
     cast = spark.read.parquet(f"{root}/ray_cast").withColumn("scene_id", F.col("scene_id").cast("long")).select(*key, F.posexplode("zdepth").alias("k", "ray"))
     cast = cast.select(*key, F.floor(F.col("k") / width).cast("int").alias("v"), (F.col("k") % width).cast("int").alias("u"), "ray")
-    return px.join(cast, [*key, "v", "u"], "left").withColumn("z", F.coalesce("ray", "z")).drop("ray")
+    # a raster's file says little of its rows: by its size, pixels by the million would be broadcast
+    return px.join(cast.hint("merge"), [*key, "v", "u"], "left").withColumn("z", F.coalesce("ray", "z")).drop("ray")
 
 
 def save_outdoor(rows: DataFrame, planes: DataFrame, attributes: DataFrame, root: str) -> None:

@@ -69,5 +69,6 @@ def met(truth: DataFrame, methods: list[Method]) -> DataFrame:
     for part in parts[1:]:
         every = every.union(part)
     keys = resolved(truth.select(*FRAME), every.select("method", *FRAME), [m.name for m in methods if m.by_place])
-    own = every.withColumnRenamed("frame_id", "own").join(keys, ["method", "scene_id", "own"]).drop("own")
-    return truth.join(own, FRAME).withColumn("pred", resized("pred", ("ph", "pw"), ("h", "w"))).drop("ph", "pw")
+    own = every.withColumnRenamed("frame_id", "own").hint("merge").join(keys, ["method", "scene_id", "own"]).drop("own")
+    # arrays are small in their files and large in memory, so neither side may be broadcast by its size
+    return truth.hint("merge").join(own, FRAME).withColumn("pred", resized("pred", ("ph", "pw"), ("h", "w"))).drop("ph", "pw")
