@@ -85,8 +85,10 @@ def splat(points: DataFrame, keys: list[str], value: str, order: str) -> DataFra
 def z_buffer(points: DataFrame, keys: list[str], value: str, depth: str, radius: int = 0) -> DataFrame:
     """Nearest point of each pixel within a square of ``radius``; ties go to the smaller value."""
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)])
-    wide = points.withColumn("o", F.explode(cells)).withColumns({"u": F.col("u") + F.col("o.a"), "v": F.col("v") + F.col("o.b")})
-    return wide.groupBy(*keys, "v", "u").agg(F.min_by(value, F.struct(depth, value)).alias(value), F.min(depth).alias(depth))
+    # the nearest of a square is the nearest of its pixels' nearest, so points are thinned out before they are spread
+    own = points.groupBy(*keys, "v", "u").agg(F.min(F.struct(depth, value)).alias("_near"), F.min(depth).alias("_depth"))
+    wide = own.withColumn("o", F.explode(cells)).withColumns({"u": F.col("u") + F.col("o.a"), "v": F.col("v") + F.col("o.b")})
+    return wide.groupBy(*keys, "v", "u").agg(F.min("_near").getField(value).alias(value), F.min("_depth").alias(depth))
 
 
 def near_pairs(px: DataFrame, label: str, radius: int, keys: list[str]) -> DataFrame:

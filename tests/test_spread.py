@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from facetframe.operators import growth, planes
+from facetframe.operators import growth, joins, planes
 from facetframe.plans import fixtures
 from facetframe.sources import datasets, frames, predictions
 
@@ -112,3 +112,13 @@ def test_rasters_are_not_broadcast(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and df.count() == n
     assert "Broadcast" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_z_buffer_spreads_pixels_not_points(spark):
+    points = spark.range(900).selectExpr("cast(id % 3 as int) as v", "cast(id % 2 as int) as u", "(id * 7919 % 101) / 7.0D as z", "id as color")
+    rows = [tuple(r) for r in points.collect()]
+    seen = joins.z_buffer(points, [], "color", "z", 1)
+    got = {(r.v, r.u): (r.z, r.color) for r in seen.collect()}
+    assert got == {(v, u): min((z, c) for y, x, z, c in rows if abs(y - v) <= 1 and abs(x - u) <= 1) for v in range(-1, 4) for u in range(-1, 3)}
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
