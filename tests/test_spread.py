@@ -7,8 +7,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from facetframe.operators import growth, joins, planes
-from facetframe.plans import fixtures
+from facetframe.operators import growth, joins, planes, stencil
+from facetframe.plans import fixtures, registry
 from facetframe.sources import datasets, frames, predictions
 
 
@@ -22,6 +22,27 @@ def test_rasters_are_dealt_out(spark, monkeypatch):
     assert max(held) <= 4 * 24 * 32
 
 
+@pytest.mark.parametrize("name", ["w02_connected_by_join", "w01_normal_gradient", "f16_bilinear_resize", "f16_area_resize", "x04_huber_fits", "s08_archive_paths"])
+def test_frames_stay_in_their_task(spark, monkeypatch, name):
+    """A task holds as many frames as it was dealt, whatever their number: what goes on within a frame shuffles no pixel."""
+    monkeypatch.setattr(fixtures, "FRAMES", 3)
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan
+
+
+def test_relational_stencil_with_gaps(spark):
+    """Missing pixels, rows and a frame of one pixel: the relational form equals the kernel."""
+    rng = random.Random(11)
+    rows = [(1, f, v, u, 2 + 0.01 * rng.random(), 0.02 * rng.random(), 0.02 * rng.random(), 1.0, rng.random()) for f in (1, 2, 4) for v in range(9) for u in range(12) if rng.random() < 0.7 and v != 4 + f]
+    rows.append((1, 7, 3, 3, 2.0, 0.0, 0.0, 1.0, 0.9))
+    px = spark.createDataFrame(rows, "scene_id long, frame_id long, v int, u int, z double, nx double, ny double, nz double, planarity double")
+    key = lambda df: sorted((x.frame_id, x.v, x.u, round(x.gradient, 9), x.neighbours, x.connected) for x in df.collect())
+    for degrees in (1.0, 90.0):
+        got = key(stencil.connected_by_join(px, degrees, least=3))
+        assert got == key(stencil.connected(px, degrees, least=3)) and len(got) == len(rows)
+    assert any(x[5] for x in got)
+
+
 def _planes(spark, n=160):
     """Few normals, many copies, opposite normals, offsets on the edge of the tolerance, a repeated id and numbers that are none."""
     rng = random.Random(5)
