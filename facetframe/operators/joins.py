@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .kernels import touching
 from .sampling import position
 
 
@@ -94,15 +97,18 @@ def z_buffer(points: DataFrame, keys: list[str], value: str, depth: str, radius:
 def near_pairs(px: DataFrame, label: str, radius: int, keys: list[str]) -> DataFrame:
     """Pairs of labels with pixels within ``radius`` (Euclidean) of each other.
 
-    Only pixels whose right or lower neighbour differs, or is missing, can be nearest to another label, so the rest are
-    dropped before the offset join.
+    A group of ``keys`` is one raster; it is laid over itself at each offset, so no pixel is copied to the places around it.
     """
-    w = lambda by, order: Window.partitionBy(*keys, by).orderBy(order)
-    sides = [f(label).over(w(a, b)) for a, b in (("v", "u"), ("u", "v")) for f in (F.lag, F.lead)]
-    edge = px.withColumns({f"_{k}": s for k, s in enumerate(sides)}).where((F.col(label) > 0) & ~(F.col("_0").eqNullSafe(F.col(label)) & F.col("_1").eqNullSafe(F.col(label)) & F.col("_2").eqNullSafe(F.col(label)) & F.col("_3").eqNullSafe(F.col(label))))
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius])
-    one = edge.select(*keys, F.col(label).alias("a"), "v", "u", F.explode(offsets).alias("o")).select(*keys, "a", (F.col("v") + F.col("o.a")).alias("v"), (F.col("u") + F.col("o.b")).alias("u"))
-    return one.join(edge.select(*keys, "v", "u", F.col(label).alias("b")), [*keys, "v", "u"]).where("a < b").select(*keys, "a", "b").distinct()
+    ship(px.sparkSession)
+    own = px.where(F.col(label) > 0).select(*keys, "v", "u", F.col(label).alias("_l"))
+    kinds = dict(own.dtypes)
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        met = touching(*(rows.column(c).to_numpy() for c in ("v", "u", "_l")), radius)
+        head = [pa.array([k.as_py()] * len(met), rows.schema.field(c).type) for c, k in zip(keys, key, strict=True)]
+        return pa.table([*head, *[pa.array(met[:, k], rows.schema.field("_l").type) for k in (0, 1)]], names=[*keys, "a", "b"])
+
+    return own.groupBy(*keys).applyInArrow(one, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", a {kinds['_l']}, b {kinds['_l']}")
 
 
 def bridged_pairs(px: DataFrame, label: str, gap: int, keys: list[str]) -> DataFrame:

@@ -7,11 +7,13 @@ makes draws depend on the group's key alone, so results are the same on any part
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -63,6 +65,25 @@ def huber_plane(p: np.ndarray, iterations: int = 8, k: float = 1.345, eps: float
     return n, d
 
 
+def _points(rows: pa.Table) -> np.ndarray:
+    """The points of a group, in an order that does not depend on the partitioning."""
+    p = np.column_stack([rows.column(c).to_numpy() for c in "xyz"]).astype(float)
+    return p[np.lexsort(p.T[::-1])]
+
+
+def _one_row(keys: list[str], kinds: dict[str, str], fit: Callable[[tuple, np.ndarray], dict | None], columns: str):
+    """Groups' points to a row each by ``fit``, or to none; in Arrow, since a frame of pandas for each small group costs more than the fits."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = [pa.int64() if c.endswith(" long") else pa.float64() for c in columns.split(", ")]
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        found = fit(tuple(k.as_py() for k in key), _points(rows))
+        head = {c: rows.column(c).slice(0, 1 if found else 0) for c in keys}
+        return pa.table({**head, **{c: pa.array([found[c]] if found else [], t) for c, t in zip(names, types, strict=True)}})
+
+    return one, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", " + columns
+
+
 def label_regions(px: DataFrame, mask: str, eight: bool = True, by: tuple[str, ...] = ("scene_id", "frame_id")) -> DataFrame:
     """Pixels with their connected region, numbered from 1 in each frame by its first pixel in row order; 0 outside the mask.
 
@@ -122,40 +143,36 @@ def robust_fits(points: DataFrame, keys: list[str], threshold: float = 0.01, ite
     Segments of fewer than max(support, 3) points, or of fewer inliers than ``support``, have no plane.
     """
     ship(points.sparkSession)
-    head = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p = rows[["x", "y", "z"]].to_numpy(float)
+    def fit(key: tuple, p: np.ndarray) -> dict | None:
         p = p[np.isfinite(p).all(axis=1)]
-        p = p[np.lexsort(p.T[::-1])]
-        columns = [*keys, "a", "b", "c", "d", "num_points", "ransac_inliers", "refined_inliers", "inlier_ratio_ransac", "inlier_ratio_refined", "rms"]
         if len(p) < max(support, 3):
-            return pd.DataFrame(columns=columns)
+            return None
         near = ransac(p, threshold, iterations, seeded(seed, *key))
         if near.sum() < max(support, 3):
-            return pd.DataFrame(columns=columns)
+            return None
         n, d = pca_plane(p[near])
         r = np.abs(p @ n + d)
         refined = int((r < threshold).sum())
-        row = [*key, *n, d, len(p), int(near.sum()), refined, near.sum() / len(p), refined / len(p), float(np.sqrt((r[near] ** 2).mean()))]
-        return pd.DataFrame([row], columns=columns)
+        counts = {"num_points": len(p), "ransac_inliers": int(near.sum()), "refined_inliers": refined}
+        return {**dict(zip("abc", n.tolist(), strict=True)), "d": d, **counts, "inlier_ratio_ransac": near.sum() / len(p), "inlier_ratio_refined": refined / len(p), "rms": float(np.sqrt((r[near] ** 2).mean()))}
 
-    return points.groupBy(*keys).applyInPandas(one, f"{head}, a double, b double, c double, d double, num_points long, ransac_inliers long, refined_inliers long, inlier_ratio_ransac double, inlier_ratio_refined double, rms double")
+    one, schema = _one_row(keys, dict(points.dtypes), fit, "a double, b double, c double, d double, num_points long, ransac_inliers long, refined_inliers long, inlier_ratio_ransac double, inlier_ratio_refined double, rms double")
+    return points.select(*keys, "x", "y", "z").groupBy(*keys).applyInArrow(one, schema)
 
 
 def huber_fits(points: DataFrame, keys: list[str]) -> DataFrame:
     """Huber plane of each group of three points or more."""
     ship(points.sparkSession)
-    head = ", ".join(f"{c} {t}" for c, t in points.select(*keys).dtypes)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p = rows[["x", "y", "z"]].to_numpy(float)
+    def fit(key: tuple, p: np.ndarray) -> dict | None:
         if len(p) < 3:
-            return pd.DataFrame(columns=[*keys, "a", "b", "c", "d", "num_points"])
-        n, d = huber_plane(p[np.lexsort(p.T[::-1])])
-        return pd.DataFrame([[*key, *n, d, len(p)]], columns=[*keys, "a", "b", "c", "d", "num_points"])
+            return None
+        n, d = huber_plane(p)
+        return {**dict(zip("abc", n.tolist(), strict=True)), "d": d, "num_points": len(p)}
 
-    return points.groupBy(*keys).applyInPandas(one, f"{head}, a double, b double, c double, d double, num_points long")
+    one, schema = _one_row(keys, dict(points.dtypes), fit, "a double, b double, c double, d double, num_points long")
+    return points.select(*keys, "x", "y", "z").groupBy(*keys).applyInArrow(one, schema)
 
 
 def sequential_planes(points: DataFrame, keys: list[str], threshold: float = 0.05, cosine: float = 0.94, iterations: int = 500, least: int = 50, most: int = 50, seed: int = 0) -> DataFrame:
@@ -292,27 +309,54 @@ def grow_regions(faces: DataFrame, near: DataFrame, degrees: float = 8.0, distan
     return rows.groupBy("scene_id", "label_int").applyInPandas(one, "scene_id long, label_int int, fid long, region int")
 
 
+def touching(v: np.ndarray, u: np.ndarray, label: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs (a < b, a row each) of labels with pixels within ``radius`` (Euclidean) of each other; pixels may have several labels."""
+    number, at = np.unique(label, return_inverse=True)
+    v, u = v - v.min(), u - u.min() + radius
+    shape = (int(v.max()) + 1 + radius, int(u.max()) + 1 + radius)
+    layers, left = [], np.arange(len(v))
+    while len(left):
+        first = np.unique(v[left].astype(np.int64) * shape[1] + u[left], return_index=True)[1]
+        plane = np.full(shape, -1, np.int64)
+        plane[v[left[first]], u[left[first]]] = at[left[first]]
+        layers.append(plane)
+        left = np.delete(left, first)
+    met, (h, w) = np.zeros(0, np.int64), shape
+    for dv in range(radius + 1):
+        for du in range(-radius if dv else 0, radius + 1):
+            if dv * dv + du * du > radius * radius:
+                continue
+            for x in layers:
+                for y in layers:
+                    p, q = x[: h - dv, max(0, -du) : w - max(0, du)], y[dv:, max(0, du) : w + min(0, du)]
+                    on = (p >= 0) & (q >= 0) & (p != q)
+                    if on.any():
+                        met = np.union1d(met, np.minimum(p[on], q[on]) * len(number) + np.maximum(p[on], q[on]))
+    return np.column_stack([number[met // len(number)], number[met % len(number)]])
+
+
 def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, offset: float = 0.02, least: int = 50, gap: int = 5, rounds: int = 20) -> DataFrame:
     """Greedy merge of a frame's segments within ``gap`` pixels, largest pair first, while normals, of either sign, and mean depths agree.
 
     A round judges all touching pairs by its start and merges those whose ends no merge of the round has taken up, so
     a segment may take up several. Of pairs of one size the later labels go first.
 
-    Only segment sums and pairs that touch reach the kernel, one small group for each frame. Returns the new label of each.
+    A frame is one group; what is merged there are its segments' sums. Returns the new label of each.
     """
-    from pyspark.sql import functions as F
+    ship(px.sparkSession)
+    cos, frame = np.cos(np.radians(degrees)), ["scene_id", "frame_id"]
 
-    from .joins import near_pairs
+    def one(key: tuple, part: pa.Table) -> pa.Table:
+        v, u, labels = (part.column(c).to_numpy() for c in ("v", "u", label))
+        own, at = np.unique(labels, return_inverse=True)
 
-    ship(px.sparkSession)
-    frame = ["scene_id", "frame_id"]
-    sums = px.where(F.col(label) > 0).groupBy(*frame, F.col(label).alias("a")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in ("nx", "ny", "nz", "z")])
-    pairs = near_pairs(px, label, gap, frame).groupBy(*frame, "a").agg(F.collect_list("b").alias("near"))
-    cos = np.cos(np.radians(degrees))
+        def total(c: pa.ChunkedArray) -> np.ndarray:
+            """Sums by segment as SQL makes them: nulls do not count, a segment of nulls alone has none."""
+            return np.where(np.bincount(at, c.is_valid().to_numpy()) > 0, np.bincount(at, c.fill_null(0).to_numpy()), np.nan)
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = {int(r.a): np.array([r.n, r.snx, r.sny, r.snz, r.sz], float) for r in part.itertuples()}
-        touch = {(int(r.a), int(b)) for r in part.itertuples() if r.near is not None for b in r.near}
+        sums = np.column_stack([np.bincount(at), *[total(part.column(c)) for c in ("nx", "ny", "nz", "z")]])
+        rows = dict(zip(own.tolist(), sums, strict=True))
+        touch = {tuple(p) for p in touching(v, u, labels, gap).tolist()}
         root = {a: a for a in rows}
         for _ in range(rounds):
             agree = []
@@ -341,6 +385,8 @@ def merge_segments(px: DataFrame, label: str = "label", degrees: float = 10.0, o
 
             root = {k: end(v) for k, v in root.items()}
             touch = {tuple(sorted((end(i), end(j)))) for i, j in touch if end(i) != end(j)}
-        return pd.DataFrame({"scene_id": key[0], "frame_id": key[1], "label": list(root), "merged": list(root.values())})
+        head = {c: pa.array([k.as_py()] * len(root), pa.int64()) for c, k in zip(frame, key, strict=True)}
+        return pa.table({**head, "label": pa.array(list(root), pa.int32()), "merged": pa.array(list(root.values()), pa.int32())})
 
-    return sums.join(pairs, [*frame, "a"], "left").groupBy(*frame).applyInPandas(one, "scene_id long, frame_id long, label int, merged int")
+    own = px.where(F.col(label) > 0).select(*frame, "v", "u", label, "nx", "ny", "nz", "z")
+    return own.groupBy(*frame).applyInArrow(one, "scene_id long, frame_id long, label int, merged int")

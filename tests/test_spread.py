@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from facetframe.operators import growth, joins, planes, stencil
+from facetframe.operators import growth, joins, kernels, planes, stencil
 from facetframe.plans import fixtures, registry
 from facetframe.sources import datasets, frames, predictions
 
@@ -22,7 +22,7 @@ def test_rasters_are_dealt_out(spark, monkeypatch):
     assert max(held) <= 4 * 24 * 32
 
 
-@pytest.mark.parametrize("name", ["w02_connected_by_join", "w01_normal_gradient", "f16_bilinear_resize", "f16_area_resize", "x04_huber_fits", "s08_archive_paths"])
+@pytest.mark.parametrize("name", ["w02_connected_by_join", "w01_normal_gradient", "f16_bilinear_resize", "f16_area_resize", "x04_huber_fits", "x03_robust_fits", "g15_merge_segments", "s08_archive_paths"])
 def test_frames_stay_in_their_task(spark, monkeypatch, name):
     """A task holds as many frames as it was dealt, whatever their number: what goes on within a frame shuffles no pixel."""
     monkeypatch.setattr(fixtures, "FRAMES", 3)
@@ -43,6 +43,29 @@ def test_relational_stencil_with_gaps(spark):
     assert any(x[5] for x in got)
 
 
+def test_near_labels_lie_over_each_other(spark):
+    """Labels of a raster with gaps, far corners and pixels of two labels, at each radius; no pixel is copied or joined."""
+    rng = random.Random(3)
+    rows = [(f, rng.randrange(-3, 40), rng.randrange(-5, 30), rng.choice([0, 1, 2, 5, 900])) for f in range(4) for _ in range(25)]
+    rows += [(5, 1, 1, 3), (5, 1, 1, 4), (6, 0, 0, 0), (7, 2, 2, 1), (8, 0, 4, 1), (8, 3, 0, 2)]
+    px = spark.createDataFrame(rows, "f int, v int, u int, label int")
+    for radius in (0, 1, 4, 5):
+        got = joins.near_pairs(px, "label", radius, ["f"])
+        want = {(a[0], a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and 0 < a[3] < b[3] and math.dist(a[1:3], b[1:3]) <= radius}
+        assert sorted(map(tuple, got.collect())) == sorted(want) and (5, 3, 4) in want and ((8, 1, 2) in want) == (radius == 5)
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_merge_takes_sums_without_nulls(spark):
+    """A null counts for no sum, and a segment whose depths are all null agrees with none."""
+    z = {1: [2.0, None], 2: [2.0, 2.0], 3: [None, None]}
+    rows = [(1, 1, v, 2 * label + u, label, 0.0, 0.0, 1.0, z[label][u]) for label in z for u in (0, 1) for v in range(3)]
+    px = spark.createDataFrame(rows, "scene_id long, frame_id long, v int, u int, label int, nx double, ny double, nz double, z double")
+    got = {r.label: r.merged for r in kernels.merge_segments(px, offset=1.5, least=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} or got == {1: 2, 2: 2, 3: 3}
+
+
 def _planes(spark, n=160):
     """Few normals, many copies, opposite normals, offsets on the edge of the tolerance, a repeated id and numbers that are none."""
     rng = random.Random(5)
