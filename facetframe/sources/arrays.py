@@ -14,6 +14,9 @@ from ..session import ship
 
 FRAMES = "path string, h int, w int, depth array<float>, label array<int>, planes array<array<float>>, fx double, fy double, cx double, cy double"
 
+#: Pixels of decoded archives that a task holds at once; an archive is never cut.
+HELD = 1 << 20
+
 INTRINSIC = {"fx": (0, 0), "fy": (1, 1), "cx": (0, 2), "cy": (1, 2)}
 
 
@@ -37,9 +40,16 @@ def decoded(rows: DataFrame) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, pixels = [], 0
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([{"path": path, **decode(raw)}])
+                held.append({"path": path, **decode(raw)})
+                pixels += held[-1]["h"] * held[-1]["w"]
+                if pixels >= HELD or len(held) >= 1000:
+                    yield pd.DataFrame(held)
+                    held, pixels = [], 0
+        if held:
+            yield pd.DataFrame(held)
 
     return rows.where(F.length("content") > 0).select("path", "content").mapInPandas(run, FRAMES)
 

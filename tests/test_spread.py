@@ -3,13 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from facetframe.operators import growth, joins, kernels, planes, stencil
 from facetframe.plans import fixtures, registry
-from facetframe.sources import datasets, frames, predictions
+from facetframe.sources import arrays, datasets, frames, predictions
 
 
 def test_rasters_are_dealt_out(spark, monkeypatch):
@@ -66,6 +67,13 @@ def test_merge_takes_sums_without_nulls(spark):
     assert got == {1: 1, 2: 1, 3: 3} or got == {1: 2, 2: 2, 3: 3}
 
 
+def test_archives_are_decoded_together(spark):
+    """Archives with and without intrinsics in one batch, more than a batch holds; an empty one is left out."""
+    rows = [(f"/s/{k}.npz", bytearray(arrays.encode(np.full((2, 3), k), np.zeros((2, 3)), np.eye(3), np.eye(3) * k if k % 2 else None))) for k in range(1100)]
+    got = arrays.decoded(spark.createDataFrame([*rows, ("/s/none.npz", bytearray())], "path string, content binary").coalesce(1)).collect()
+    assert {r.path: (r.depth, r.fx) for r in got} == {f"/s/{k}.npz": ([float(k)] * 6, float(k) if k % 2 else None) for k in range(1100)}
+
+
 def _planes(spark, n=160):
     """Few normals, many copies, opposite normals, offsets on the edge of the tolerance, a repeated id and numbers that are none."""
     rng = random.Random(5)
