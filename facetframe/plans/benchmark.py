@@ -68,7 +68,8 @@ def evaluated(pred: DataFrame, gt: DataFrame, camera: Camera | None = None, p: E
     """
     pixel = [*FRAME, "v", "u"]
     both = pred.select(*pixel, pred["region"].alias("pred")).join(gt.select(*pixel, gt["label"].alias("gt"), *(["z"] if camera else [])), pixel)
-    return judged(both, camera, p, fits)
+    # written once: the metrics read the pixels many times, and each time would segment all frames again
+    return judged(graph.written(both), camera, p, fits)
 
 
 def compared(truth: DataFrame, stored: list[predictions.Method], p: Evaluation = Evaluation(), fits: Callable = ransac_fits) -> tuple[DataFrame, DataFrame, DataFrame]:

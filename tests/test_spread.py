@@ -174,3 +174,9 @@ def test_z_buffer_spreads_pixels_not_points(spark):
     assert got == {(v, u): min((z, c) for y, x, z, c in rows if abs(y - v) <= 1 and abs(x - u) <= 1) for v in range(-1, 4) for u in range(-1, 3)}
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate")
+
+
+def test_frames_are_segmented_once(spark):
+    """The metrics read the pixels many times; the plan that makes them segments no frame again."""
+    plan = registry.QUERIES["d06_benchmark"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
