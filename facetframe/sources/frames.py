@@ -5,10 +5,16 @@ Arrays keep a frame's raster together (one row, not one row a pixel); ``exploded
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
+
 LABEL_MOST = 65535
+#: Pixels that are worth a file, and a task to write it.
+FILE_PIXELS = 1 << 18
 
 
 def packed(px: DataFrame, values: list[str]) -> DataFrame:
@@ -32,7 +38,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def save(frames: DataFrame, path: str, labels: str | None = None, files: int = 8) -> None:
     """Adds the frames that the table at ``path`` does not have yet, so that a save may be repeated.
 
-    A scene's frames go to ``files`` files at most, each made by a task. A label beyond 16 bits is an error and nothing is written.
+    A scene's frames go to ``files`` files at most, each made by a task; a scene of ``FILE_PIXELS`` or fewer is one file. A label beyond
+    16 bits is an error and nothing is written.
     """
     if labels:
         worst = F.array_max(labels)
@@ -40,8 +47,21 @@ def save(frames: DataFrame, path: str, labels: str | None = None, files: int = 8
         frames = frames.withColumn(labels, checked)
     if exists(frames.sparkSession, path):
         frames = not_yet(frames, path)
-    dealt = frames.repartition("scene_id", F.pmod(F.xxhash64("frame_id"), F.lit(files)))
-    dealt.sortWithinPartitions("scene_id", "frame_id").write.mode("append").partitionBy("scene_id").parquet(path)
+    _dealt(frames, files).sortWithinPartitions("scene_id", "frame_id").write.mode("append").partitionBy("scene_id").parquet(path)
+
+
+def _dealt(frames: DataFrame, files: int) -> DataFrame:
+    """Frames by scene and file, over as many tasks as their pixels are worth.
+
+    Spark would choose tasks by shuffled bytes, and frames alike compress to next to none: one task would write every scene's files. Only
+    scenes of more than ``FILE_PIXELS`` are broadcast.
+    """
+    pixels = F.sum(F.col("h").cast("long") * F.col("w")) if {"h", "w"} <= set(frames.columns) else F.count("*") * FILE_PIXELS
+    scenes = written(frames.groupBy("scene_id").agg(F.least(F.lit(files), pixels / FILE_PIXELS).alias("worth")))
+    tasks = math.ceil(scenes.agg(F.sum("worth")).first()[0] or 1)
+    large = scenes.where("worth > 1").select(F.col("scene_id").alias("_scene"), F.ceil("worth").alias("_files"))
+    known = frames.join(F.broadcast(large), F.col("scene_id").eqNullSafe(F.col("_scene")), "left")
+    return known.repartition(tasks, "scene_id", F.pmod(F.xxhash64("frame_id"), F.coalesce("_files", F.lit(1)))).drop("_scene", "_files")
 
 
 def read(spark: SparkSession, path: str, scenes: list | None = None) -> DataFrame:

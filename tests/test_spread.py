@@ -180,3 +180,30 @@ def test_frames_are_segmented_once(spark):
     """The metrics read the pixels many times; the plan that makes them segments no frame again."""
     plan = registry.QUERIES["d06_benchmark"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_saves_are_dealt_by_pixels(spark, tmp_path, monkeypatch, coalesced):
+    """Frames alike, next to nothing in bytes: a large scene is made by many tasks, a small one is one file; a repeated save adds what is missing."""
+    monkeypatch.setattr(frames, "FILE_PIXELS", 64)
+    scene = F.when(F.col("id") < 100, 0).when(F.col("id") < 200, F.floor(F.col("id") / 4))
+    rows = spark.range(230).select(scene.alias("scene_id"), F.col("id").alias("frame_id"), F.lit(2).alias("h"), F.lit(2).alias("w"), F.array(*[F.lit(1)] * 4).alias("label"))
+    key, at = "spark.sql.adaptive.coalescePartitions.enabled", str(tmp_path / "t")
+    usual = spark.conf.get(key)
+    spark.conf.set(key, coalesced)
+    try:
+        frames.save(rows.where("frame_id <> 7"), at, "label")
+        made = {}
+        for r in spark.read.parquet(at).select("scene_id", "frame_id", F.input_file_name().alias("file")).collect():
+            made.setdefault(r.scene_id, {}).setdefault(r.file, []).append(r.frame_id)
+        assert 4 <= len(made[0]) <= 7 and 1 <= len(made[None]) <= 2
+        assert [len(made[s]) for s in range(25, 50)] == [1] * 25
+        assert len({f.split("part-")[1][:5] for files in made.values() for f in files}) > 7
+        frames.save(rows, at, "label")
+        frames.save(rows.where("scene_id is not null"), at, "label")
+        got = spark.read.parquet(at).where("scene_id is not null").select("scene_id", "frame_id").collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert sorted(map(tuple, got)) == sorted((0 if k < 100 else k // 4, k) for k in range(200))
+    frames.save(rows.drop("h", "w"), str(tmp_path / "bare"))
+    assert spark.read.parquet(str(tmp_path / "bare")).count() == 230
