@@ -73,7 +73,8 @@ def gated(points: DataFrame, planes: DataFrame, thresholds: list[float], gates:
     """
     on = [*keys, "label"]
     residual = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d"))
-    hit = points.join(planes, on).withColumn("residual", residual)
+    # points are small in their files and large in memory, so they may not be broadcast by their size
+    hit = points.join(planes.hint("merge"), on).withColumn("residual", residual)
     per = hit.groupBy(*on).agg(F.count("*").alias("n"), *[F.count_if(F.col("residual") < t).alias(f"in{k}") for k, t in enumerate(thresholds)])
     cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(g)).alias("gate"), F.col(f"in{k}").alias("inliers")) for k, t in enumerate(thresholds) for g in gates])
     long = per.select(*on, "n", F.explode(cells).alias("c")).select(*on, "n", "c.*")

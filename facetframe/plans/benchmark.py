@@ -38,12 +38,14 @@ def least_squares_fits(points: DataFrame, p: Evaluation, threshold: float) -> Da
 def plane_metrics(both: DataFrame, camera: Camera, p: Evaluation = Evaluation(), fits: Callable = ransac_fits) -> DataFrame:
     """Gated precision and recall of each frame, a column for each threshold and gate, from pixels with z and their predicted segment.
 
-    Planes are fitted once a threshold, whatever the number of gates.
+    Planes are fitted once a threshold, whatever the number of gates; those of least squares are the same for all thresholds, so they
+    meet the points once.
     """
     xyz = [c.alias(n) for c, n in zip(G.backproject(camera) if isinstance(camera, G.Pinhole) else camera(), "xyz", strict=True)]
     points = both.where(G.valid_depth("z")).select(*FRAME, F.col("pred").alias("label"), *xyz)
     own = points.where("label <> 0")
-    each = [metrics.gated(points, fits(own, p, t).select(*FRAME, "label", "a", "b", "c", "d"), [t], p.judged, FRAME) for t in p.thresholds]
+    turns = [p.thresholds] if fits is least_squares_fits else [(t,) for t in p.thresholds]
+    each = [metrics.gated(points, fits(own, p, t[0]).select(*FRAME, "label", "a", "b", "c", "d"), list(t), p.judged, FRAME) for t in turns]
     long = each[0]
     for more in each[1:]:
         long = long.union(more)

@@ -1,12 +1,14 @@
 """Predictions met with their ground truth, and whole metric rows, against plain versions."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from facetframe.functions import geometry as G
+from facetframe.operators import graph
 from facetframe.params import Evaluation
 from facetframe.plans import benchmark
 from facetframe.sources import datasets, predictions
@@ -110,6 +112,20 @@ def test_gates_share_their_fits(spark):
                 assert math.isclose(r[name], both[tuple(r[:2])][name])
 
 
+def test_points_are_not_broadcast(spark):
+    """Pixels are a few bits each in their file, so by its size all of them would go through the driver."""
+    px = graph.written(_truth(spark, [(1, 1, True), (1, 2, True)]).select("scene_id", "frame_id", F.posexplode(F.arrays_zip("label", "z")).alias("k", "p")).selectExpr("scene_id", "frame_id", "k div 8 as v", "k % 8 as u", "p.label as pred", "p.z as z"))
+    p = Evaluation(thresholds=(0.01, 0.2), gates=(0.5, 0.95))
+    got = benchmark.plane_metrics(px, G.Pinhole(10.0, 10.0, 3.5, 3.5), p, benchmark.least_squares_fits)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    met = re.findall(r"(\w+Join) \[[^]]*label#", plan)
+    # planes of least squares meet the points once, for both thresholds
+    assert met == ["SortMergeJoin"]
+    alone = [benchmark.plane_metrics(px, G.Pinhole(10.0, 10.0, 3.5, 3.5), Evaluation(thresholds=(t,), gates=p.gates), benchmark.least_squares_fits) for t in p.thresholds]
+    want = alone[0].join(alone[1], ["scene_id", "frame_id"]).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_edges_alone_bridge_as_all_pixels_do(spark):
     """Blocks of labels with insides, gaps and missing pixels, against the nearest pixel of all."""
     from facetframe.operators import joins
