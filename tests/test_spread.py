@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from facetframe.operators import growth, joins, kernels, planes, stencil
-from facetframe.plans import fixtures, registry
+from facetframe.plans import _common, fixtures, registry
 from facetframe.sources import arrays, datasets, frames, predictions
 
 
@@ -108,6 +108,26 @@ def test_planes_of_one_normal_meet_as_groups(spark, monkeypatch, block):
         assert sorted(map(tuple, got.collect())) == want and len(want) > 50
 
 
+def test_pairs_are_made_from_arrays(spark, monkeypatch):
+    """A join's row is two blocks of planes, whatever their number; the pairs come after all joins."""
+    monkeypatch.setattr(planes, "BLOCK", 10)
+    table = spark.range(95).selectExpr("id as plane_id", "'u' as label", "0.0D as nx", "0.0D as ny", "1.0D as nz", "0.01D as d")
+    got = planes.coplanar_pairs(table, 12.0, 0.05, ["label"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(qof" in plan and plan.index("Generate explode(pof") < plan.index("Join ")
+    assert sorted((x.a_id, x.b_id) for x in got.collect()) == [(a, b) for a in range(95) for b in range(a + 1, 95)]
+
+
+def test_quick_rounding_is_rounding(spark):
+    """To the bit, with ties, what is next to them, very large numbers and such as are none."""
+    rng = random.Random(2)
+    near = [k / 2e6 + e for k in range(-50, 50) for e in (0.0, 1e-12, -1e-12, 1e-10)]
+    values = [*near, *(rng.uniform(-10.0**k, 10.0**k) for k in range(-8, 15) for _ in range(200)), *(abs(rng.randrange(200000) / 1e5 - rng.randrange(200000) / 1e5) for _ in range(5000))]
+    values += [0.0, -0.0, 1e300, 5e-324, float("inf"), -float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select((_common.quick_round(F.col("v"), 6) + F.lit(0.0)).alias("quick"), (F.round("v", 6) + F.lit(0.0)).alias("usual"))
+    assert [x for x in rows.collect() if repr(x.quick) != repr(x.usual)] == []
+
+
 def test_totals_and_components_need_no_pairs(spark):
     rows, table = _planes(spark)
     want = _plain(rows, 12.0, 0.05, labels=False)
